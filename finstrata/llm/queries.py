@@ -8,11 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finstrata.core.tables import table
-from finstrata.llm import leaks, lookalike, packing
+from finstrata.llm import entity_match, leaks, lookalike, packing
 
 TOKENIZER = os.environ.get("FINSTRATA_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
+def p5_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of other-manager lists with the institution they denote and a confidence."""
+    return entity_match.match_records(
+        table(spark, d, "other_manager_identity"), "entry_id", "name", ["cik", "form13f_file_number", "crd_number", "sec_file_number"],
+        table(spark, d, "institutional_holder"), "institutional_holder_id", "name", ["cik", "form13f_file_number", "crd_number"],
+        "state_or_country",
+    )
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_matches(spark, d).select("institutional_holder_id", "entry_id")
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """Every text's place in containers of 2,048 tokens."""
     return packing.pack(table(spark, d, "documents"), TOKENIZER)
@@ -38,7 +51,7 @@ def p10_one_form(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p8_containers": p8_containers, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found,
+    "p5_found": p5_found, "p5_matches": p5_matches, "p8_containers": p8_containers, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found,
     "p10_one_form": p10_one_form,
 }
 ORACLES: dict[str, str] = {}
