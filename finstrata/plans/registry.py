@@ -1,8 +1,8 @@
 """All queries of the core, by name."""
 
-from finstrata.plans import pipeline_queries
+from finstrata.plans import holdings_queries, pipeline_queries
 
-MODULES = [pipeline_queries]
+MODULES = [pipeline_queries, holdings_queries]
 
 
 def queries():
