@@ -9,7 +9,7 @@
    the mean of its character n-grams' rows in a table of fixed size, so that a misspelt or
    abbreviated word lies near the one meant and the model has a proven size. Partitions train
    from the same start on their own walks; their tables are averaged by use.
-4. Blocking. Name and identifier vectors are cut by random hyperplanes into several tables of
+4. Blocking. The vectors of names, and of identifiers and telling words, are cut by random hyperplanes into several tables of
    keys; the left side also looks into the buckets across its narrowest planes. Pairs that
    meet in two or more buckets are candidates.
 5. Rerank. Candidates are compared exactly: identifiers that agree, and names word by word
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from finstrata.core.streams import stream_groups
+from finstrata.core.tables import shuffle_partitions
 from finstrata.llm.lookalike import plain_form
 
 BUCKETS = 1 << 15  # rows of the n-gram table
@@ -44,6 +44,7 @@ MEET = 128  # records that can meet at one salt of a token
 MEETINGS = 3  # tokens at which a record looks for others
 NEGATIVES = 4
 TABLES = 24
+WALKERS = 4000  # records for which one more partition trains
 PROBES = 3  # buckets across the narrowest planes that the left side looks into
 CALIBRATION = 20_000
 #: A word is common if one record in so many bears it (and at least COMMON_LEAST do).
@@ -112,7 +113,7 @@ class SkipGram:
 
     WIDTH = 28
 
-    def __init__(self, rate: float = 0.05):
+    def __init__(self, rate: float = 0.2):
         self.v, self.c = start_table(), np.zeros((BUCKETS, DIM), dtype=np.float32)
         self.used = np.zeros(BUCKETS + 1, dtype=np.int64)
         self.rate, self.rng = rate, np.random.default_rng(5)
@@ -132,23 +133,37 @@ class SkipGram:
             self.grams, self.size = np.concatenate([self.grams, rows]), np.concatenate([self.size, size])
         return np.array([self.known[t] for t in tokens], dtype=np.int64)
 
-    def train(self, center: np.ndarray, context: np.ndarray, batch: int = 4096) -> None:
+    def train(self, center: np.ndarray, context: np.ndarray, batch: int = 8192) -> None:
+        """Batches of pairs; gradients are summed by word before they are spread over its n-grams."""
         for a in range(0, len(center), batch):
-            x, y = center[a : a + batch], context[a : a + batch]
-            g = self.grams[x]
-            h = self.v[g].sum(1) / self.size[x][:, None]
-            out = np.concatenate([self.grams[y][:, :1] * 0 + y[:, None] % BUCKETS, self.rng.choice(context, (len(x), NEGATIVES)) % BUCKETS], axis=1)
+            x, y = center[a : a + batch], context[a : a + batch] % BUCKETS
+            ws, at = np.unique(x, return_inverse=True)
+            g = self.grams[ws]
+            h = (self.v[g].sum(1) / self.size[ws][:, None])[at]
+            out = np.concatenate([y[:, None], self.rng.choice(y, (len(x), NEGATIVES))], axis=1)
             c = self.c[out]
-            score = 1 / (1 + np.exp(-np.einsum("nd,nkd->nk", h, c)))
+            score = 1 / (1 + np.exp(-np.matmul(c, h[:, :, None])[:, :, 0]))
             score[:, 0] -= 1
-            step = -self.rate * score
-            dh = np.einsum("nk,nkd->nd", step, c)
-            np.add.at(self.c, out, step[:, :, None] * h[:, None, :])
-            np.add.at(self.v, g, (dh / self.size[x][:, None])[:, None, :])
-            np.add.at(self.used, g, 1)
+            step = (-self.rate * score).astype(np.float32)
+            dh = np.matmul(step[:, None, :], c)[:, 0, :]
+            _add_means(self.c, out.reshape(-1), (step[:, :, None] * h[:, None, :]).reshape(-1, DIM))
+            by_word = np.zeros((len(ws), DIM), dtype=np.float32)
+            _add_means(by_word, at, dh)
+            width = g.shape[1]
+            _add_means(self.v, g.reshape(-1), np.repeat(by_word / self.size[ws][:, None], width, axis=0))
+            self.used += np.bincount(g.reshape(-1), np.repeat(np.bincount(at, minlength=len(ws)), width), BUCKETS + 1).astype(np.int64)
             self.v[BUCKETS] = 0
 
 
+def _add_means(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Adds to each place the mean of its rows: a word that fills a batch moves no further than a rare one."""
+    order = np.argsort(at, kind="stable")
+    sorted_at = at[order]
+    first = np.flatnonzero(np.concatenate(([True], sorted_at[1:] != sorted_at[:-1])))
+    n = np.diff(np.append(first, len(at)))[:, None].astype(np.float32)
+    to[sorted_at[first]] += np.add.reduceat(rows[order], first, axis=0) / n
+
+
 @dataclass
 class Model:
     """The n-gram table and the common words with their weights; both of proven size."""
@@ -159,6 +174,7 @@ class Model:
 
     def __post_init__(self):
         self._words: dict[str, np.ndarray] = {}
+        self._kind: dict[str, bool] = {}
 
     def word(self, w: str) -> np.ndarray:
         got = self._words.get(w)
@@ -172,8 +188,21 @@ class Model:
     def weight(self, w: str) -> float:
         return self.common.get(w, 1.0)
 
-    def name(self, key: str) -> np.ndarray | None:
+    def core(self, key: str) -> list[str]:
+        """The words of a name that don't stand for a kind of firm, if there are any."""
         ws, _ = name_words(key)
+        return [w for w in ws if not self.of_kind(w)] or ws
+
+    def of_kind(self, w: str) -> bool:
+        got = self._kind.get(w)
+        if got is None:
+            if len(self._kind) > 200_000:
+                self._kind.clear()
+            got = self._kind[w] = w in self.kinds or any(_short_for(w, k) or (len(w) > 3 and _one_slip(w, k)) for k in self.kinds)
+        return got
+
+    def name(self, key: str) -> np.ndarray | None:
+        ws = self.core(key)
         if not ws:
             return None
         x = sum(self.weight(w) * self.word(w) for w in ws)
@@ -216,7 +245,8 @@ def train_model(records: DataFrame, total: int, kinds: frozenset[str] = frozense
     salted = steps.join(crowded, "meet", "left").withColumn(
         "salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("bag"), "salts")).cast("int")
     ).select("meet", "salt", "bag")
-    shuffled = salted.repartition("meet", "salt").sortWithinPartitions("meet", "salt", F.xxhash64("bag"))
+    parts = max(1, min(shuffle_partitions(records.sparkSession), math.ceil(total / WALKERS)))
+    shuffled = salted.repartition(parts, "meet", "salt").sortWithinPartitions("meet", "salt", F.xxhash64("bag"))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, rng = SkipGram(), np.random.default_rng(3)
@@ -258,7 +288,7 @@ def _planes(bits: int) -> np.ndarray:
 
 
 def _keys(df: DataFrame, model, bits: int, probes: int) -> DataFrame:
-    """(rid, view, tab, key): the buckets of each record's name (view 0) and identifiers (view 1)."""
+    """(rid, view, tab, key): the buckets of each record's name (view 0) and of its tokens (view 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, planes = model.value, _planes(bits)
@@ -268,7 +298,7 @@ def _keys(df: DataFrame, model, bits: int, probes: int) -> DataFrame:
             for view in (0, 1):
                 vecs, of = [], []
                 for i, (k, ts) in enumerate(zip(names, ids)):
-                    for x in ([m.name(k)] if view == 0 else [m.word(t) for t in ts or []]):
+                    for x in ([m.name(k)] if view == 0 else [m.word(t) for t in [*(ts or []), *m.core(k)]]):
                         if x is not None:
                             vecs.append(x)
                             of.append(i)
