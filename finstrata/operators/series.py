@@ -25,7 +25,6 @@ def units(c: Column | str) -> Column:
 def half_even(total: Column, n: int | Column) -> Column:
     """total / n rounded half to even, for whole numbers; n > 0."""
     n = F.lit(n) if isinstance(n, int) else n
-    q = F.floor(total / n)
     q = ((total - F.pmod(total, n)) / n).cast("bigint")
     r = F.pmod(total, n)
     up = (2 * r > n) | ((2 * r == n) & (F.pmod(q, F.lit(2)) == 1))
@@ -48,7 +47,7 @@ def sma(c: Column, keys: list[str], order: str, n: int) -> Column:
 
 
 def bollinger(df: DataFrame, c: str, keys: list[str], order: str, n: int = 20, k: float = 2.0) -> DataFrame:
-    """Adds middle, upper and lower band, %B and bandwidth (population deviation)."""
+    """Adds the middle band in units, upper and lower band, %B and bandwidth (population deviation)."""
     w = _w(keys, order).rowsBetween(-(n - 1), 0)
     x = F.col(c).cast("double") / UNIT
     mean, dev = F.avg(x).over(w), F.stddev_pop(x).over(w)
@@ -56,8 +55,8 @@ def bollinger(df: DataFrame, c: str, keys: list[str], order: str, n: int = 20, k
     width = 2 * k * F.col("_s")
     low = F.col("_m") - k * F.col("_s")
     return out.withColumns({
-        "middle": F.round("_m", 3), "upper": F.round(F.col("_m") + k * F.col("_s"), 3), "lower": F.round(low, 3),
-        "percent_b": F.when(width > 1e-9, F.round((x - low) / width, 3)), "bandwidth": F.when(F.col("_m") != 0, F.round(width / F.col("_m"), 4)),
+        "middle": sma(F.col(c), keys, order, n), "upper": F.round(F.col("_m") + k * F.col("_s"), 3), "lower": F.round(low, 3),
+        "percent_b": F.when(width > 1e-9, F.round((x - low) / width, 3) + 0.0), "bandwidth": F.when(F.col("_m") != 0, F.round(width / F.col("_m"), 4)),
     }).drop("_m", "_s")
 
 
@@ -88,16 +87,7 @@ def on_balance_volume(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 def trailing_return(c: str, keys: list[str], order: str, n: int) -> Column:
     """Percent change over n bars, 2 places; null without a positive base."""
     base = F.lag(c, n).over(_w(keys, order))
-    return F.when(base > 0, F.round((F.col(c) - base) * 100.0 / base, 2))
-
-
-def calendar_return(c: str, keys: list[str], order: str, part: str) -> Column:
-    """Percent change since the last bar before the current month or year began."""
-    start = F.trunc(F.col(order), part)
-    w = Window.partitionBy(*keys).orderBy(F.unix_date(F.col(order)))
-    # last bar before the period: the greatest (date, price) seen before the period's first bar
-    first = F.first(F.col("_prev"), True).over(Window.partitionBy(*keys, start).orderBy(order))
-    return F.when(first > 0, F.round((F.col(c) - first) * 100.0 / first, 2))
+    return F.when(base > 0, F.round((F.col(c) - base) * 100.0 / base, 2) + 0.0)
 
 
 def with_calendar_returns(df: DataFrame, c: str, keys: list[str], order: str) -> DataFrame:
@@ -106,7 +96,7 @@ def with_calendar_returns(df: DataFrame, c: str, keys: list[str], order: str) ->
     for part, name in (("month", "mtd"), ("year", "ytd")):
         w = Window.partitionBy(*keys, F.trunc(F.col(order), part)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         base = F.first("_prev").over(w)
-        out = out.withColumn(name, F.when(base > 0, F.round((F.col(c) - base) * 100.0 / base, 2)))
+        out = out.withColumn(name, F.when(base > 0, F.round((F.col(c) - base) * 100.0 / base, 2) + 0.0))
     return out.drop("_prev")
 
 
