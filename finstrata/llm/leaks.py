@@ -36,6 +36,8 @@ WORDS_AN_EDIT = 8
 SIMILARITY = 0.5
 SHINGLE = 2
 BLOCK = 20_000
+#: Words whose fingerprints are made at a time.
+STEP = 100_000
 
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
@@ -98,6 +100,10 @@ class Vocabulary:
                 out[i] = r
         return np.array(out, dtype=np.int64)
 
+    def hashes_of(self, ws: list[str]) -> np.ndarray:
+        rows = self.rows(ws)
+        return self.hashes[rows]
+
 
 def word_hash(w: str) -> np.uint64:
     import xxhash
@@ -236,8 +242,11 @@ def find_leaks(index: ItemIndex, doc_words: list[list[str]], vocabulary: Vocabul
         return []
     n = np.array([len(ws) for ws in doc_words])
     first = np.cumsum(n) - n
-    prints = simhash(vocabulary.hashes_of(flat), index.window)
-    pos, win = index.near(prints)
+    found = []
+    for a in range(0, len(flat), STEP):  # bounded memory, however long a text is
+        p, w = index.near(simhash(vocabulary.hashes_of(flat[a : a + STEP + index.window - 1]), index.window))
+        found.append((p + a, w))
+    pos, win = np.concatenate([p for p, _ in found]), np.concatenate([w for _, w in found])
     if not len(pos):
         return []
     doc = np.searchsorted(first, pos, "right") - 1
@@ -268,14 +277,6 @@ def find_leaks(index: ItemIndex, doc_words: list[list[str]], vocabulary: Vocabul
     return [(d, it, s, e) for (d, it), (s, e) in out.items()]
 
 
-def _hashes_of(self: Vocabulary, ws: list[str]) -> np.ndarray:
-    rows = self.rows(ws)
-    return self.hashes[rows]
-
-
-Vocabulary.hashes_of = _hashes_of
-
-
 def leaked_items(
     docs: DataFrame, items: DataFrame, window: int = WINDOW, radius: int = RADIUS, least: int = PASSAGE,
     words_an_edit: int = WORDS_AN_EDIT, similarity: float = SIMILARITY, block: int = BLOCK,
