@@ -70,8 +70,10 @@ def join_as_known(
 
     ``intervals`` has ``key``, from_day, to_day and ``carry``; several entities (members, say)
     may share a key, each then gives its own row. Events without a time or key give none.
-    Columns of ``intervals`` other than those are dropped; ``carry`` must not clash with ``events``.
+    Columns of ``intervals`` other than those are dropped; a column of ``events`` that is named
+    like one of ``carry`` gives way to it. Repeated events give repeated rows.
     """
+    events = events.drop(*carry)
     lo, hi = intervals.agg(F.min("from_day"), F.max(F.greatest("from_day", F.coalesce("to_day", "from_day")))).first()
     if lo is None:
         lo = hi = 0

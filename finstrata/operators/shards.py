@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from finstrata.core.streams import complete_groups, group_starts
 from finstrata.core.tables import shuffle_partitions
@@ -69,9 +70,7 @@ def plan_shards(df: DataFrame, keys: list[str], tasks: int | None = None) -> Sha
             light.append((b, t))
         else:
             at.setdefault(k, {})[s] = t
-    fields = [f for f in df.select(*keys).schema.fields]
-    from pyspark.sql import types as T
-
+    fields = df.select(*keys).schema.fields
     schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in fields], T.StructField("_tasks", T.ArrayType(T.IntegerType()))])
     rows = [(*heavy[k][:-1], [at[k][s] for s in range(len(at[k]))]) for k in sorted(at)]
     return ShardPlan(
@@ -91,7 +90,11 @@ def _with_plan(df: DataFrame, plan: ShardPlan) -> DataFrame:
 
 
 def assign_rows(df: DataFrame, plan: ShardPlan, row_id: Column) -> DataFrame:
-    """Adds _shard and _task; rows of equal ``row_id`` and key go to the same shard."""
+    """Adds _shard and _task; rows of equal ``row_id`` and key go to the same shard.
+
+    Columns of the plan's own names (_tasks, _bin, _task, _shard) are replaced.
+    """
+    df = df.drop("_tasks", "_bin", "_task", "_shard")
     shard = F.when(F.col("_tasks").isNull(), 0).otherwise(F.pmod(F.xxhash64(row_id), F.size("_tasks"))).cast("int")
     return (
         _with_plan(df, plan).withColumn("_shard", shard)
@@ -101,7 +104,8 @@ def assign_rows(df: DataFrame, plan: ShardPlan, row_id: Column) -> DataFrame:
 
 
 def replicate_rows(df: DataFrame, plan: ShardPlan) -> DataFrame:
-    """The matching side: each row once for every shard of its key, with _shard and _task."""
+    """The matching side: each row once for every shard of its key, with _task."""
+    df = df.drop("_tasks", "_bin", "_task", "_shard", "_p")
     return (
         _with_plan(df, plan)
         .withColumn("_p", F.explode(F.when(F.col("_tasks").isNull(), F.array(F.coalesce("_task", F.lit(0)))).otherwise(F.col("_tasks"))))
@@ -110,7 +114,12 @@ def replicate_rows(df: DataFrame, plan: ShardPlan) -> DataFrame:
 
 
 def join_sharded(left: DataFrame, right: DataFrame, plan: ShardPlan, row_id: Column, how: str = "inner") -> DataFrame:
-    """Join on the plan's keys with the hot keys' rows spread and the right side replicated to them."""
+    """Join on the plan's keys with the hot keys' rows spread and the right side replicated to them.
+
+    As in any join, null keys match nothing. A column of the right side that the left has too,
+    other than a key, is left out.
+    """
+    right = right.drop(*[c for c in right.columns if c in left.columns and c not in plan.keys])
     a = assign_rows(left, plan, row_id).repartitionById(plan.tasks, F.col("_task"))
     b = replicate_rows(right, plan).repartitionById(plan.tasks, F.col("_task"))
     return a.join(b, [*plan.keys, "_task"], how).drop("_task", "_shard")
@@ -122,7 +131,7 @@ def top_rows(
 ) -> DataFrame:
     """For each key the ``k`` rows greatest in ``by``; ties to the smaller ``row_id``.
 
-    Rows of equal ``row_id`` count once. Rows with a null key or row_id are left out; a null
+    Rows of equal ``row_id`` and ``by`` count once. Rows with a null key or row_id are left out; a null
     ``by`` is less than any value. ``by`` and ``row_id`` must be bigint. Extra columns are
     ignored; the result has keys, ``row_id`` and ``by``.
     """

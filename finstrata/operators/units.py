@@ -96,28 +96,28 @@ def rate_periods(rates: DataFrame, currency: str, date: str, value: str, home: s
 
 
 def to_whole_usd(rows: DataFrame, value: str, date: str, rates: DataFrame) -> DataFrame:
-    """Adds ``amount_usd`` to rows with ``currency`` and ``scale``; null without a rate.
+    """Rows with ``currency`` and ``scale`` that can be converted, with ``amount_usd`` added.
 
-    The rate is the last on or before ``date``. Rates are joined on (currency, month): each
+    The rate is the last on or before ``date``; rows before the first rate, or without date or
+    value, are left out, or have a null amount where only the value is missing. Rates are joined on (currency, month): each
     holds for the months it spans, so the join is an equi-join that keeps few candidates.
     """
     last = F.coalesce(F.date_sub("to_date", 1), F.col("until"))
     until = rows.agg(F.max(date)).first()[0]
     spans = (
         rates.withColumn("until", F.greatest(F.lit(until).cast("date"), F.col("from_date")))
-        .withColumn("_month", F.explode(F.sequence(F.trunc("from_date", "month"), F.trunc(last, "month"), F.expr("interval 1 month"))))
-        .select(F.col("currency").alias("_cur"), "_month", "from_date", "to_date", "rate")
+        .withColumn("_fx_month", F.explode(F.sequence(F.trunc("from_date", "month"), F.trunc(last, "month"), F.expr("interval 1 month"))))
+        .select(F.col("currency").alias("_fx_cur"), F.col("_fx_month"), F.col("from_date").alias("_fx_from"), F.col("to_date").alias("_fx_to"), F.col("rate").alias("_fx_rate"))
     )
-    keyed = rows.withColumn("_month", F.trunc(date, "month")).withColumn("_row", F.monotonically_increasing_id())
-    foreign = keyed.filter(F.col("currency") != "USD").join(
+    foreign = rows.filter(F.col("currency") != "USD").join(
         spans,
-        (F.col("currency") == F.col("_cur")) & (keyed["_month"] == spans["_month"])
-        & (F.col(date) >= F.col("from_date")) & (F.col("to_date").isNull() | (F.col(date) < F.col("to_date"))),
-    ).select(keyed["*"], F.col("rate"))
-    home = keyed.filter(F.col("currency") == "USD").withColumn("rate", F.lit(1).cast("decimal(18,6)"))
+        (F.col("currency") == F.col("_fx_cur")) & (F.trunc(date, "month") == F.col("_fx_month"))
+        & (F.col(date) >= F.col("_fx_from")) & (F.col("_fx_to").isNull() | (F.col(date) < F.col("_fx_to"))),
+    ).drop("_fx_cur", "_fx_month", "_fx_from", "_fx_to")
+    home = rows.filter(F.col("currency") == "USD").withColumn("_fx_rate", F.lit(1).cast("decimal(18,6)"))
     scaled = (F.col(value).cast("decimal(24,4)") * F.col("scale").cast("decimal(10,0)")).cast("decimal(26,4)")
-    amount = F.round(scaled * F.col("rate").cast("decimal(12,6)"), 0)
-    return home.unionByName(foreign).withColumn("amount_usd", amount.cast("bigint")).drop("_month", "_row", "rate")
+    amount = F.round(scaled * F.col("_fx_rate").cast("decimal(12,6)"), 0)
+    return home.unionByName(foreign).withColumn("amount_usd", amount.cast("bigint")).drop("_fx_rate")
 
 
 def solve_units(

@@ -48,6 +48,29 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_flags(spark, d).select("price_id").distinct()
 
 
+P2_SQL = """
+WITH b AS (SELECT DISTINCT price_id, common_stock_id AS s, listed_ticker AS t, bar_date AS d, CAST(open AS DOUBLE) AS o, CAST(high AS DOUBLE) AS h, CAST(low AS DOUBLE) AS l, CAST(close AS DOUBLE) AS c, volume FROM daily_stock_price),
+x AS (SELECT *, (o <= 0 OR h <= 0 OR l <= 0 OR c <= 0 OR h < l OR o > h OR o < l OR c > h OR c < l) AS bad FROM b WHERE volume > 0),
+r AS (SELECT *, CASE WHEN c IS DISTINCT FROM lag(c) OVER w THEN 1 ELSE 0 END AS nw FROM x WINDOW w AS (PARTITION BY s, t ORDER BY d, price_id)),
+g AS (SELECT *, sum(nw) OVER (PARTITION BY s, t ORDER BY d, price_id) AS run FROM r),
+k AS (SELECT price_id, count(*) OVER (PARTITION BY s, t, run) AS n, row_number() OVER (PARTITION BY s, t, run ORDER BY d, price_id) AS i FROM g),
+y AS (SELECT *, ln(c) AS y FROM x WHERE NOT bad),
+m AS (SELECT *, median(abs(y - p)) OVER (PARTITION BY s, t) AS mv FROM (SELECT *, lag(y) OVER w AS p FROM y WINDOW w AS (PARTITION BY s, t ORDER BY d, price_id))),
+a AS (SELECT *, lag(y, 1) OVER w AS b1, lag(y, 2) OVER w AS b2, lag(y, 3) OVER w AS b3, lead(y, 1) OVER w AS f1, lead(y, 2) OVER w AS f2, lead(y, 3) OVER w AS f3 FROM m WINDOW w AS (PARTITION BY s, t ORDER BY d, price_id)),
+v AS (SELECT price_id,
+ least(abs(y - (b1 + f1) / 2)) > 10 * mv AND abs(f1 - b1) < 0.6 * abs(y - (b1 + f1) / 2) AS m1,
+ least(abs(y - (b1 + f2) / 2), abs(f1 - (b1 + f2) / 2)) > 10 * mv AND abs(f2 - b1) < 0.6 * least(abs(y - (b1 + f2) / 2), abs(f1 - (b1 + f2) / 2)) AS m2,
+ least(abs(b1 - (b2 + f1) / 2), abs(y - (b2 + f1) / 2)) > 10 * mv AND abs(f1 - b2) < 0.6 * least(abs(b1 - (b2 + f1) / 2), abs(y - (b2 + f1) / 2)) AS n2,
+ least(abs(y - (b1 + f3) / 2), abs(f1 - (b1 + f3) / 2), abs(f2 - (b1 + f3) / 2)) > 10 * mv AND abs(f3 - b1) < 0.6 * least(abs(y - (b1 + f3) / 2), abs(f1 - (b1 + f3) / 2), abs(f2 - (b1 + f3) / 2)) AS m3,
+ least(abs(b1 - (b2 + f2) / 2), abs(y - (b2 + f2) / 2), abs(f1 - (b2 + f2) / 2)) > 10 * mv AND abs(f2 - b2) < 0.6 * least(abs(b1 - (b2 + f2) / 2), abs(y - (b2 + f2) / 2), abs(f1 - (b2 + f2) / 2)) AS n3,
+ least(abs(b2 - (b3 + f1) / 2), abs(b1 - (b3 + f1) / 2), abs(y - (b3 + f1) / 2)) > 10 * mv AND abs(f1 - b3) < 0.6 * least(abs(b2 - (b3 + f1) / 2), abs(b1 - (b3 + f1) / 2), abs(y - (b3 + f1) / 2)) AS o3,
+ b1, b2, b3, f1, f2, f3, ln(h) - ln(greatest(o, c)) > 10 * mv AS hi FROM a)
+SELECT price_id FROM x WHERE bad UNION SELECT price_id FROM k WHERE n >= 6 AND i > 1
+UNION SELECT price_id FROM v WHERE (m1 AND b1 IS NOT NULL AND f1 IS NOT NULL) OR (m2 AND b1 IS NOT NULL AND f2 IS NOT NULL) OR (n2 AND b2 IS NOT NULL AND f1 IS NOT NULL)
+ OR (m3 AND b1 IS NOT NULL AND f3 IS NOT NULL) OR (n3 AND b2 IS NOT NULL AND f2 IS NOT NULL) OR (o3 AND b3 IS NOT NULL AND f1 IS NOT NULL) OR hi
+"""
+
+
 def p3_ledger(spark: SparkSession, d: str) -> DataFrame:
     """Every version of every identifier ever believed, with valid and recorded periods."""
     cusips = table(spark, d, "stock_cusip_changed").select(
@@ -117,6 +140,27 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return revenue.filter(F.col("amount_usd").isNotNull()).unionByName(holding).distinct()
 
 
+_CUR = """(VALUES ('usd','USD'),('us$','USD'),('$','USD'),('us dollars','USD'),('eur','EUR'),('€','EUR'),('euros','EUR'),('gbp','GBP'),('£','GBP'),('pounds sterling','GBP'),('jpy','JPY'),('¥','JPY'),('japanese yen','JPY'),
+('cad','CAD'),('c$','CAD'),('canadian dollars','CAD'),('chf','CHF'),('sfr.','CHF'),('swiss francs','CHF'),('sek','SEK'),('swedish kronor','SEK'),('brl','BRL'),('r$','BRL'),('brazilian reais','BRL')) AS cur(t, code)"""
+_SIZE = """(VALUES ('thousands',1000),('thds.',1000),('000s',1000),(chr(39) || '000',1000),(chr(39) || '000s',1000),('k',1000),('million',1000000),('millions',1000000),('mn',1000000),('mil.',1000000),('mio.',1000000),('m',1000000),
+('billion',1000000000),('billions',1000000000),('bn',1000000000)) AS size(w, f)"""
+P4_SQL = f"""
+WITH cur AS (SELECT * FROM {_CUR}), size AS (SELECT * FROM {_SIZE}),
+spelt AS (SELECT t AS u, code, CAST(NULL AS BIGINT) AS f FROM cur UNION SELECT t || sep || w, code, f FROM cur, size, (VALUES (''), (' ')) AS s(sep)
+ UNION SELECT p || t, code, f FROM cur, (VALUES ('k', 1000), ('t', 1000), ('m', 1000000)) AS z(p, f) UNION SELECT w || ' of ' || t, code, f FROM cur, size),
+tails AS (SELECT ', in ' || t AS tail, code, CAST(NULL AS BIGINT) AS f FROM cur UNION SELECT ', ' || w || ' of ' || t, code, f FROM cur, size UNION SELECT ' in ' || t || ' ' || w, code, f FROM cur, size UNION SELECT '(' || t || ' ' || w || ')', code, f FROM cur, size
+ UNION SELECT p || w || q, NULL, f FROM size, (VALUES ('(in ', ')'), ('(', ')'), (' in ', ''), ('- amounts in ', ''), ('- figures stated in ', ''), ('- expressed in ', ''), ('(', ', unaudited)'), ('(', ', except per share data)')) AS z(p, q)),
+r AS (SELECT DISTINCT revenue_row_id, period_end, value, regexp_replace(lower(trim(coalesce(unit, ''))), '^iso4217:', '') AS u, lower(trim(coalesce(caption, ''))) AS c FROM dimensional_revenue_row),
+c AS (SELECT c, arg_max(code, length(tail)) AS code, arg_max(coalesce(f, 0), length(tail)) AS f FROM (SELECT DISTINCT c FROM r) JOIN tails ON ends_with(c, tail) GROUP BY c),
+j AS (SELECT r.*, CASE WHEN r.u = '' OR s.u IS NOT NULL THEN coalesce(s.code, c.code) END AS code, coalesce(s.f, nullif(c.f, 0), 1) AS f FROM r LEFT JOIN spelt s ON s.u = r.u LEFT JOIN c ON c.c = r.c),
+k AS (SELECT * FROM j WHERE code IS NOT NULL AND value IS NOT NULL AND NOT (code = 'USD' AND f = 1)),
+x AS (SELECT k.*, CASE WHEN code = 'USD' THEN 1 ELSE o.value END AS rate FROM k ASOF LEFT JOIN (SELECT currency, obs_date, value FROM fred_observation WHERE value IS NOT NULL) o ON o.currency = k.code AND k.period_end >= o.obs_date)
+SELECT 'revenue' AS record_kind, revenue_row_id AS record_id, CAST(round(CAST(value * f AS DECIMAL(26,4)) * CAST(rate AS DECIMAL(12,6)), 0) AS BIGINT) AS amount_usd FROM x WHERE rate IS NOT NULL
+UNION SELECT 'holding', disagreement_id, CAST(round(filed_value * CASE WHEN lr < 4.5 THEN 1000 ELSE 1000000 END, 0) AS BIGINT) FROM (SELECT disagreement_id, filed_value, log10(CAST(derived_value AS DOUBLE) / CAST(filed_value AS DOUBLE)) AS lr FROM value_basis_disagreement WHERE filed_value > 0 AND derived_value > 0)
+WHERE abs(lr - 3) < 0.12 OR abs(lr - 6) < 0.12
+"""
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The three largest holdings of each stock and report date."""
     rows = table(spark, d, "institutional_holding")
@@ -161,6 +205,21 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return changes.select("file_id", "field_name", "change_kind").distinct()
 
 
+_FIELD = "CASE " + " ".join(f"WHEN h IN ({', '.join(repr(x) for x in names)}) THEN '{f}'" for f, (names, _) in drift.FIELDS.items()) + " END"
+P7_SQL = f"""
+WITH h AS (SELECT file_id, unnest(string_split(header_line, chr(9))) AS raw, generate_subscripts(string_split(header_line, chr(9)), 1) AS pos FROM othermanager_archive_file),
+n AS (SELECT file_id, pos, regexp_replace(lower(raw), '[^a-z0-9]', '', 'g') AS h FROM h), f AS (SELECT file_id, pos, h, {_FIELD} AS field FROM n),
+c AS (SELECT file_id, trim(unnest(string_split(raw_line, chr(9)))) AS cell, generate_subscripts(string_split(raw_line, chr(9)), 1) AS pos FROM othermanager_archive_line),
+t AS (SELECT file_id, pos, CASE WHEN bool_and(regexp_full_match(cell, '0|[1-9][0-9]*')) THEN 'integer' WHEN bool_and(regexp_full_match(cell, '[0-9]+[.][0-9]+')) THEN 'decimal' ELSE 'text' END AS type FROM c WHERE cell <> '' GROUP BY 1, 2),
+l AS (SELECT f.file_id, f.field, f.h, t.type FROM f LEFT JOIN t USING (file_id, pos) WHERE field IS NOT NULL),
+p AS (SELECT file_id, lag(file_id) OVER (PARTITION BY feed_id ORDER BY published_on, file_id) AS prev FROM othermanager_archive_file),
+d AS (SELECT p.file_id, b.field, a.h AS ah, a.type AS aty, b.h AS bh, b.type AS bty FROM p JOIN l b ON b.file_id = p.file_id LEFT JOIN l a ON a.file_id = p.prev AND a.field = b.field WHERE prev IS NOT NULL
+ UNION SELECT p.file_id, a.field, a.h, a.type, b.h, b.type FROM p JOIN l a ON a.file_id = p.prev LEFT JOIN l b ON b.file_id = p.file_id AND a.field = b.field WHERE prev IS NOT NULL)
+SELECT file_id, field AS field_name, 'added' AS change_kind FROM d WHERE ah IS NULL UNION SELECT file_id, field, 'removed' FROM d WHERE bh IS NULL
+UNION SELECT file_id, field, 'renamed' FROM d WHERE ah <> bh UNION SELECT file_id, field, 'retyped' FROM d WHERE aty <> bty
+"""
+
+
 def p7_table(spark: SparkSession, d: str) -> DataFrame:
     """All archived lines in the union schema."""
     return drift.unified_table(table(spark, d, "othermanager_archive_file"), table(spark, d, "othermanager_archive_line"))
@@ -171,4 +230,4 @@ QUERIES = {
     "p4_found": p4_found, "p4_solutions": p4_solutions, "p6_found": p6_found, "p6_share_of_class": p6_share_of_class,
     "p7_found": p7_found, "p7_table": p7_table,
 }
-ORACLES = {"p1_found": P1_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL, "p6_share_of_class": P6B_SQL}
+ORACLES = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL, "p6_share_of_class": P6B_SQL}
