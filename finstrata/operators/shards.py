@@ -104,11 +104,11 @@ def assign_rows(df: DataFrame, plan: ShardPlan, row_id: Column) -> DataFrame:
 
 
 def replicate_rows(df: DataFrame, plan: ShardPlan) -> DataFrame:
-    """The matching side: each row once for every shard of its key, with _task."""
+    """The matching side: each row once for every task that has a shard of its key, with _task."""
     df = df.drop("_tasks", "_bin", "_task", "_shard", "_p")
     return (
         _with_plan(df, plan)
-        .withColumn("_p", F.explode(F.when(F.col("_tasks").isNull(), F.array(F.coalesce("_task", F.lit(0)))).otherwise(F.col("_tasks"))))
+        .withColumn("_p", F.explode(F.when(F.col("_tasks").isNull(), F.array(F.coalesce("_task", F.lit(0)))).otherwise(F.array_distinct("_tasks"))))
         .drop("_task", "_bin", "_tasks").withColumnRenamed("_p", "_task")
     )
 

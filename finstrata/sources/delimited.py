@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 
 def plain_columns(df: DataFrame) -> DataFrame:
-    """Column names in lower case without blanks around; of equal names the first stays."""
+    """Column names in lower case without blanks around; of equal names the first stays.
+
+    (The CSV reader numbers headings that repeat in a file, so those are told apart already.)
+    """
     seen: dict[str, int] = {}
     picks = []
     for i, c in enumerate(df.columns):

@@ -46,6 +46,14 @@ def test_sharded_join_is_a_join(spark):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+def test_two_shards_of_a_key_in_one_task_replicate_once(spark):
+    left = spark.createDataFrame([(1, i) for i in range(100)] + [(2, i) for i in range(100, 110)], "k long, id long")
+    right = spark.createDataFrame([(1, "a"), (2, "b")], "k long, name string")
+    plan = plan_shards(left, ["k"], 3)
+    plan.heavy = spark.createDataFrame([(1, [0, 1, 1])], "k long, _tasks array<int>")
+    assert join_sharded(left, right, plan, F.col("id")).count() == 110
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert top_rows(df, ["k", "d"], "v", "id", 3).count() == 0
