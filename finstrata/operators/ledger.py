@@ -23,9 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from finstrata.core.scans import chunked_scan
 from finstrata.core.streams import stream_groups
+from finstrata.core.tables import checkpoint_dir
 
 BLOCK = 2048
+LONG = 100_000  # messages of an entity up to which plain windows serve
+CHUNK = 28 * 86_400 * 1_000_000  # microseconds of time that a scan handles in one task
 NONE = -(1 << 62)  # an unknown time
 OPEN = NONE + 1  # not ended yet
 
@@ -100,7 +104,7 @@ def _sweep(tbl: pa.Table, starts: np.ndarray) -> pa.Table | None:
 
 
 def bitemporal_ledger(
-    messages: DataFrame, entity: str, value: str, previous: str | None, raised: str, recorded: str, block: int = BLOCK
+    messages: DataFrame, entity: str, value: str, previous: str | None, raised: str, recorded: str, block: int = BLOCK, long: int = LONG
 ) -> DataFrame:
     """(entity, value, valid_from, valid_to, from_known, is_open, recorded_from, recorded_to).
 
@@ -121,27 +125,25 @@ def bitemporal_ledger(
         .groupBy("entity", "raised").agg(F.max(F.struct("value", "previous", "recorded")).alias("m"))
         .select("entity", "raised", "m.*")
     )
-    by_raised = Window.partitionBy("entity").orderBy("raised")
-    by_record = Window.partitionBy("entity").orderBy("recorded", "raised")
-    so_far, upto = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, 0)
-    ordered = (
-        once.withColumn("before", F.lag("value").over(by_raised))
-        .withColumn("start", F.when(F.col("before").isNull() | (F.col("before") != F.col("value")), F.col("raised")))
-        .withColumn("since", F.last("start", True).over(by_raised.rowsBetween(*upto)))
-        .withColumn("since_before", F.lag("since").over(by_raised))
-    )
-    cut = (
-        ordered.withColumn("newest", F.max("raised").over(by_record.rowsBetween(*so_far)))
-        .withColumn("oldest", F.min("raised").over(by_record.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("rn", F.row_number().over(by_record) - 1)
-        .withColumn("settled", F.col("newest").isNull() | (F.col("newest") < F.col("oldest")))
-        .withColumn("block", F.floor(F.max(F.when(F.col("settled"), F.col("rn"))).over(by_record.rowsBetween(*upto)) / block))
+    most = once.groupBy("entity").count().agg(F.max("count")).first()[0] or 0
+    hot = most > long  # an entity too long for one task: cut its windows into chunks of time
+    bucket = lambda c: F.floor(F.col(c) / CHUNK) if hot else None
+    changes = chunked_scan(once, ["entity"], bucket("raised"), ["raised"], {"before": ("previous", "value")}).withColumn(
+        "start", F.when(F.col("before").isNull() | (F.col("before") != F.col("value")), F.col("raised"))
     )
+    ordered = chunked_scan(changes, ["entity"], bucket("raised"), ["raised"], {"since_before": ("max_before", "start")})
+    if hot:  # each scan reads its input twice; a cut keeps that from doubling at every step
+        checkpoint_dir(messages.sparkSession)
+        ordered = ordered.checkpoint()
+    by_record = (["entity"], bucket("recorded"), ["recorded", "raised"])
+    seen = chunked_scan(ordered, *by_record, {
+        "newest": ("max_before", "raised"), "oldest": ("min_from", "raised"), "rn": ("count_before", "raised"),
+    }).withColumn("settled", F.when(F.col("newest").isNull() | (F.col("newest") < F.col("oldest")), F.col("rn")))
+    seen = seen.checkpoint() if hot else seen
+    cut = chunked_scan(seen, *by_record, {"block": ("max_upto", "settled")}).withColumn("block", F.floor(F.col("block") / block))
     # what a block starts from: the value in force before its oldest message
-    first = Window.partitionBy("entity", "block").orderBy("raised")
-    blocks = cut.withColumn("carry", F.first("before").over(first)).withColumn(
-        "carry_since", F.first("since_before").over(first)
-    )
+    first = cut.groupBy("entity", "block").agg(F.min_by(F.struct("before", "since_before"), "raised").alias("f"))
+    blocks = cut.join(first, ["entity", "block"]).withColumns({"carry": F.col("f.before"), "carry_since": F.col("f.since_before")})
     kind = dict(blocks.dtypes)["entity"]
     events = stream_groups(
         blocks.select("entity", "block", "value", "previous", "raised", "recorded", "carry", "carry_since"),

@@ -34,8 +34,8 @@ def _believed(messages):
     return out
 
 
-@pytest.mark.parametrize("block", [1, 3, 1000])
-def test_every_recorded_time_tells_what_was_known(spark, block):
+@pytest.mark.parametrize("block,long", [(1, 1000), (3, 1000), (1000, 1000), (3, 2)])
+def test_every_recorded_time_tells_what_was_known(spark, block, long):
     r = random.Random(block)
     rows = []
     for e in (1, 2, 3):
@@ -48,7 +48,7 @@ def test_every_recorded_time_tells_what_was_known(spark, block):
     rows = [seen.setdefault((x[0], x[3]), x)[:3] + (x[3], x[4]) for x in rows]
     rows += [(None, "A", None, T0, T0), (4, None, None, T0, T0), (4, "A", None, None, T0)]
     df = spark.createDataFrame(rows, "entity long, value string, previous string, raised timestamp, recorded timestamp").withColumn("block", F.lit("clash"))
-    got = bitemporal_ledger(df, "entity", "value", "previous", "raised", "recorded", block).collect()
+    got = bitemporal_ledger(df, "entity", "value", "previous", "raised", "recorded", block, long).collect()
     for at in sorted({x[4] for x in rows}):
         then = {(g.entity, g.value, g.valid_from, g.valid_to, g.is_open) for g in got if g.recorded_from <= at and (g.recorded_to is None or g.recorded_to > at)}
         assert then == _believed([x for x in rows if x[4] <= at]), at
