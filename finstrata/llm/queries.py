@@ -54,4 +54,17 @@ QUERIES = {
     "p5_found": p5_found, "p5_matches": p5_matches, "p8_containers": p8_containers, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found,
     "p10_one_form": p10_one_form,
 }
-ORACLES: dict[str, str] = {}
+
+def _p10_sql() -> str:
+    """The same pairs by another way: characters mapped, then NFC, compared as they are."""
+    pairs = {a: b for a, b in lookalike.character_map().items() if b}
+    gone = "".join(f"\\x{{{ord(a):X}}}" for a, b in lookalike.character_map().items() if not b and ord(a) < 0x10000)
+    form = "text"
+    for a, b in lookalike.LIGATURES.items():
+        form = f"replace({form}, '{a}', '{b}')"
+    form = f"translate({form}, '{''.join(pairs)}', '{''.join(x.replace(chr(39), chr(39) * 2) for x in pairs.values())}')"
+    return f"""WITH n AS (SELECT doc_id, text, nfc_normalize(regexp_replace({form}, '[{gone}]', '', 'g')) AS look FROM documents WHERE text IS NOT NULL)
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM n a JOIN n b ON a.look = b.look AND a.doc_id < b.doc_id WHERE a.text <> b.text"""
+
+
+ORACLES: dict[str, str] = {"p10_found": _p10_sql()}
