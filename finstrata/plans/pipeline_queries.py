@@ -120,7 +120,16 @@ WHERE cik IS NOT NULL AND common_stock_id IS NOT NULL AND raised_at IS NOT NULL
 def p4_solutions(spark: SparkSession, d: str) -> DataFrame:
     """Filed values with the scale that the identity filed_value * scale = derived_value gives."""
     rows = table(spark, d, "value_basis_disagreement").select("disagreement_id", "filed_value", "derived_value")
-    return units.solve_units(rows, "filed_value", F.col("derived_value"), [1, 1_000, 1_000_000, 1_000_000_000])
+    solved = units.solve_units(rows, "filed_value", F.col("derived_value"), [1, 1_000, 1_000_000, 1_000_000_000])
+    return solved.select("disagreement_id", F.col("filed_value").cast("double").alias("filed_value"), F.round("residual", 6).alias("residual"), "solutions", "factor")
+
+
+P4B_SQL = """
+WITH r AS (SELECT disagreement_id, filed_value, f, CASE WHEN filed_value > 0 AND derived_value > 0 THEN abs(log10(CAST(filed_value AS DOUBLE) * f / CAST(derived_value AS DOUBLE))) END AS res FROM value_basis_disagreement, (VALUES (1), (1000), (1000000), (1000000000)) AS z(f)),
+b AS (SELECT disagreement_id, filed_value, min(res) AS best, arg_min(f, res) AS f FROM r GROUP BY 1, 2),
+n AS (SELECT r.disagreement_id, count(*) FILTER (WHERE res < best + 0.12) AS n FROM r JOIN b USING (disagreement_id) GROUP BY 1)
+SELECT disagreement_id, CAST(b.filed_value AS DOUBLE) AS filed_value, round(best, 6) AS residual, CAST(CASE WHEN best < 0.12 THEN n ELSE 0 END AS INT) AS solutions, CAST(CASE WHEN best < 0.12 AND n = 1 THEN f END AS BIGINT) AS factor FROM b JOIN n USING (disagreement_id)
+"""
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -230,4 +239,4 @@ QUERIES = {
     "p4_found": p4_found, "p4_solutions": p4_solutions, "p6_found": p6_found, "p6_share_of_class": p6_share_of_class,
     "p7_found": p7_found, "p7_table": p7_table,
 }
-ORACLES = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL, "p6_share_of_class": P6B_SQL}
+ORACLES = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL, "p4_solutions": P4B_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL, "p6_share_of_class": P6B_SQL}
