@@ -85,9 +85,13 @@ def on_balance_volume(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def trailing_return(c: str, keys: list[str], order: str, n: int) -> Column:
-    """Percent change over n bars, 2 places; null without a positive base."""
-    base = F.lag(c, n).over(_w(keys, order))
-    return F.when(base > 0, F.round((F.col(c) - base) * 100.0 / base, 2) + 0.0)
+    """Percent change over n bars; null without a positive base."""
+    return percent_change(F.col(c), F.lag(c, n).over(_w(keys, order)))
+
+
+def percent_change(now: Column, base: Column) -> Column:
+    """Change in percent, rounded half to even at 2 places from whole units; null without a positive base."""
+    return F.when(base > 0, half_even((now - base) * 10_000, F.when(base > 0, base)) / 100.0)
 
 
 def with_calendar_returns(df: DataFrame, c: str, keys: list[str], order: str) -> DataFrame:
@@ -96,7 +100,7 @@ def with_calendar_returns(df: DataFrame, c: str, keys: list[str], order: str) ->
     for part, name in (("month", "mtd"), ("year", "ytd")):
         w = Window.partitionBy(*keys, F.trunc(F.col(order), part)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         base = F.first("_prev").over(w)
-        out = out.withColumn(name, F.when(base > 0, F.round((F.col(c) - base) * 100.0 / base, 2) + 0.0))
+        out = out.withColumn(name, percent_change(F.col(c), base))
     return out.drop("_prev")
 
 

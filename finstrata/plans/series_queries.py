@@ -72,7 +72,11 @@ def win_on_balance_volume(spark, d):
     return S.on_balance_volume(bars(spark, d), K, D).select(*K, day(D).alias(D), "obv")
 
 
-@query(f"SELECT {_D}, " + ", ".join(f"CASE WHEN lag(close, {n}) OVER {W} > 0 THEN round((close - lag(close, {n}) OVER {W}) * 100.0 / lag(close, {n}) OVER {W}, 2) + 0.0 END AS r{n}" for n in (5, 20, 120)) + f" FROM {B}")
+def _percent(base: str) -> str:
+    return f"CASE WHEN {base} > 0 THEN {half_even_sql(f'(close - {base}) * 10000', f'CASE WHEN {base} > 0 THEN {base} END')} / 100.0 END"
+
+
+@query(f"SELECT {_D}, " + ", ".join(f"{_percent(f'b{n}')} AS r{n}" for n in (5, 20, 120)) + f" FROM (SELECT *, lag(close, 5) OVER {W} AS b5, lag(close, 20) OVER {W} AS b20, lag(close, 120) OVER {W} AS b120 FROM {B})")
 def win_trailing_returns(spark, d):
     return bars(spark, d).select(*K, day(D).alias(D), *[S.trailing_return("close", K, D, n).alias(f"r{n}") for n in (5, 20, 120)])
 
@@ -81,7 +85,7 @@ def _to_date(part: str) -> str:
     return f"first_value(p) OVER (PARTITION BY common_stock_id, date_trunc('{part}', bar_date) ORDER BY bar_date)"
 
 
-@query(f"SELECT {_D}, CASE WHEN {_to_date('month')} > 0 THEN round((close - {_to_date('month')}) * 100.0 / {_to_date('month')}, 2) + 0.0 END AS mtd, CASE WHEN {_to_date('year')} > 0 THEN round((close - {_to_date('year')}) * 100.0 / {_to_date('year')}, 2) + 0.0 END AS ytd FROM (SELECT *, lag(close) OVER {W} AS p FROM {B})")
+@query(f"SELECT {_D}, {_percent('m')} AS mtd, {_percent('y')} AS ytd FROM (SELECT *, {_to_date('month')} AS m, {_to_date('year')} AS y FROM (SELECT *, lag(close) OVER {W} AS p FROM {B}))")
 def win_calendar_returns(spark, d):
     """Month and year to date, from the last bar before the period."""
     return S.with_calendar_returns(bars(spark, d), "close", K, D).select(*K, day(D).alias(D), "mtd", "ytd")
@@ -149,7 +153,7 @@ e12(common_stock_id, rn, e) AS {_ema_sql(12, rel='n')}, e26(common_stock_id, rn,
 m AS MATERIALIZED (SELECT a.common_stock_id, a.rn, CAST(a.e - b.e AS BIGINT) AS macd FROM e12 a JOIN e26 b ON a.common_stock_id = b.common_stock_id AND a.rn = b.rn),
 e9(common_stock_id, rn, e) AS {_ema_sql(9, 'macd', 'm', 26)}, {_wilder_sql('u', 'up', 'n', 2)}, {_wilder_sql('d', 'down', 'n', 2)}, {_wilder_sql('t', 'tr', 'n', 1)}
 SELECT n.common_stock_id, strftime(n.bar_date, '%Y-%m-%d') AS bar_date, m.macd, CAST(e9.e AS BIGINT) AS signal, CAST(m.macd - e9.e AS BIGINT) AS histogram,
- round(CASE WHEN d.a = 0 THEN 100 ELSE 100 - 100 / (1 + u.a / d.a) END, 2) AS rsi14, round(t.a) AS atr14 FROM n LEFT JOIN m USING (common_stock_id, rn) LEFT JOIN e9 USING (common_stock_id, rn) LEFT JOIN u USING (common_stock_id, rn) LEFT JOIN d USING (common_stock_id, rn) LEFT JOIN t USING (common_stock_id, rn)"""
+ round_even(CASE WHEN d.a = 0 THEN 100 ELSE 100 - 100 / (1 + u.a / d.a) END, 2) AS rsi14, round_even(t.a, 0) AS atr14 FROM n LEFT JOIN m USING (common_stock_id, rn) LEFT JOIN e9 USING (common_stock_id, rn) LEFT JOIN u USING (common_stock_id, rn) LEFT JOIN d USING (common_stock_id, rn) LEFT JOIN t USING (common_stock_id, rn)"""
 
 
 @query(_MRA)

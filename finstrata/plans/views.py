@@ -41,7 +41,7 @@ def half_even_sql(total: str, n: str) -> str:
     """total / n rounded half to even over whole numbers, as ``series.half_even``."""
     r = f"(((({total}) % ({n})) + ({n})) % ({n}))"
     q = f"((({total}) - {r}) // ({n}))"
-    return f"({q} + CASE WHEN 2 * {r} > ({n}) OR (2 * {r} = ({n}) AND {q} % 2 = 1) THEN 1 ELSE 0 END)"
+    return f"({q} + CASE WHEN 2 * {r} > ({n}) OR (2 * {r} = ({n}) AND abs({q}) % 2 = 1) THEN 1 ELSE 0 END)"
 
 
 def day(c):
