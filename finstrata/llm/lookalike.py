@@ -84,9 +84,11 @@ def coarse_key(plain: Column) -> Column:
     return F.xxhash64(F.regexp_replace(bare, r"[^\x21-\x7e]+", ""))
 
 
-def look_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def look_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_form: bool = False) -> DataFrame:
     """(doc_id, canonical_id, variant): documents of which another text looks the same.
 
+    ``with_form`` adds ``form``, the canonical member's plain form.
+
     ``canonical_id`` is the smallest document of the class, ``variant`` tells the stored texts of
     a class apart. Documents whose text is null or that only exact copies share are left out.
     A repeated row counts once. Extra columns are ignored.
@@ -104,9 +106,11 @@ def look_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         .select(F.array_min("_variants").alias("_class"), F.explode("_variants").alias("_variant"))
     )
     members = keyed.select("_id", "_variant").distinct().join(classes, "_variant")
-    canonical = members.groupBy("_class").agg(F.min("_id").alias("canonical_id"))
+    canonical = members.groupBy("_class").agg(F.min("_id").alias("canonical_id"), F.min_by("_variant", "_id").alias("_chosen"))
+    if with_form:
+        canonical = canonical.join(texts.select(F.col("_variant").alias("_chosen"), F.col("_plain").alias("form")), "_chosen")
     return members.join(canonical, "_class").select(
-        F.col("_id").alias(doc_id), "canonical_id", F.col("_variant").alias("variant")
+        F.col("_id").alias(doc_id), "canonical_id", F.col("_variant").alias("variant"), *(["form"] if with_form else [])
     )
 
 
@@ -126,10 +130,7 @@ def one_form(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     A document of no class is its own canonical member.
     """
     rows = docs.select(F.col(doc_id).alias("_id"), plain_form(F.col(text)).alias("_form")).dropDuplicates(["_id"])
-    named = look_classes(docs, doc_id, text).select(F.col(doc_id).alias("_m"), "canonical_id").distinct()
-    joined = rows.join(named, F.col("_id") == F.col("_m"), "left").drop("_m")
-    inside = joined.filter(F.col("canonical_id").isNotNull()).drop("_form")
-    forms = rows.join(named.select(F.col("canonical_id").alias("_c")).distinct(), F.col("_id") == F.col("_c")).select("_c", "_form")
-    moved = inside.join(forms, F.col("canonical_id") == F.col("_c")).select("_id", "canonical_id", "_form")
-    own = joined.filter(F.col("canonical_id").isNull()).select("_id", F.col("_id").alias("canonical_id"), "_form")
-    return own.unionByName(moved).select(F.col("_id").alias(doc_id), "canonical_id", F.col("_form").alias("form"))
+    named = look_classes(docs, doc_id, text, with_form=True).dropDuplicates([doc_id]).select(F.col(doc_id).alias("_m"), "canonical_id", "form")
+    return rows.join(named, F.col("_id") == F.col("_m"), "left").select(
+        F.col("_id").alias(doc_id), F.coalesce("canonical_id", "_id").alias("canonical_id"), F.coalesce("form", "_form").alias("form")
+    )
