@@ -88,3 +88,15 @@ def span_kind(start: Column, end: Column) -> Column:
 def filing_window_open(report: Column, as_of: Column, days: int = 45) -> Column:
     """Whether the deadline of a report's filing is still to come on ``as_of``."""
     return as_of <= F.date_add(report, days)
+
+
+def settlement_cycle(calendar: DataFrame, disseminated_after: int = 7) -> DataFrame:
+    """(settlement, due, published): short-interest settlements of each month and what follows them.
+
+    Settlement is on the last session on or before the 15th and the month's last; reports are due two
+    sessions later and published ``disseminated_after`` sessions after they are due.
+    """
+    half = F.when(F.dayofmonth("session") <= 15, 1).otherwise(2)
+    ends = calendar.groupBy(F.trunc("session", "month").alias("_m"), half.alias("_h")).agg(F.max("ordinal").alias("_o"), F.max("session").alias("settlement"))
+    at = lambda n, name: calendar.select((F.col("ordinal") - n).alias("_o"), F.col("session").alias(name))
+    return ends.join(F.broadcast(at(2, "due")), "_o", "left").join(F.broadcast(at(2 + disseminated_after, "published")), "_o", "left").select("settlement", "due", "published")

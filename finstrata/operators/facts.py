@@ -177,3 +177,20 @@ def depositary_ratio(c: Column) -> Column:
         return s.map(lambda x: None if x is None else ratio_of(x))
 
     return ratio(c)
+
+
+def orient_axes(legs: DataFrame, axis: str, member: str, other_axis: str, other_member: str, wanted: list[str]) -> DataFrame:
+    """Facts with two axes seen from each wanted one: a leg whose axis is wanted, and its mirror image."""
+    same = legs.filter(F.col(axis).isin(wanted))
+    swap = {axis: other_axis, member: other_member, other_axis: axis, other_member: member}
+    mirror = legs.filter(F.col(other_axis).isin(wanted)).select(*[F.col(swap.get(c, c)).alias(c) for c in legs.columns])
+    return same.unionByName(mirror).distinct()
+
+
+def combine_payments(payments: DataFrame, keys: list[str], amount: str, source: str, precedence: list[str]) -> DataFrame:
+    """One payment a key: the amounts of the preferred source added up; other sources' are left out."""
+    rank = F.array_position(F.array(*[F.lit(s) for s in precedence]), F.col(source))
+    place = F.when(F.coalesce(rank, F.lit(0)) > 0, rank).otherwise(len(precedence) + 1)
+    g = payments.groupBy(*keys, source).agg(F.sum(amount).alias(amount), F.count("*").alias("parts")).withColumn("_p", place)
+    w = Window.partitionBy(*keys).orderBy("_p", source)
+    return g.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_p")

@@ -267,3 +267,32 @@ def grow(rows: DataFrame, weight: str, ratio: str, by: list[str]) -> DataFrame:
         (F.sum(F.col(weight).cast("double") * F.col(ratio)) / F.sum(F.col(weight).cast("double"))).alias("growth"), F.count("*").alias("positions")
     )
     return g
+
+
+def restate_history(bars: DataFrame, splits: DataFrame, key: str, date: str, price: str) -> DataFrame:
+    """Adds ``restated``: the price over all later splits, newest first, rounded half to even at each step.
+
+    Rounding at each step is part of the result, so the ratios aren't multiplied up first.
+    """
+    s = splits.filter((F.col("numerator") > 0) & (F.col("denominator") > 0)).groupBy(F.col(key).alias("_k")).agg(
+        F.reverse(F.array_sort(F.collect_list(F.struct("effective_date", F.col("numerator").cast("bigint").alias("n"), F.col("denominator").cast("bigint").alias("d"))))).alias("_s")
+    )
+    joined = bars.join(s, F.col(key) == F.col("_k"), "left")
+    later = F.filter(F.coalesce("_s", F.array().cast("array<struct<effective_date:date,n:bigint,d:bigint>>")), lambda x: x["effective_date"] > F.col(date))
+    return joined.withColumn("restated", F.aggregate(later, F.col(price), lambda p, x: half_even(p * x["d"], x["n"]))).drop("_k", "_s")
+
+
+def window_after_warm_up(df: DataFrame, indicator: Column, name: str, date: str, first: str) -> DataFrame:
+    """An indicator over whole series, shown from ``first`` on: the bars before warm it up."""
+    return df.withColumn(name, indicator).filter(F.col(date) >= F.lit(first).cast("date"))
+
+
+def usable_start(positions: DataFrame, prices: DataFrame, group: list[str], key: str, since: str, date: str) -> DataFrame:
+    """(group, usable_from): the first date from which every position has had a price.
+
+    A position without any price makes its group's date null.
+    """
+    first = prices.groupBy(key).agg(F.min(date).alias("_first"))
+    j = positions.select(*group, key, since).distinct().join(first, key, "left")
+    ready = F.greatest(F.col("_first"), F.col(since))
+    return j.groupBy(*group).agg(F.when(F.count_if(F.col("_first").isNull()) == 0, F.max(ready)).alias("usable_from"))

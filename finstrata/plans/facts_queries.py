@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from finstrata.core.tables import table
 from finstrata.functions import calendar as C
+from finstrata.functions import documents as D
 from finstrata.operators import facts as X
 from finstrata.operators import relational as R
 from finstrata.operators import series as S
 from finstrata.plans.series_queries import _SPLITS, _splits
 from finstrata.plans.text_queries import _SESS
-from finstrata.plans.views import BARS, CURRENT, HOLDINGS, PREVIOUS, bars, day, holdings
+from finstrata.plans.views import BARS, CURRENT, HOLDINGS, PREVIOUS, bars, day, half_even_sql, holdings
 
 QUERIES, ORACLES = {}, {}
 W = "(PARTITION BY common_stock_id ORDER BY bar_date)"
@@ -225,3 +226,40 @@ def ing_directory(spark, d):
     """A directory rebuilt whole: latest period and rows of each series; stale ones drop out."""
     f = table(spark, d, "shares_fact").groupBy("common_stock_id").agg(F.max("as_of").alias("latest"), F.count("*").alias("n")).filter("n >= 2")
     return table(spark, d, "common_stock").select("common_stock_id", "ticker").join(f, "common_stock_id").select("common_stock_id", "ticker", day("latest").alias("latest"), "n")
+
+
+@query(f"""SELECT b.common_stock_id, strftime(b.bar_date, '%Y-%m-%d') AS bar_date, CAST(CASE WHEN n = 0 THEN close WHEN n = 1 AND bar_date < DATE '2023-06-15' AND common_stock_id % 9 <> 0 THEN {half_even_sql('close', '2')}
+ WHEN n = 1 THEN {half_even_sql('close * 2', '3')} ELSE {half_even_sql(half_even_sql('close * 2', '3'), '2')} END AS BIGINT) AS restated FROM (SELECT *, (CASE WHEN common_stock_id % 3 = 0 AND bar_date < DATE '2023-06-15' THEN 1 ELSE 0 END) + (CASE WHEN common_stock_id % 9 = 0 AND bar_date < DATE '2024-02-01' THEN 1 ELSE 0 END) AS n FROM {BARS}) b""")
+def ing_restate_history(spark, d):
+    """Closes in today's shares, rounded at each split from the newest back."""
+    b = bars(spark, d).select("common_stock_id", "bar_date", "close")
+    return S.restate_history(b, _splits(spark, d), "common_stock_id", "bar_date", "close").select("common_stock_id", day("bar_date").alias("bar_date"), "restated")
+
+
+@query(f"""WITH q AS (SELECT DISTINCT institutional_holder_id AS h, common_stock_id AS s, report_date AS r FROM {H}), f AS (SELECT common_stock_id AS s, min(bar_date) AS a FROM {BARS} GROUP BY 1)
+SELECT h AS institutional_holder_id, strftime(r, '%Y-%m-%d') AS report_date, CASE WHEN count(*) FILTER (WHERE a IS NULL) = 0 THEN strftime(max(greatest(a, r)), '%Y-%m-%d') END AS usable_from FROM q LEFT JOIN f USING (s) GROUP BY 1, 2""")
+def fn_usable_start(spark, d):
+    """The first date at which all of a report's positions can be priced."""
+    q = holdings(spark, d, "institutional_holder_id", "common_stock_id", "report_date").withColumn("since", F.col("report_date"))
+    u = S.usable_start(q, bars(spark, d), ["institutional_holder_id", "report_date"], "common_stock_id", "since", "bar_date")
+    return u.select("institutional_holder_id", day("report_date").alias("report_date"), day("usable_from").alias("usable_from"))
+
+
+@query(f"""WITH s AS {_SESS}, e AS (SELECT max(ordinal) AS o, max(session) AS settlement FROM s GROUP BY date_trunc('month', session), CASE WHEN day(session) <= 15 THEN 1 ELSE 2 END)
+SELECT strftime(settlement, '%Y-%m-%d') AS settlement, strftime(a.session, '%Y-%m-%d') AS due, strftime(b.session, '%Y-%m-%d') AS published FROM e LEFT JOIN s a ON a.ordinal = e.o + 2 LEFT JOIN s b ON b.ordinal = e.o + 9""")
+def fn_settlement_cycle(spark, d):
+    c = C.settlement_cycle(C.sessions(spark, 2018, 2025))
+    return c.select(day("settlement").alias("settlement"), day("due").alias("due"), day("published").alias("published"))
+
+
+@query()
+def fn_token_windows(spark, d):
+    """Windows of at most 1,024 words that end with a sentence where they can, over whole texts."""
+    w = D.token_windows(table(spark, d, "documents"), "doc_id", "text")
+    return w.select("doc_id", "chunk", "start_char", "end_char", "start_line", "n_tokens", F.length("content").alias("n_chars"))
+
+
+@query("""SELECT transaction_id, CASE WHEN regexp_matches(transaction_code, 'sale|tax', 'i') THEN 'out' WHEN regexp_matches(transaction_code, 'purchase|award|exercise', 'i') THEN 'in' ELSE 'other' END AS kind FROM insider_transaction GROUP BY ALL""")
+def fn_classify(spark, d):
+    kinds = [("out", "sale|tax"), ("in", "purchase|award|exercise")]
+    return table(spark, d, "insider_transaction").select("transaction_id", D.classify(F.col("transaction_code"), kinds, "other").alias("kind")).distinct()

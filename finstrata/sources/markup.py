@@ -231,3 +231,24 @@ def xbrl_facts(docs: DataFrame, doc_id: str, html: str) -> DataFrame:
 
     raw = docs.select(doc_id, html).mapInArrow(run, f"{doc_id} {kind}, concept string, period_start string, period_end string, unit string, value string, text string, members map<string,string>")
     return raw.withColumns({"period_start": F.try_to_date("period_start"), "period_end": F.try_to_date("period_end"), "value": F.col("value").try_cast("decimal(38,6)")})
+
+
+def atom_entries(feeds: DataFrame, feed_id: str, xml: str) -> DataFrame:
+    """(feed_id, title, form, cik, accession, updated) of an Atom feed of filings."""
+    schema = "entry array<struct<title:string,updated:string,id:string,category:struct<_term:string>,summary:string>>"
+    e = feeds.select(feed_id, F.explode(F.from_xml(plain_xml(F.col(xml)), schema)["entry"]).alias("e"))
+    return e.select(
+        feed_id, F.trim("e.title").alias("title"), F.coalesce(F.col("e.category._term"), F.trim(F.split_part("e.title", F.lit(" - "), F.lit(1)))).alias("form"),
+        F.regexp_extract("e.title", r"\((\d{10})\)", 1).alias("cik"), F.regexp_extract("e.id", r"accession-number=([\d-]+)", 1).alias("accession"), F.col("e.updated").try_cast("timestamp").alias("updated"),
+    )
+
+
+def index_rows(lines: DataFrame, forms: list[str] | None = None, text: str = "value") -> DataFrame:
+    """(form, company, cik, filed, path) of a daily index; its heading lines don't fit and drop out."""
+    pattern = r"^(\S+(?: \S+)*)\s{2,}(.+?)\s{2,}(\d{1,10})\s+(\d{8}|\d{4}-\d{2}-\d{2})\s+(\S+)\s*$"
+    part = lambda i: F.regexp_extract(text, pattern, i)
+    rows = lines.filter(F.col(text).rlike(pattern)).select(
+        part(1).alias("form"), part(2).alias("company"), F.lpad(part(3), 10, "0").alias("cik"),
+        F.coalesce(F.try_to_date(part(4), "yyyyMMdd"), F.try_to_date(part(4), "yyyy-MM-dd")).alias("filed"), part(5).alias("path"),
+    )
+    return rows if forms is None else rows.filter(F.col("form").isin(forms))

@@ -79,3 +79,23 @@ def reprice(pending: DataFrame, prices: DataFrame, keys: list[str], price: str,
     spent = F.col(tries) + 1 >= most
     state = F.when(F.col("_p").isNotNull(), "derived").when(~spent, "pending").when(F.col(filed).isNotNull(), "filed").otherwise("unavailable")
     return j.withColumns({"value": F.coalesce(value, F.when(spent, F.col(filed))), "state": state, tries: F.when(F.col("_p").isNull(), F.col(tries) + 1).otherwise(F.col(tries))}).drop("_p")
+
+
+def start_from(spark: SparkSession, stored: DataFrame, date: str, floor: str | None = None, default: str = "2020-01-01") -> str:
+    """Where a fetcher goes on: the latest stored date, else the floor, else the default."""
+    last = stored.agg(F.max(date).cast("string")).first()[0]
+    return last or floor or default
+
+
+def stale(rows: DataFrame, version: str, current: int) -> DataFrame:
+    """Rows made by an older version of what made them, which are to be made again."""
+    return rows.filter(F.coalesce(F.col(version), F.lit(0)) < current)
+
+
+def split_failures(parsed: DataFrame, ok, key: str, attempts: DataFrame | None = None, most: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(good rows, tombstones): failures with their count and the hours to wait, which double."""
+    bad = parsed.filter(~F.coalesce(ok, F.lit(False))).select(key).distinct()
+    before = bad.withColumn("attempts", F.lit(0)) if attempts is None else bad.join(attempts.select(key, "attempts"), key, "left").fillna({"attempts": 0})
+    tried = before.withColumn("attempts", F.col("attempts") + 1)
+    wait = F.when(F.col("attempts") < most, F.pow(F.lit(2), F.col("attempts") - 1).cast("int"))
+    return parsed.filter(ok), tried.withColumn("wait_hours", wait)
