@@ -179,7 +179,7 @@ def top_with_sentinels_last(spark, d):
     odd = F.when(F.col("market_capitalization").isNull() | (F.col("market_capitalization") >= 1e11), 1).otherwise(0)
     order = [odd, F.desc_nulls_last("market_capitalization"), F.col("common_stock_id")]
     top = table(spark, d, "common_stock").orderBy(*order).limit(50)
-    return top.select("common_stock_id", "market_capitalization", F.row_number().over(Window.orderBy(*order)).alias("place"))
+    return top.select("common_stock_id", "market_capitalization", F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("place"))
 
 
 @query(f"SELECT common_stock_id, round(CAST(a AS DOUBLE) / b, 6) AS ratio FROM (SELECT common_stock_id, sum(CASE WHEN option_type = 'Put' THEN value ELSE 0 END) AS a, sum(value) AS b FROM {H} WHERE report_date = {CUR} GROUP BY 1) WHERE b > 0 ORDER BY CAST(a AS DOUBLE) / b DESC, common_stock_id LIMIT 25")

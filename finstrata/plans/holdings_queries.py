@@ -418,7 +418,7 @@ def agg_consensus_index(spark, d):
     g = _positions(spark, d).withColumn("w", share).groupBy("common_stock_id").agg(F.count("*").alias("funds"), F.round(F.sum("w"), 6).alias("weight"), F.sum("value").alias("value")).filter("funds >= 2")
     top = g.orderBy(F.desc("funds"), F.desc("weight"), F.desc("value"), "common_stock_id").limit(50)
     w = Window.orderBy(F.desc("funds"), F.desc("weight"), F.desc("value"), "common_stock_id")
-    return top.withColumn("index_rank", F.row_number().over(w)).withColumn("index_weight", F.round(F.lit(1.0) / F.count("*").over(Window.partitionBy()), 6))
+    return top.withColumn("index_rank", F.row_number().over(w).cast("bigint")).withColumn("index_weight", F.round(F.lit(1.0) / F.count("*").over(Window.partitionBy()), 6))
 
 
 @query(f"""WITH n AS (SELECT accession_number, institutional_holder_id, filing_date, count(*) AS n FROM {H} GROUP BY 1, 2, 3)

@@ -32,7 +32,7 @@ _TOK = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\
 
 @query(f"SELECT doc_id, len(list_distinct(t)) AS n_tokens, t[1] AS first_token FROM (SELECT doc_id, {_TOK} AS t FROM documents)")
 def fn_tokenise(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("t")).select("doc_id", F.size("t").alias("n_tokens"), F.get("t", 0).alias("first_token"))
+    return table(spark, d, "documents").select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("t")).select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.get("t", 0).alias("first_token"))
 
 
 def _bm25_sql(every: bool) -> str:
