@@ -22,6 +22,13 @@ def day_number(c: Column) -> Column:
     return F.unix_date(c.cast("date"))
 
 
+def day_span(*columns: tuple[DataFrame, str]) -> tuple[int | None, int | None]:
+    """First and last day number over date columns: one cheap scan of each."""
+    ends = [df.agg(F.min(day_number(F.col(c))), F.max(day_number(F.col(c)))).first() for df, c in columns]
+    known = [e for e in ends if e[0] is not None]
+    return (min(e[0] for e in known), max(e[1] for e in known)) if known else (None, None)
+
+
 def known_intervals(
     facts: DataFrame, entity: list[str], known_at: str, precedence: list[Column], fact_id: str
 ) -> DataFrame:
@@ -64,17 +71,19 @@ def dyadic_nodes(first: Column, end: Column, levels: int) -> Column:
 
 
 def join_as_known(
-    events: DataFrame, time: str, key: list[str], intervals: DataFrame, carry: list[str]
+    events: DataFrame, time: str, key: list[str], intervals: DataFrame, carry: list[str],
+    span: tuple[int | None, int | None] | None = None,
 ) -> DataFrame:
     """Every event with the facts in force at its time: inner join of ``events`` with ``carry``.
 
     ``intervals`` has ``key``, from_day, to_day and ``carry``; several entities (members, say)
     may share a key, each then gives its own row. Events without a time or key give none.
     Columns of ``intervals`` other than those are dropped; a column of ``events`` that is named
-    like one of ``carry`` gives way to it. Repeated events give repeated rows.
+    like one of ``carry`` gives way to it. Repeated events give repeated rows. ``span``: the first
+    and last day on which an interval begins; without it the intervals are asked.
     """
     events = events.drop(*carry)
-    lo, hi = intervals.agg(F.min("from_day"), F.max(F.greatest("from_day", F.coalesce("to_day", "from_day")))).first()
+    lo, hi = span or intervals.agg(F.min("from_day"), F.max("from_day")).first()
     if lo is None:
         lo = hi = 0
     span = hi - lo + 2  # days from lo on, the last of which stands for all later ones

@@ -13,8 +13,9 @@ GEOGRAPHY = "srt:StatementGeographicalAxis"
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Share counts and geographic revenue rows as filed by each insider transaction's date."""
+    facts = table(spark, d, "shares_fact")
     counts = known_at.known_intervals(
-        table(spark, d, "shares_fact"), ["common_stock_id"], "filed", [F.col("as_of"), F.col("filed")], "fact_id"
+        facts, ["common_stock_id"], "filed", [F.col("as_of"), F.col("filed")], "fact_id"
     ).select("common_stock_id", F.lit("shares").alias("fact_kind"), "fact_id", "from_day", "to_day")
     rows = table(spark, d, "dimensional_revenue_row").filter(F.col("axis") == GEOGRAPHY)
     revenue = known_at.known_intervals(
@@ -22,7 +23,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     ).select("common_stock_id", F.lit("revenue").alias("fact_kind"), F.col("revenue_row_id").alias("fact_id"), "from_day", "to_day")
     events = table(spark, d, "insider_transaction").select("transaction_id", "common_stock_id", "transaction_date").distinct()
     joined = known_at.join_as_known(
-        events, "transaction_date", ["common_stock_id"], counts.unionByName(revenue), ["fact_kind", "fact_id"]
+        events, "transaction_date", ["common_stock_id"], counts.unionByName(revenue), ["fact_kind", "fact_id"],
+        known_at.day_span((facts, "filed"), (rows, "filed_date")),
     )
     return joined.select("transaction_id", "fact_kind", "fact_id").distinct()
 
