@@ -70,19 +70,21 @@ def named_units(rows: DataFrame, unit: Column, caption: Column) -> DataFrame:
     "sales to thousands of small accounts" says nothing about the amounts. ``currency`` is null
     where neither names one or the unit is of another kind.
     """
-    u = F.regexp_replace(F.trim(F.lower(F.coalesce(unit, F.lit("")))), "^iso4217:", "")
-    phrase = F.regexp_extract(F.trim(F.lower(F.coalesce(caption, F.lit("")))), _PHRASE, 0)
-    steps = rows.withColumns({"_unit": u, "_phrase": phrase}).withColumns({
-        "_money": F.regexp_extract("_unit", _UNIT, 2),
-        "_size": F.concat(F.regexp_extract("_unit", _UNIT, 1), F.regexp_extract("_unit", _UNIT, 3)),
-        "_cmoney": F.regexp_extract("_phrase", rf"(?<![a-z])({_MONEY})(?![a-z])", 1),
-        "_csize": F.regexp_extract("_phrase", rf"(?<![a-z0-9])({_WORDS})(?![a-z0-9])", 1),
-    })
-    own, other = _lookup(F.col("_money"), CURRENCIES, "string"), (F.col("_unit") != "") & (F.col("_money") == "")
-    return steps.withColumns({
-        "currency": F.when(~other, F.coalesce(own, _lookup(F.col("_cmoney"), CURRENCIES, "string"))),
-        "scale": F.coalesce(_scale(F.col("_size")), _scale(F.col("_csize")), F.lit(1).cast("bigint")),
-    }).drop("_unit", "_phrase", "_money", "_size", "_cmoney", "_csize")
+    rows = rows.drop("currency", "scale").withColumns({"_u": F.coalesce(unit, F.lit("")), "_c": F.coalesce(caption, F.lit(""))})
+    # texts repeat from row to row: each pair is read once, the rows look it up
+    texts = rows.select("_u", "_c").distinct().select("*", *_read_texts(F.col("_u"), F.col("_c")))
+    return rows.join(texts, ["_u", "_c"]).drop("_u", "_c")
+
+
+def _read_texts(unit: Column, caption: Column) -> list[Column]:
+    u = F.regexp_replace(F.trim(F.lower(unit)), "^iso4217:", "")
+    phrase = F.regexp_extract(F.trim(F.lower(caption)), _PHRASE, 0)
+    money, size = F.regexp_extract(u, _UNIT, 2), F.concat(F.regexp_extract(u, _UNIT, 1), F.regexp_extract(u, _UNIT, 3))
+    said_money = F.regexp_extract(phrase, rf"(?<![a-z])({_MONEY})(?![a-z])", 1)
+    said_size = F.regexp_extract(phrase, rf"(?<![a-z0-9])({_WORDS})(?![a-z0-9])", 1)
+    other = (u != "") & (money == "")
+    currency = F.when(~other, F.coalesce(_lookup(money, CURRENCIES, "string"), _lookup(said_money, CURRENCIES, "string")))
+    return [currency.alias("currency"), F.coalesce(_scale(size), _scale(said_size), F.lit(1).cast("bigint")).alias("scale")]
 
 
 def rate_periods(rates: DataFrame, currency: str, date: str, value: str, home: str = "USD") -> DataFrame:
@@ -95,29 +97,31 @@ def rate_periods(rates: DataFrame, currency: str, date: str, value: str, home: s
     )
 
 
-def to_whole_usd(rows: DataFrame, value: str, date: str, rates: DataFrame) -> DataFrame:
+def to_whole_usd(rows: DataFrame, value: str, date: str, rates: DataFrame, until=None) -> DataFrame:
     """Rows with ``currency`` and ``scale`` that can be converted, with ``amount_usd`` added.
 
-    The rate is the last on or before ``date``; rows before the first rate, or without date or
-    value, are left out, or have a null amount where only the value is missing. Rates are joined on (currency, month): each
-    holds for the months it spans, so the join is an equi-join that keeps few candidates.
+    The rate is the last on or before ``date``; foreign rows before the first rate or without date,
+    and rows without currency, are left out; a null value gives a null amount. ``until`` is the last
+    date of the rows, if the caller knows it. Rates are joined on (currency, month): each holds for
+    the months it spans, so the join is an equi-join that keeps few candidates.
     """
     last = F.coalesce(F.date_sub("to_date", 1), F.col("until"))
-    until = rows.agg(F.max(date)).first()[0]
+    until = until or rows.agg(F.max(date)).first()[0]
     spans = (
         rates.withColumn("until", F.greatest(F.lit(until).cast("date"), F.col("from_date")))
         .withColumn("_fx_month", F.explode(F.sequence(F.trunc("from_date", "month"), F.trunc(last, "month"), F.expr("interval 1 month"))))
-        .select(F.col("currency").alias("_fx_cur"), F.col("_fx_month"), F.col("from_date").alias("_fx_from"), F.col("to_date").alias("_fx_to"), F.col("rate").alias("_fx_rate"))
+        .select(F.col("currency").alias("_fx_cur"), F.col("_fx_month"), F.col("from_date").alias("_fx_from"), F.col("to_date").alias("_fx_to"), F.col("rate").cast("decimal(12,6)").alias("_fx_rate"))
     )
-    foreign = rows.filter(F.col("currency") != "USD").join(
+    joined = rows.filter(F.col("currency").isNotNull()).join(
         spans,
         (F.col("currency") == F.col("_fx_cur")) & (F.trunc(date, "month") == F.col("_fx_month"))
         & (F.col(date) >= F.col("_fx_from")) & (F.col("_fx_to").isNull() | (F.col(date) < F.col("_fx_to"))),
-    ).drop("_fx_cur", "_fx_month", "_fx_from", "_fx_to")
-    home = rows.filter(F.col("currency") == "USD").withColumn("_fx_rate", F.lit(1).cast("decimal(18,6)"))
+        "left",
+    )
+    rate = F.when(F.col("currency") == "USD", F.lit(1).cast("decimal(12,6)")).otherwise(F.col("_fx_rate"))
     scaled = (F.col(value).cast("decimal(24,4)") * F.col("scale").cast("decimal(10,0)")).cast("decimal(26,4)")
-    amount = F.round(scaled * F.col("_fx_rate").cast("decimal(12,6)"), 0)
-    return home.unionByName(foreign).withColumn("amount_usd", amount.cast("bigint")).drop("_fx_rate")
+    converted = joined.filter((F.col("currency") == "USD") | F.col("_fx_rate").isNotNull())
+    return converted.withColumn("amount_usd", F.round(scaled * rate, 0).cast("bigint")).drop("_fx_cur", "_fx_month", "_fx_from", "_fx_to", "_fx_rate")
 
 
 def solve_units(

@@ -140,7 +140,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     named = units.named_units(rows, F.col("unit"), F.col("caption")).filter(
         F.col("currency").isNotNull() & F.col("value").isNotNull() & ~((F.col("currency") == "USD") & (F.col("scale") == 1))
     )
-    revenue = units.to_whole_usd(named, "value", "period_end", rates).select(
+    until = rows.agg(F.max("period_end")).first()[0]
+    revenue = units.to_whole_usd(named, "value", "period_end", rates, until).select(
         F.lit("revenue").alias("record_kind"), F.col("revenue_row_id").alias("record_id"), "amount_usd"
     )
     solved = p4_solutions(spark, d).filter(F.col("factor").isin(1_000, 1_000_000))
