@@ -92,13 +92,20 @@ def share_of(part: Column, whole: Column) -> Column:
 
 
 def period_activity(rows: DataFrame, by: list[str], who: str, date: str, current: str, previous: str, measures: list[str]) -> DataFrame:
-    """Each measure's sum and the distinct filers in two periods side by side, in one pass."""
+    """Each measure's sum and the distinct filers in two periods side by side, in one pass.
+
+    First by filer, with presence flags, then over filers: distinct counts become sums of flags, so
+    rows aren't multiplied for them. A null filer adds to the sums and isn't counted.
+    """
     cur, prev = F.col(date) == F.lit(current).cast("date"), F.col(date) == F.lit(previous).cast("date")
-    sums = [
-        F.sum(F.when(when, F.col(m)).otherwise(0)).alias(f"{side}_{m}") for m in measures for side, when in (("current", cur), ("previous", prev))
-    ]
-    filers = [F.count_distinct(F.when(when, F.col(who))).alias(f"{side}_filers") for side, when in (("current", cur), ("previous", prev))]
-    return rows.filter(cur | prev).groupBy(*by).agg(*sums, *filers)
+    sides = (("current", cur), ("previous", prev))
+    sums = [F.sum(F.when(when, F.col(m)).otherwise(0)).alias(f"{side}_{m}") for m in measures for side, when in sides]
+    flags = [F.max(when.cast("int")).alias(f"_{side}") for side, when in sides]
+    one = rows.filter(cur | prev).groupBy(*dict.fromkeys([*by, who])).agg(*sums, *flags)
+    return one.groupBy(*by).agg(
+        *[F.sum(f"{side}_{m}").alias(f"{side}_{m}") for m in measures for side, _ in sides],
+        *[F.count_if((F.col(f"_{side}") == 1) & F.col(who).isNotNull()).alias(f"{side}_filers") for side, _ in sides],
+    )
 
 
 def churn(rows: DataFrame, item: str, who: str, date: str, current: str, previous: str) -> DataFrame:

@@ -148,9 +148,9 @@ count(DISTINCT CASE WHEN report_date = {CUR} THEN institutional_holder_id END) A
 FROM {H} WHERE {BOTH} GROUP BY 1"""
 
 
-def _activity(spark, d, by=("common_stock_id",)):
-    rows = holdings(spark, d, "common_stock_id", "listed_ticker", "institutional_holder_id", "report_date", "shares", "value")
-    return R.period_activity(rows, list(by), "institutional_holder_id", "report_date", CURRENT, PREVIOUS, ["shares", "value"])
+def _activity(spark, d):
+    rows = holdings(spark, d, "common_stock_id", "institutional_holder_id", "report_date", "shares", "value")
+    return R.period_activity(rows, ["common_stock_id"], "institutional_holder_id", "report_date", CURRENT, PREVIOUS, ["shares", "value"])
 
 
 @query(_ACT)
