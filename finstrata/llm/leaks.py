@@ -45,8 +45,9 @@ _SEED = np.uint64(0x9E3779B97F4A7C15)
 def _fold_table() -> dict[int, str]:
     """Characters to lower-case accent-free letters; the map of looks comes first."""
     out: dict[int, str] = {}
+    bare = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if unicodedata.category(c) != "Mn").lower()
     for a, b in (character_map() | LIGATURES).items():
-        out[ord(a)] = b.lower()
+        out[ord(a)] = bare(b)
     for cp in range(0x80, 0x3000):
         ch = chr(cp)
         if cp in out:

@@ -30,10 +30,21 @@ LETTERS = CYRILLIC | GREEK | ARMENIAN
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 
 
+@cache
+def accented_map() -> dict[str, str]:
+    """Look-alike letters that bear accents in one character to the Latin letter with the same ones."""
+    out = {}
+    for cp in range(0x80, 0x10000):
+        parts = unicodedata.normalize("NFD", chr(cp))
+        if len(parts) > 1 and parts[0] in LETTERS:
+            out[chr(cp)] = unicodedata.normalize("NFC", LETTERS[parts[0]] + parts[1:])
+    return out
+
+
 @cache
 def character_map() -> dict[str, str]:
     """One-to-one replacements, from rules; the empty string for what can't be seen."""
-    out = dict(LETTERS)
+    out = LETTERS | {a: b for a, b in accented_map().items() if len(b) == 1}
     for cp in range(0xFF01, 0xFF5F):  # full-width forms
         out[chr(cp)] = chr(cp - 0xFEE0)
     for cp in range(0x110000):
@@ -47,14 +58,20 @@ def character_map() -> dict[str, str]:
 
 
 @cache
-def base_map() -> dict[str, str]:
-    """Letters with accents to the plain ASCII letter they are built on, look-alikes included."""
-    out = {}
-    for cp in range(0x80, 0x10000):
+def key_map() -> dict[str, str]:
+    """Characters to the plain one they are built on; accents, blanks and invisible ones to nothing."""
+    out, looks = {}, character_map()
+    for cp in range(0x110000):
         ch = chr(cp)
-        base = unicodedata.normalize("NFD", ch)[0]
+        kind = unicodedata.category(ch)
+        if 0xAC00 <= cp <= 0xD7A3 or kind in ("Cn", "Co", "Cs"):
+            continue
+        if kind[0] in "MZ" or kind in ("Cf", "Cc") or looks.get(ch) == "":
+            out[ch] = ""
+            continue
+        base = unicodedata.normalize("NFD", looks.get(ch, ch))[0]
         base = LETTERS.get(base, base)
-        if base != ch and base < "\x7f":
+        if base != ch:
             out[ch] = base
     return out
 
@@ -75,13 +92,27 @@ def plain_form(text: Column) -> Column:
     wide = text
     for a, b in LIGATURES.items():
         wide = F.replace(wide, F.lit(a), F.lit(b))
+    # rare: accents that no Latin letter bears in one character
+    rare = {a: b for a, b in accented_map().items() if len(b) > 1}
+    spelt = wide
+    for a, b in rare.items():
+        spelt = F.replace(spelt, F.lit(a), F.lit(b))
+    wide = F.when(text.rlike(f"[{''.join(rare)}]"), spelt).otherwise(wide)
     return F.when(_is_ascii(text), F.replace(text, F.lit("\t"), F.lit(" "))).otherwise(_translate(wide, character_map()))
 
 
-def coarse_key(plain: Column) -> Column:
-    """64 bits that texts of equal looks share: the visible ASCII of the accent-free text."""
-    bare = F.when(_is_ascii(plain), plain).otherwise(_translate(plain, base_map()))
-    return F.xxhash64(F.regexp_replace(bare, r"[^\x21-\x7e]+", ""))
+def coarse_key(text: Column) -> Column:
+    """64 bits that texts of equal looks share: the text without accents, blanks and what can't be seen.
+
+    One pass over the characters. Korean syllables, which come apart into several letters, are left out.
+    """
+    wide = text
+    for a, b in LIGATURES.items():
+        wide = F.replace(wide, F.lit(a), F.lit(b))
+    bare = _translate(wide, key_map())
+    korean = r"[\uAC00-\uD7A3\u1100-\u11FF\uA960-\uA97F\uD7B0-\uD7FF]+"
+    bare = F.when(text.rlike(korean), F.regexp_replace(bare, korean, "")).otherwise(bare)
+    return F.xxhash64(F.when(_is_ascii(text), F.regexp_replace(text, r"[\x00-\x20\x7f]+", "")).otherwise(bare))
 
 
 def look_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_form: bool = False) -> DataFrame:
@@ -94,7 +125,7 @@ def look_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     A repeated row counts once. Extra columns are ignored.
     """
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).filter(F.col("_text").isNotNull() & F.col("_id").isNotNull())
-    keyed = rows.select("_id", coarse_key(plain_form(F.col("_text"))).alias("_key"), F.md5("_text").alias("_variant"))
+    keyed = rows.select("_id", coarse_key(F.col("_text")).alias("_key"), F.md5("_text").alias("_variant"))
     variants = keyed.groupBy("_key", "_variant").agg(F.min("_id").alias("_rep"))
     shared = variants.groupBy("_key").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1)
     reps = variants.join(shared, "_key", "left_semi").select("_rep", "_variant")

@@ -39,6 +39,26 @@ def test_long_texts_and_repeats(spark):
     assert [tuple(r) for r in look_pairs(look_classes(df)).collect()] == [(0, 1)]
 
 
+def test_other_scripts(spark):
+    texts = ["한국어 텍스트", "й Ёлка Άθήνα", "日本 ガギ 金", "हिन्दी क़लम"]
+    both = [unicodedata.normalize(f, t) for t in texts for f in ("NFC", "NFD")]
+    want = {(i, i + 1) for i in range(0, len(both), 2) if both[i] != both[i + 1]}
+    assert {(r.doc_id_a, r.doc_id_b) for r in look_pairs(look_classes(_docs(spark, both))).collect()} == want and len(want) >= 3
+    mixed = _docs(spark, ["Ёлка", "\u00cbлка", "Ёлка", "Ἀθήνα", "A\u0313θήνα"])
+    assert {(r.doc_id_a, r.doc_id_b) for r in look_pairs(look_classes(mixed)).collect()} == {(0, 1), (1, 2), (3, 4)}
+    df = _docs(spark, ["日本語の文", "日本語の本", "русский", "русскии"])
+    assert look_classes(df).count() == 0
+
+
+def test_key_is_shared_whatever_the_spelling(spark):
+    from finstrata.llm.lookalike import coarse_key
+
+    seen = [chr(c) for c in range(0x20, 0x3400) if unicodedata.category(chr(c))[0] in "LNPS"]
+    df = spark.createDataFrame([(c, unicodedata.normalize("NFD", c), unicodedata.normalize("NFC", c)) for c in seen], "a string, b string, c string")
+    key = lambda c: coarse_key(F.col(c))
+    assert df.filter((key("a") != key("b")) | (key("a") != key("c"))).count() == 0
+
+
 def test_empty(spark):
     df = _docs(spark, ["x"]).limit(0)
     assert look_pairs(look_classes(df)).count() == 0 and one_form(df).count() == 0
