@@ -13,7 +13,7 @@
    keys; the left side also looks into the buckets across its narrowest planes. Pairs that
    meet in two or more buckets are candidates.
 5. Rerank. Candidates are compared exactly: identifiers that agree, and names word by word
-   (abbreviations, one slip of the pen a word, cut ends, any order). The record that most of the
+   (abbreviations, one slip of the pen a word, a lost or added blank, cut ends, any order). The record that most of the
    evidence supports is the match if no other has as much.
 6. Confidence. Cosines of name vectors are calibrated by a logistic fitted to candidates whose
    identifiers settle the question (at most ``CALIBRATION`` of them), and joined with the
@@ -193,6 +193,11 @@ class Model:
         ws, _ = name_words(key)
         return [w for w in ws if not self.of_kind(w)] or ws
 
+    def joined(self, key: str) -> list[str]:
+        """Adjacent words of a name without their blank, unless both stand for a kind of firm."""
+        ws, _ = name_words(key)
+        return [a + b for a, b in zip(ws, ws[1:]) if not (self.of_kind(a) and self.of_kind(b))]
+
     def of_kind(self, w: str) -> bool:
         got = self._kind.get(w)
         if got is None:
@@ -288,7 +293,7 @@ def _planes(bits: int) -> np.ndarray:
 
 
 def _keys(df: DataFrame, model, bits: int, probes: int) -> DataFrame:
-    """(rid, view, tab, key): the buckets of each record's name (view 0) and of its tokens (view 1)."""
+    """(rid, view, tab, key): the buckets of each record's name (view 0) and of its tokens and joined words (view 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, planes = model.value, _planes(bits)
@@ -298,7 +303,7 @@ def _keys(df: DataFrame, model, bits: int, probes: int) -> DataFrame:
             for view in (0, 1):
                 vecs, of = [], []
                 for i, (k, ts) in enumerate(zip(names, ids)):
-                    for x in ([m.name(k)] if view == 0 else [m.word(t) for t in [*(ts or []), *m.core(k)]]):
+                    for x in ([m.name(k)] if view == 0 else [m.word(t) for t in dict.fromkeys([*(ts or []), *m.core(k), *m.joined(k)])]):
                         if x is not None:
                             vecs.append(x)
                             of.append(i)
@@ -347,20 +352,49 @@ def _short_for(a: str, b: str) -> bool:
     return True
 
 
+def _joined(one: str, two: str, slip: bool) -> bool:
+    """Whether a word is two words without their blank, or one slip away from that."""
+    return len(one) > 3 and (_one_slip(one, two) if slip else one == two)
+
+
 def name_level(left: list[str], right: list[str], kinds) -> float:
     """How far two names are one: 1 every word has its like; 0.5 the left lacks the common words
-    that tell sister firms apart; 0 some word differs."""
+    that tell sister firms apart; 0 some word differs. Two adjacent words of either side can be
+    one word of the other."""
     if not left or not right:
         return 0.0
-    free, told = list(right), 0
+    free, told = list(range(len(right))), 0
     rest = []
-    for w in left:
-        if w in free:
-            free.remove(w)
-            told += w in kinds
+    for i, w in enumerate(left):
+        same = next((j for j in free if right[j] == w), None)
+        if same is None:
+            rest.append(i)
         else:
-            rest.append(w)
-    for w in rest:
+            free.remove(same)
+            told += w in kinds
+    for slip in (False, True):  # words joined or parted by a blank: equal first, then one slip away
+        at = 0
+        while at < len(rest):
+            i, w = rest[at], left[rest[at]]
+            if slip and any(len(w) > 3 and _one_slip(w, right[j]) for j in free):
+                at += 1
+                continue
+            two = next((j for j in free if j + 1 in free and _joined(w, right[j] + right[j + 1], slip)), None)
+            if two is not None:
+                told += (right[two] in kinds) + (right[two + 1] in kinds)
+                free = [j for j in free if j not in (two, two + 1)]
+                del rest[at]
+                continue
+            if at + 1 < len(rest) and rest[at + 1] == i + 1:
+                one = next((j for j in free if _joined(right[j], w + left[i + 1], slip)), None)
+                if one is not None:
+                    told += right[one] in kinds
+                    free.remove(one)
+                    del rest[at : at + 2]
+                    continue
+            at += 1
+    free = [right[j] for j in free]
+    for w in (left[i] for i in rest):
         like = next((x for x in free if len(w) > 3 and _one_slip(w, x)), None)
         if like is None:
             like = next((x for x in free if x in kinds and _short_for(w, x)), None)

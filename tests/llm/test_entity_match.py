@@ -86,3 +86,19 @@ def test_skip_gram_learns_and_stays_finite():
     v = lambda w: net.v[net.grams[net.known[w]]].sum(0) / net.size[net.known[w]]
     cos = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
     assert cos(v("private"), v("pvt")) > cos(v("private"), v("fund")) + 0.2
+
+
+def test_a_lost_or_added_blank_keeps_a_name_whole(spark):
+    kinds = {"fund", "services"}
+    level = lambda a, b: name_level(name_words(a)[0], name_words(b)[0], kinds)
+    assert level("nevsalwencasithkesbal fund svcs sa", "nevsalwen casithkesbal fund services sa") == 1
+    assert level("nevsalwencasithkesba fund svcs sa", "nevsalwen casithkesbal fund services sa") == 1
+    assert level("nev salwen casithkesbal fund services", "nevsalwen casithkesbal fund services") == 1
+    assert level("nevsalwencasithkesbal", "nevsalwen casithkesbal fund services") == 0.5
+    assert level("nevsalwencasithkesbal fundservices", "nevsalwen casithkesbal fund services") == 1
+    assert level("casithkesbalnevsalwen fund services", "nevsalwen casithkesbal fund services") == 0
+    firms = FIRMS[:80]
+    right = spark.createDataFrame([(i, n, None) for i, n in firms], "firm_id long, name string, cik string")
+    left = [(i, n.replace(" ", "", 1), None) for i, n in firms] + [(1000 + i, n[:3] + " " + n[3:], None) for i, n in firms]
+    got = match_records(spark.createDataFrame(left, "entry_id long, name string, cik string"), "entry_id", "name", ["cik"], right, "firm_id", "name", ["cik"])
+    assert {(r.entry_id, r.firm_id) for r in got.collect()} == {(k + i, i) for i, _ in firms for k in (0, 1000)}
