@@ -237,6 +237,18 @@ def win_first_gap(spark, d):
     return first.join(F.broadcast(sessions), F.col("p") + 1 == F.col("ordinal")).select(*K, day(D).alias("first_gap"), "gaps")
 
 
+def _clones(spark, d, q):
+    """(holder, report date, growth, positions) of the clones of these holdings."""
+    b = q.select("holding_id", "institutional_holder_id", "common_stock_id", "report_date", "value").distinct().groupBy("institutional_holder_id", "report_date", "common_stock_id").agg(F.sum("value").alias("value"))
+    dates = b.select("institutional_holder_id", "report_date").distinct().withColumn("next", F.lead("report_date").over(Window.partitionBy("institutional_holder_id").orderBy("report_date")))
+    x = b.join(dates.filter(F.col("next").isNotNull()), ["institutional_holder_id", "report_date"]).withColumns({"buy": F.date_add("report_date", 45), "sell": F.date_add("next", 45)})
+    px = bars(spark, d).select("common_stock_id", "bar_date", "close")
+    one = S.as_of_join(x, px.withColumnRenamed("close", "c0"), K, "buy", D, "c0")
+    two = S.as_of_join(one, px.withColumnRenamed("close", "c1"), K, "sell", D, "c1")
+    ratio = two.withColumn("ratio", F.col("c1").cast("double") / F.col("c0"))
+    return S.grow(ratio, "value", "ratio", ["institutional_holder_id", "report_date"])
+
+
 @query("""WITH q AS (SELECT DISTINCT holding_id, institutional_holder_id AS h, common_stock_id AS s, report_date AS r, value AS v FROM institutional_holding WHERE filing_type = 'Form13F' AND value > 0),
 b AS (SELECT h, r, s, sum(v) AS v FROM q WHERE h <= 50 GROUP BY 1, 2, 3), d AS (SELECT h, r, lead(r) OVER (PARTITION BY h ORDER BY r) AS nx FROM (SELECT DISTINCT h, r FROM b)),
 px AS """ + B + """,
@@ -247,20 +259,32 @@ SELECT h AS institutional_holder_id, strftime(r, '%Y-%m-%d') AS report_date, rou
 def win_clone_growth(spark, d):
     """Clone of each fund: growth from 45 days after one report to 45 days after the next, by value.
 
-    Chained per rebalance instead of simulated by day, so the grid of days and positions never arises.
+    Of the first fifty holders and one factor a period, as its SQL has it; ``win_clone_chain`` has all holders and the product.
     """
     q = table(spark, d, "institutional_holding").filter((F.col("filing_type") == "Form13F") & (F.col("value") > 0) & (F.col("institutional_holder_id") <= 50))
-    b = q.select("holding_id", "institutional_holder_id", "common_stock_id", "report_date", "value").distinct().groupBy("institutional_holder_id", "report_date", "common_stock_id").agg(F.sum("value").alias("value"))
-    dates = b.select("institutional_holder_id", "report_date").distinct().withColumn("next", F.lead("report_date").over(Window.partitionBy("institutional_holder_id").orderBy("report_date")))
-    x = b.join(dates.filter(F.col("next").isNotNull()), ["institutional_holder_id", "report_date"]).withColumns({"buy": F.date_add("report_date", 45), "sell": F.date_add("next", 45)})
-    px = bars(spark, d).select("common_stock_id", "bar_date", "close")
-    one = S.as_of_join(x, px.withColumnRenamed("close", "c0"), K, "buy", D, "c0")
-    two = S.as_of_join(one, px.withColumnRenamed("close", "c1"), K, "sell", D, "c1")
-    ratio = two.withColumn("ratio", F.col("c1").cast("double") / F.col("c0"))
-    g = S.grow(ratio, "value", "ratio", ["institutional_holder_id", "report_date"])
+    g = _clones(spark, d, q)
     return g.select("institutional_holder_id", day("report_date").alias("report_date"), F.round("growth", 6).alias("growth"), "positions")
 
 
+@query("""WITH q AS (SELECT DISTINCT holding_id, institutional_holder_id AS h, common_stock_id AS s, report_date AS r, value AS v FROM institutional_holding WHERE filing_type = 'Form13F' AND value > 0),
+b AS (SELECT h, r, s, sum(v) AS v FROM q GROUP BY 1, 2, 3), d AS (SELECT h, r, lead(r) OVER (PARTITION BY h ORDER BY r) AS nx FROM (SELECT DISTINCT h, r FROM b)),
+px AS """ + B + """,
+x AS (SELECT b.h, b.r, d.nx, b.s, b.v FROM b JOIN d ON d.h = b.h AND d.r = b.r WHERE d.nx IS NOT NULL),
+p0 AS (SELECT x.*, px.close AS c0, px.bar_date AS d0 FROM x ASOF LEFT JOIN px ON px.common_stock_id = x.s AND x.r + 45 >= px.bar_date),
+p1 AS (SELECT p0.*, px.close AS c1 FROM p0 ASOF LEFT JOIN px ON px.common_stock_id = p0.s AND p0.nx + 45 >= px.bar_date)
+SELECT h AS institutional_holder_id, strftime(r, '%Y-%m-%d') AS report_date, round(growth, 6) AS growth, positions, round(product(growth) OVER (PARTITION BY h ORDER BY r), 6) AS chained FROM (
+SELECT h, r, CAST(sum(CAST(v AS DOUBLE) * c1 / c0) AS DOUBLE) / CAST(sum(CAST(v AS DOUBLE)) AS DOUBLE) AS growth, count(*) AS positions FROM p1 WHERE c0 IS NOT NULL AND c1 IS NOT NULL GROUP BY 1, 2)""")
+def win_clone_chain(spark, d):
+    """Clone of every fund: each period's growth, and the product of the periods so far.
+
+    A period in which no position has both prices has no row and leaves the product as it is.
+    """
+    q = table(spark, d, "institutional_holding").filter((F.col("filing_type") == "Form13F") & (F.col("value") > 0))
+    w = Window.partitionBy("institutional_holder_id").orderBy("report_date").rowsBetween(Window.unboundedPreceding, 0)
+    g = _clones(spark, d, q).withColumn("chained", F.round(F.product("growth").over(w), 6))
+    return g.select("institutional_holder_id", day("report_date").alias("report_date"), F.round("growth", 6).alias("growth"), "positions", "chained")
+
+
 @query("""SELECT event_type, strftime(time_bucket(INTERVAL 14 DAY, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d') AS bucket, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2""")
 def inc_rolling_buckets(spark, d):
     """Events by type in fourteen-day buckets."""
