@@ -225,6 +225,22 @@ def win_pivot_periods(spark, d):
     return wide.select("member", F.col("2021").alias("y2021"), F.col("2022").alias("y2022"), F.col("2023").alias("y2023"))
 
 
+@query("""WITH m AS (SELECT DISTINCT revenue_row_id, common_stock_id, member, fiscal_year, CAST(value AS DOUBLE) AS value, filed_date FROM dimensional_revenue_row WHERE axis = 'srt:StatementGeographicalAxis' AND unit = 'USD' AND caption IS NULL AND fiscal_year IS NOT NULL),
+p AS (SELECT *, dense_rank() OVER (PARTITION BY common_stock_id ORDER BY fiscal_year DESC) AS k FROM m QUALIFY row_number() OVER (PARTITION BY common_stock_id, member, fiscal_year ORDER BY filed_date DESC NULLS LAST, revenue_row_id) = 1),
+y AS (SELECT common_stock_id, max(CASE WHEN k = 1 THEN fiscal_year END) AS year1, max(CASE WHEN k = 2 THEN fiscal_year END) AS year2, max(CASE WHEN k = 3 THEN fiscal_year END) AS year3 FROM p GROUP BY 1),
+v AS (SELECT common_stock_id, member, max(CASE WHEN k = 1 THEN value END) AS value1, max(CASE WHEN k = 2 THEN value END) AS value2, max(CASE WHEN k = 3 THEN value END) AS value3 FROM p WHERE k <= 3 GROUP BY 1, 2)
+SELECT common_stock_id, member, year1, year2, year3, value1, value2, value3 FROM v JOIN y USING (common_stock_id)""")
+def win_pivot_newest(spark, d):
+    """Each stock's members by its three newest fiscal years, the latest filed in each cell, in one pinned unit."""
+    rows = table(spark, d, "dimensional_revenue_row").filter((F.col("axis") == "srt:StatementGeographicalAxis") & (F.col("unit") == "USD") & F.col("caption").isNull() & F.col("fiscal_year").isNotNull())
+    one = rows.select("revenue_row_id", *K, "member", "fiscal_year", F.col("value").cast("double").alias("value"), "filed_date").distinct()
+    best = R.nth_latest(one, [*K, "member", "fiscal_year"], [F.desc_nulls_last("filed_date"), F.col("revenue_row_id")])
+    years = best.select(*K, "fiscal_year").distinct().withColumn("k", F.row_number().over(Window.partitionBy(*K).orderBy(F.desc("fiscal_year")))).filter(F.col("k") <= 3)
+    pick = lambda c: [F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{'year' if c == 'fiscal_year' else c}{k}") for k in (1, 2, 3)]
+    wide = best.join(years, [*K, "fiscal_year"]).groupBy(*K, "member").agg(*pick("value"))
+    return wide.join(years.groupBy(*K).agg(*pick("fiscal_year")), K).select(*K, "member", "year1", "year2", "year3", "value1", "value2", "value3")
+
+
 @query(f"""WITH d AS (SELECT DISTINCT bar_date FROM {B}), s AS (SELECT common_stock_id, min(bar_date) AS a, max(bar_date) AS z FROM {B} GROUP BY 1)
 SELECT s.common_stock_id, strftime(min(d.bar_date), '%Y-%m-%d') AS first_gap, count(*) AS gaps FROM s JOIN d ON d.bar_date BETWEEN s.a AND s.z LEFT JOIN {B} b ON b.common_stock_id = s.common_stock_id AND b.bar_date = d.bar_date WHERE b.bar_date IS NULL GROUP BY 1""")
 def win_first_gap(spark, d):

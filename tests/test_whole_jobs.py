@@ -20,3 +20,9 @@ def test_clone_chain_of_every_holder(spark, small):
         mine = sorted((r for r in rows if r.institutional_holder_id == h), key=lambda r: r.report_date)
         for i, r in enumerate(mine):
             assert math.isclose(r.chained, math.prod(x.growth for x in mine[: i + 1]), rel_tol=1e-4)
+
+
+def test_pivot_of_every_stock_by_its_own_newest_years(spark, small):
+    rows = _run(spark, small, "win_pivot_newest")
+    assert len({r.common_stock_id for r in rows}) > 1
+    assert all(r.year1 > (r.year2 or 0) >= (r.year3 or 0) for r in rows)
