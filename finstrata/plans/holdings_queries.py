@@ -257,6 +257,13 @@ def join_latest_per_holder(spark, d):
     return R.latest_with_ties(rows, ["common_stock_id", "institutional_holder_id"], "report_date").select("holding_id", "institutional_holder_id", day("report_date").alias("report_date"))
 
 
+@query(f"SELECT h.holding_id, common_stock_id, institutional_holder_id, strftime(report_date, '%Y-%m-%d') AS report_date FROM {H} h JOIN (SELECT common_stock_id, institutional_holder_id, max(report_date) AS report_date FROM {H} GROUP BY 1, 2) m USING (common_stock_id, institutional_holder_id, report_date)")
+def join_latest_per_position(spark, d):
+    """Every stock's rows of each holder's latest report, ties kept."""
+    rows = holdings(spark, d, "common_stock_id", "institutional_holder_id", "report_date")
+    return R.latest_with_ties(rows, ["common_stock_id", "institutional_holder_id"], "report_date").select("holding_id", "common_stock_id", "institutional_holder_id", day("report_date").alias("report_date"))
+
+
 @query(f"""WITH last AS (SELECT h.institutional_holder_id, h.report_date, CAST(sum(value) AS BIGINT) AS value, count(DISTINCT common_stock_id) AS stocks FROM {H} h
  JOIN (SELECT institutional_holder_id, max(report_date) AS report_date FROM {H} GROUP BY 1) m USING (institutional_holder_id, report_date) GROUP BY 1, 2)
 SELECT i.institutional_holder_id, i.name, value, stocks, date_diff('day', report_date, max(report_date) OVER ()) <= 135 AS is_live FROM last JOIN institutional_holder i USING (institutional_holder_id) WHERE i.name ILIKE '%bank%'""")
@@ -305,6 +312,18 @@ def join_full_outer(spark, d):
     return both.select("common_stock_id", F.coalesce("current_value", F.lit(0)).alias("current_value"), F.coalesce("previous_value", F.lit(0)).alias("previous_value"))
 
 
+@query(f"""SELECT institutional_holder_id, common_stock_id, coalesce(c.v, 0) AS current_value, coalesce(p.v, 0) AS previous_value FROM
+(SELECT institutional_holder_id, common_stock_id, CAST(sum(value) AS BIGINT) AS v FROM {H} WHERE report_date = {CUR} GROUP BY 1, 2) c FULL JOIN
+(SELECT institutional_holder_id, common_stock_id, CAST(sum(value) AS BIGINT) AS v FROM {H} WHERE report_date = {PRE} GROUP BY 1, 2) p USING (institutional_holder_id, common_stock_id)""")
+def join_full_outer_positions(spark, d):
+    """Every holder's positions of two periods side by side."""
+    rows = holdings(spark, d, "common_stock_id", "institutional_holder_id", "report_date", "value")
+    keys = ["institutional_holder_id", "common_stock_id"]
+    side = lambda q, name: rows.filter(F.col("report_date") == F.lit(q).cast("date")).groupBy(*keys).agg(F.sum("value").alias(name))
+    both = side(CURRENT, "current_value").join(side(PREVIOUS, "previous_value"), keys, "full")
+    return both.select(*keys, F.coalesce("current_value", F.lit(0)).alias("current_value"), F.coalesce("previous_value", F.lit(0)).alias("previous_value"))
+
+
 _CC = "regexp_replace(upper({}), '[^A-Z0-9]', '', 'g')"
 
 

@@ -26,3 +26,13 @@ def test_pivot_of_every_stock_by_its_own_newest_years(spark, small):
     rows = _run(spark, small, "win_pivot_newest")
     assert len({r.common_stock_id for r in rows}) > 1
     assert all(r.year1 > (r.year2 or 0) >= (r.year3 or 0) for r in rows)
+
+
+def test_joins_of_every_stock_and_holder(spark, small):
+    latest = _run(spark, small, "join_latest_per_position")
+    assert len({r.common_stock_id for r in latest}) > 1
+    assert {r.holding_id for r in latest} >= {r.holding_id for r in _run(spark, small, "join_latest_per_holder")}
+    both = _run(spark, small, "join_full_outer_positions")
+    assert len({r.institutional_holder_id for r in both}) > 1
+    five = {(r.common_stock_id, r.current_value, r.previous_value) for r in both if r.institutional_holder_id == 5}
+    assert five == {tuple(r) for r in _run(spark, small, "join_full_outer")}
