@@ -83,6 +83,15 @@ def pred_array_overlap(spark, d):
     return rows.join(F.broadcast(wanted), F.arrays_overlap("ciks", "wanted")).select("common_stock_id", F.array_join("ciks", ",").alias("ciks"))
 
 
+@query(f"WITH c AS ({_CIKS}) SELECT q.common_stock_id AS searched_id, a.common_stock_id, array_to_string(a.ciks, ',') AS ciks FROM c q JOIN c a ON list_has_any(a.ciks, q.ciks)")
+def pred_array_overlap_all(spark, d):
+    """For every stock the stocks whose CIKs overlap with its own (itself too): single CIKs are joined by equality."""
+    rows = _ciks(spark, d)
+    one = rows.select("common_stock_id", F.explode("ciks").alias("cik"))
+    pairs = one.withColumnRenamed("common_stock_id", "searched_id").join(one, "cik").select("searched_id", "common_stock_id").distinct()
+    return pairs.join(rows, "common_stock_id").select("searched_id", "common_stock_id", F.array_join("ciks", ",").alias("ciks"))
+
+
 @query(f"SELECT common_stock_id, unnest(ciks) AS cik FROM ({_CIKS})")
 def pred_array_flatten(spark, d):
     return _ciks(spark, d).select("common_stock_id", F.explode("ciks").alias("cik"))

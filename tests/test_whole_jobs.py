@@ -36,3 +36,10 @@ def test_joins_of_every_stock_and_holder(spark, small):
     assert len({r.institutional_holder_id for r in both}) > 1
     five = {(r.common_stock_id, r.current_value, r.previous_value) for r in both if r.institutional_holder_id == 5}
     assert five == {tuple(r) for r in _run(spark, small, "join_full_outer")}
+
+
+def test_overlaps_of_every_stock(spark, tmp_path):
+    rows = [(1, "0000000011"), (1, "0000000012"), (50, "12"), (60, "0000000099"), (70, "99"), (80, "0000000077")]
+    spark.createDataFrame(rows, "common_stock_id long, cik string").write.parquet(f"{tmp_path}/stock_secondary_cik_attached.parquet")
+    got = {(r.searched_id, r.common_stock_id) for r in _run(spark, str(tmp_path), "pred_array_overlap_all")}
+    assert got == {(1, 1), (1, 50), (50, 1), (50, 50), (60, 60), (60, 70), (70, 60), (70, 70), (80, 80)}
