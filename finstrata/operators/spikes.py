@@ -7,9 +7,10 @@ innovations far outside it; each is tested as an additive outlier (the level ret
 around them and the fit is repeated until nothing new is found. Stuck runs and physical
 limits are separate flags.
 
-Groups: a series of more than ``LONG`` traded bars is cut in time into chunks that carry
-``HALO`` bars of their neighbours, so no task holds an unbounded series. Shorter ones are
-whole. The cut of a long series follows exact bar counts per ``BUCKET_DAYS`` days.
+Groups: spiked closes and the usual move are always found on the whole series. For one of more
+than ``LONG`` traded bars that pass holds nothing but dates, numbers and closes; the other tests
+run on chunks in time that carry ``HALO`` bars of their neighbours and get the series' usual
+move. The cut of a long series follows exact bar counts per ``BUCKET_DAYS`` days.
 """
 
 from __future__ import annotations
@@ -102,8 +103,8 @@ def find_spikes(
     return flags, scale, y
 
 
-def judge_bars(tbl: pa.Table, starts: np.ndarray, times: float, max_bars: int, min_run: int) -> pa.Table | None:
-    """Kernel: flags of the home bars of each chunk; bars come sorted by date and price_id."""
+def _once(tbl: pa.Table, starts: np.ndarray) -> tuple[pa.Table, np.ndarray]:
+    """Bars without redelivered ones, and their group; bars come sorted by date and price_id."""
     n = tbl.num_rows
     gid = np.zeros(n, dtype=np.int64)
     gid[starts] = 1
@@ -112,8 +113,30 @@ def judge_bars(tbl: pa.Table, starts: np.ndarray, times: float, max_bars: int, m
     first = np.ones(n, dtype=bool)  # a redelivered bar follows the bar it repeats
     first[1:] = (ids[1:] != ids[:-1]) | (gid[1:] != gid[:-1])
     if not first.all():
-        tbl, gid, ids = tbl.filter(pa.array(first)), gid[first], ids[first]
-        n = len(ids)
+        tbl, gid = tbl.filter(pa.array(first)), gid[first]
+    return tbl, gid
+
+
+def judge_closes(tbl: pa.Table, starts: np.ndarray, keys: list[str], times: float, max_bars: int) -> pa.Table | None:
+    """Kernel for whole series of sound bars: a row without price_id with each one's usual move, and its spiked closes."""
+    tbl, gid = _once(tbl, starts)
+    if not tbl.num_rows:
+        return None
+    spike, scale, _ = find_spikes(np.log(tbl.column("close").to_numpy()), gid, int(gid[-1]) + 1, times, max_bars)
+    first = np.flatnonzero(np.concatenate(([True], gid[1:] != gid[:-1])))
+    at = np.flatnonzero(spike & (scale[gid] > 0))
+    rows = np.concatenate([first, at])
+    head = np.arange(len(rows)) < len(first)
+    return pa.table({
+        **{k: tbl.column(k).take(pa.array(rows)) for k in keys},
+        "price_id": pa.array(tbl.column("price_id").to_numpy()[rows], pa.int64(), mask=head), "move": pa.array(scale[gid[rows]], pa.float64()),
+    })
+
+
+def judge_bars(tbl: pa.Table, starts: np.ndarray, times: float, max_bars: int, min_run: int) -> pa.Table | None:
+    """Kernel: flags of the home bars of each chunk; where bars bring their series' usual move, all but spiked closes."""
+    tbl, gid = _once(tbl, starts)
+    n, ids = tbl.num_rows, tbl.column("price_id").to_numpy()
     groups = int(gid[-1]) + 1 if n else 0
     num = lambda c: tbl.column(c).to_numpy(zero_copy_only=False).astype(float)
     o, h, lo, c, v = (num(k) for k in ("open", "high", "low", "close", "volume"))
@@ -135,9 +158,12 @@ def judge_bars(tbl: pa.Table, starts: np.ndarray, times: float, max_bars: int, m
         at = np.flatnonzero(traded & ~limit & (c > 0))
         if len(at):
             g, y = gid[at], np.log(c[at])
-            spike, scale, _ = find_spikes(y, g, groups, times, max_bars)
+            if "move" in tbl.column_names:
+                spike, s = np.zeros(len(at), dtype=bool), num("move")[at]
+            else:
+                spike, scale, _ = find_spikes(y, g, groups, times, max_bars)
+                s = scale[g]
             out[at[spike]] |= SPIKE
-            s = scale[g]
             top = np.fmax(np.log(o[at]), y)
             out[at[(np.log(h[at]) - top > times * s) & (s > 0)]] |= HIGH
             out[at[spike & ~(s > 0)]] &= ~SPIKE
@@ -172,23 +198,32 @@ def flag_bars(
     rows = rows.withColumn("bucket", F.floor(F.date_diff("bar_date", F.lit("1970-01-01")) / BUCKET_DAYS).cast("int"))
     traded = F.col("volume") > 0
     heavy = rows.groupBy(*keys).agg(F.count_if(traded).alias("n")).filter(F.col("n") > long).select(*keys)
-    if heavy.isEmpty():
-        parts = rows.withColumn("chunk", F.lit(0)).withColumn("home", F.lit(True))
-    else:
-        counts = rows.groupBy(*keys, "bucket").agg(F.count_if(traded).alias("n"))
-        w = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        chunk = lambda c: F.floor(F.greatest(c, F.lit(0)) / long).cast("int")
-        before = F.coalesce(F.sum("n").over(w), F.lit(0))
-        plan = (
-            counts.join(heavy, keys, "left_semi")
-            .withColumn("before", before)
-            .withColumn("mine", chunk(F.col("before")))
-            .withColumn("pad", halo + F.max("n").over(Window.partitionBy(*keys)))
-            .withColumn("chunk", F.explode(F.sequence(chunk(F.col("before") - F.col("pad")), chunk(F.col("before") + F.col("n") + F.col("pad")))))
-            .select(*keys, "bucket", "chunk", (F.col("chunk") == F.col("mine")).alias("home"))
-        )
-        parts = rows.join(plan, [*keys, "bucket"], "left").fillna({"chunk": 0, "home": True})
     kernel = lambda tbl, starts: judge_bars(tbl, starts, times, max_bars, min_run)
-    return stream_groups(
-        parts.drop("bucket"), [*keys, "chunk"], ["bar_date", "price_id"], kernel, "price_id bigint, flags int"
+    judge = lambda df, by: stream_groups(df.drop("bucket"), by, ["bar_date", "price_id"], kernel, "price_id bigint, flags int")
+    if heavy.isEmpty():
+        return judge(rows.withColumn("home", F.lit(True)), keys)
+    counts = rows.groupBy(*keys, "bucket").agg(F.count_if(traded).alias("n"))
+    w = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    chunk = lambda c: F.floor(F.greatest(c, F.lit(0)) / long).cast("int")
+    before = F.coalesce(F.sum("n").over(w), F.lit(0))
+    plan = (
+        counts.join(heavy, keys, "left_semi")
+        .withColumn("before", before)
+        .withColumn("mine", chunk(F.col("before")))
+        .withColumn("pad", halo + F.max("n").over(Window.partitionBy(*keys)))
+        .withColumn("chunk", F.explode(F.sequence(chunk(F.col("before") - F.col("pad")), chunk(F.col("before") + F.col("n") + F.col("pad")))))
+        .select(*keys, "bucket", "chunk", (F.col("chunk") == F.col("mine")).alias("home"))
     )
+    largest, o, h, lo, c = rows.join(heavy, keys, "left_semi"), *[F.nanvl(F.col(k), F.lit(None).cast("double")) for k in ("open", "high", "low", "close")]
+    limit = (F.least(o, h, lo, c) <= 0, h < lo, o < lo, o > h, c < lo, c > h)
+    sound = largest.filter(traded & (c > 0))
+    for wrong in limit:
+        sound = sound.filter(~F.coalesce(wrong, F.lit(False)))
+    whole = lambda tbl, starts: judge_closes(tbl, starts, keys, times, max_bars)
+    schema = ", ".join([*[f"{k} string" for k in keys], "price_id bigint", "move double"])
+    closes = stream_groups(sound.select(*keys, "bar_date", "price_id", "close"), keys, ["bar_date", "price_id"], whole, schema).persist()
+    moves = closes.filter(F.col("price_id").isNull()).select(*keys, "move")
+    parts = largest.join(plan, [*keys, "bucket"]).join(moves, keys, "left")
+    spiked = closes.filter(F.col("price_id").isNotNull()).select("price_id", F.lit(SPIKE).alias("flags"))
+    long_ones = judge(parts, [*keys, "chunk"]).unionByName(spiked).groupBy("price_id").agg(F.bit_or("flags").alias("flags"))
+    return judge(rows.join(heavy, keys, "left_anti").withColumn("home", F.lit(True)), keys).unionByName(long_ones)

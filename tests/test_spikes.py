@@ -73,3 +73,18 @@ def test_empty_and_tiny(spark):
     for r in flat:
         _set_close(r, 5.0)
     assert _flags(spark, flat) == {}
+
+
+def test_long_series_is_judged_by_its_own_usual_move(spark):
+    rows = _series(600, 5)
+    for i, x in enumerate(np.exp(np.cumsum(np.random.default_rng(6).normal(0, np.where(np.arange(600) < 150, 0.0005, 0.02)))) * 100):
+        _set_close(rows[i], round(float(x), 4))
+    for at, by in ((60, 1.05), (120, 1.5), (400, 1.05), (500, 1.5)):
+        _set_close(rows[at], rows[at][7] * by)
+    rows[90][5] *= 1.05
+    rows[450][5] *= 1.5
+    other = _series(100, 7, stock=2, first=5000)
+    _set_close(other[50], other[50][7] * 1.5)
+    whole = _flags(spark, rows + other)
+    assert whole[120] == whole[500] == whole[5050] == SPIKE and whole[450] == HIGH and 60 not in whole
+    assert _flags(spark, rows + other, long=150, halo=32) == whole
