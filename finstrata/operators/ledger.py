@@ -7,11 +7,15 @@ others; nothing is overwritten. The versions believed now are those whose record
 is open.
 
 A sweep goes over an entity's messages in the order they were recorded and keeps the
-timeline sorted by valid time, so a message touches only its neighbours. To keep tasks
-small, an entity's messages are cut where the past is settled: at a cut, all messages
-recorded before it are also valid before all recorded after it, so all that one block hands
-to the next is the value in force and its start. Blocks hold about ``BLOCK`` messages (more
-only if the messages really are interleaved that far).
+timeline sorted by valid time, so a message touches only its neighbours. To keep tasks small,
+an entity's time is cut into segments that are swept apart. Cuts are messages that were the
+newest when they were recorded: nothing on a cut's far side was known before it, so a segment
+needs, besides its own messages, only those between the cut that begins it and the newest
+message known then, and those from the cut that ends it up to the next newest message that
+changes the value. Messages that come late fall in the segment of their valid time and leave
+the cuts where they are. Repeats that can never matter (the message right before them in valid
+time says the same and was known before) are dropped first. A segment holds about ``BLOCK``
+messages and the late ones that fall in its time.
 """
 
 from __future__ import annotations
@@ -43,13 +47,14 @@ class _Timeline:
         self.times, self.values, self.previous = times, values, previous
 
     def _starts(self, i: int) -> bool:
-        return i == 0 or self.values[i] != self.values[i - 1]
+        """Whether a message changes anything: a repeat does if its previous value tells of a lost one."""
+        return i == 0 or self.values[i] != self.values[i - 1] or self.previous[i] not in (None, self.values[i - 1])
 
-    def versions(self, lo: int, hi: int) -> set[tuple[str, int, int]]:
-        """Rows (value, from, to) of the versions that start with one of the messages lo to hi."""
+    def versions(self, lo: int, hi: int, home: set[int]) -> set[tuple[str, int, int]]:
+        """Rows (value, from, to) of the versions that start with one of the home messages lo to hi."""
         out, n = set(), len(self.times)
         for k in range(lo, min(hi + 1, n)):
-            if not self._starts(k):
+            if self.times[k] not in home or not self._starts(k):
                 continue
             lost = self.previous[k]
             if lost is not None and lost != (self.values[k - 1] if k else None):
@@ -63,33 +68,32 @@ class _Timeline:
             out.add((self.values[k], self.times[k], to))
         return out
 
-    def add(self, time: int, value: str, previous: str | None) -> tuple[set, set]:
+    def add(self, time: int, value: str, previous: str | None, home: set[int]) -> tuple[set, set]:
         """Versions that end and begin to be believed."""
         at = bisect_left(self.times, time)
         a = max(at - 1, 0)
         while a > 0 and not self._starts(a):
             a -= 1
-        old = self.versions(a, at)
+        old = self.versions(a, at, home)
         self.times.insert(at, time)
         self.values.insert(at, value)
         self.previous.insert(at, previous)
-        new = self.versions(a, at + 1)
+        new = self.versions(a, at + 1, home)
         return old - new, new - old
 
 
 def _sweep(tbl: pa.Table, starts: np.ndarray) -> pa.Table | None:
-    """Kernel: belief events of blocks; rows come in the order they were recorded."""
+    """Kernel: belief events of segments; rows come in the order they were recorded."""
     raised, recorded = tbl.column("raised").to_numpy(), tbl.column("recorded").to_numpy()
     value, previous = tbl.column("value").to_pylist(), tbl.column("previous").to_pylist()
-    carry, since = tbl.column("carry").to_pylist(), tbl.column("carry_since").to_pylist()
-    entity = tbl.column("entity")
+    mine, entity = tbl.column("mine").to_numpy(zero_copy_only=False), tbl.column("entity")
     ends = np.append(starts[1:], tbl.num_rows)
     rows: list[tuple] = []
     index: list[int] = []
     for a, b in zip(starts.tolist(), ends.tolist()):
-        line = _Timeline([since[a]], [carry[a]], [None]) if carry[a] is not None else _Timeline([], [], [])
+        line, home = _Timeline([], [], []), set(raised[a:b][mine[a:b]].tolist())
         for i in range(a, b):
-            gone, come = line.add(int(raised[i]), value[i], previous[i])
+            gone, come = line.add(int(raised[i]), value[i], previous[i], home)
             for opens, which in ((False, gone), (True, come)):
                 for v, f, t in sorted(which):
                     rows.append((v, f, t, int(recorded[i]), len(rows), opens))
@@ -128,25 +132,33 @@ def bitemporal_ledger(
     most = once.groupBy("entity").count().agg(F.max("count")).first()[0] or 0
     hot = most > long  # an entity too long for one task: cut its windows into chunks of time
     bucket = lambda c: F.floor(F.col(c) / CHUNK) if hot else None
-    changes = chunked_scan(once, ["entity"], bucket("raised"), ["raised"], {"before": ("previous", "value")}).withColumn(
-        "start", F.when(F.col("before").isNull() | (F.col("before") != F.col("value")), F.col("raised"))
-    )
-    ordered = chunked_scan(changes, ["entity"], bucket("raised"), ["raised"], {"since_before": ("max_before", "start")})
-    if hot:  # each scan reads its input twice; a cut keeps that from doubling at every step
-        checkpoint_dir(messages.sparkSession)
-        ordered = ordered.checkpoint()
+    by_valid = (["entity"], bucket("raised"), ["raised"])
     by_record = (["entity"], bucket("recorded"), ["recorded", "raised"])
-    seen = chunked_scan(ordered, *by_record, {
-        "newest": ("max_before", "raised"), "oldest": ("min_from", "raised"), "rn": ("count_before", "raised"),
-    }).withColumn("settled", F.when(F.col("newest").isNull() | (F.col("newest") < F.col("oldest")), F.col("rn")))
-    seen = seen.checkpoint() if hot else seen
-    cut = chunked_scan(seen, *by_record, {"block": ("max_upto", "settled")}).withColumn("block", F.floor(F.col("block") / block))
-    # what a block starts from: the value in force before its oldest message
-    first = cut.groupBy("entity", "block").agg(F.min_by(F.struct("before", "since_before"), "raised").alias("f"))
-    blocks = cut.join(first, ["entity", "block"]).withColumns({"carry": F.col("f.before"), "carry_since": F.col("f.since_before")})
+    told = lambda c: F.col("previous").isNotNull() & (F.col("previous") != c)
+    saved = lambda df: df.checkpoint() if hot else df  # noqa: E731  # a scan in chunks reads its input twice
+    if hot:
+        checkpoint_dir(messages.sparkSession)
+    p = F.col("p")
+    needless = F.coalesce((p["value"] == F.col("value")) & ~told(p["value"]) & (p["recorded"] <= F.col("recorded")), F.lit(False))
+    kept = saved(chunked_scan(once, *by_valid, {"p": ("previous", F.struct("value", "recorded"))})).filter(~needless).drop("p")
+    newest = F.col("newest").isNull() | (F.col("newest") < F.col("raised"))
+    seen = chunked_scan(kept, *by_record, {"newest": ("max_before", "raised")}).withColumn("cut", newest).drop("newest")
+    ranked = chunked_scan(saved(seen), *by_valid, {
+        "rank": ("sum_upto", F.col("cut").cast("bigint")), "line": ("max_before", F.when(F.col("cut"), F.struct("raised", "value"))),
+    })
+    line = F.col("line")["value"]
+    change = F.col("cut") & (line.isNull() | (line != F.col("value")) | told(F.col("value")))
+    ranked = ranked.withColumns({"rank": F.greatest(F.col("rank") - 1, F.lit(0)), "change": change}).drop("line")
+    placed = chunked_scan(saved(ranked), *by_valid, {"changed": ("max_before", F.when(F.col("change"), F.col("rank")))})
+    # a message's own segment, the next one if it lies right before its cut, and those that end at a cut with no change since
+    own = F.floor(F.col("rank") / block)
+    since = F.greatest(F.ceil(F.coalesce(F.col("changed"), F.lit(0)) / block), F.lit(1)) - 1
+    earlier = F.when(since < own, F.sequence(since, own - 1)).otherwise(F.array().cast("array<bigint>"))
+    later = F.when(F.col("rank") % block == block - 1, F.array(own + 1)).otherwise(F.array().cast("array<bigint>"))
+    blocks = placed.withColumn("block", F.explode(F.concat(F.array(own), earlier, later))).withColumn("mine", F.col("block") == own)
     kind = dict(blocks.dtypes)["entity"]
     events = stream_groups(
-        blocks.select("entity", "block", "value", "previous", "raised", "recorded", "carry", "carry_since"),
+        blocks.select("entity", "block", "value", "previous", "raised", "recorded", "mine"),
         ["entity", "block"], ["recorded", "raised"], _sweep, f"entity {kind}, {_EVENTS}",
     )
     pair = Window.partitionBy("entity", "value", "valid_from", "valid_to").orderBy("at", "seq")

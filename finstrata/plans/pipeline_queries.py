@@ -74,7 +74,8 @@ UNION SELECT price_id FROM v WHERE (m1 AND b1 IS NOT NULL AND f1 IS NOT NULL) OR
 
 
 def p3_ledger(spark: SparkSession, d: str) -> DataFrame:
-    """Every version of every identifier ever believed, with valid and recorded periods."""
+    """Every version of every identifier ever believed, with valid and recorded periods; unknown times are empty."""
+    text = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias(c)
     cusips = table(spark, d, "stock_cusip_changed").select(
         "common_stock_id", ledger.clean_cusip(F.col("cusip")).alias("value"),
         ledger.clean_cusip(F.col("previous_cusip")).alias("previous"), "raised_at", "received_at",
@@ -87,28 +88,40 @@ def p3_ledger(spark: SparkSession, d: str) -> DataFrame:
     b = b.withColumn("common_stock_id", F.split_part("entity", F.lit(":"), F.lit(1)).cast("bigint")).drop("entity")
     out = a.withColumn("attribute", F.lit("cusip")).unionByName(b.withColumn("attribute", F.lit("cik")))
     return out.select(
-        "common_stock_id", "attribute", F.col("value").alias("attribute_value"), "valid_from", "valid_to", "is_open",
-        "recorded_from", "recorded_to",
+        "common_stock_id", "attribute", F.col("value").alias("attribute_value"), text("valid_from"), text("valid_to"), "is_open",
+        text("recorded_from"), text("recorded_to"),
     )
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """What is believed now: the ledger's versions whose recorded period is open."""
-    text = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit(""))
     return (
-        p3_ledger(spark, d).filter(F.col("recorded_to").isNull())
-        .select(
-            "common_stock_id", "attribute", "attribute_value", text("valid_from").alias("valid_from"),
-            F.when(F.col("is_open"), F.lit("open")).otherwise(text("valid_to")).alias("valid_to"),
-        ).distinct()
+        p3_ledger(spark, d).filter(F.col("recorded_to") == "")
+        .select("common_stock_id", "attribute", "attribute_value", "valid_from", F.when(F.col("is_open"), F.lit("open")).otherwise(F.col("valid_to")).alias("valid_to"))
+        .distinct()
     )
 
 
+# Every recorded time's view of the messages known by then, folded anew, and runs of views that agree.
+P3B_SQL = r"""
+WITH raw AS (SELECT 'cusip' AS attribute, common_stock_id AS s, '' AS k, regexp_replace(upper(cusip), '[^A-Z0-9]', '', 'g') AS v, regexp_replace(upper(previous_cusip), '[^A-Z0-9]', '', 'g') AS p, raised_at AS t, received_at AS r FROM stock_cusip_changed
+ UNION ALL SELECT 'cik', common_stock_id, c, c, NULL, raised_at, received_at FROM (SELECT *, lpad(ltrim(regexp_replace(cik, '[^0-9]', '', 'g'), '0'), 10, '0') AS c FROM stock_secondary_cik_attached)),
+m AS (SELECT attribute, s, k, t, v, max(p) AS p, min(coalesce(r, t)) AS r FROM raw WHERE s IS NOT NULL AND v IS NOT NULL AND t IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
+seen AS (SELECT *, lead(told) OVER (PARTITION BY attribute, s, k ORDER BY told) AS next_told, row_number() OVER (PARTITION BY attribute, s, k ORDER BY told) AS n FROM (SELECT DISTINCT attribute, s, k, r AS told FROM m)),
+x AS (SELECT m.*, a.told, a.n, a.next_told, lag(v) OVER (PARTITION BY m.attribute, m.s, m.k, a.told ORDER BY t) AS f FROM m JOIN seen a ON a.attribute = m.attribute AND a.s = m.s AND a.k = m.k AND m.r <= a.told),
+y AS (SELECT *, lead(t) OVER w AS nt, lead(p) OVER w AS np FROM x WHERE f IS NULL OR f <> v OR p <> f WINDOW w AS (PARTITION BY attribute, s, k, told ORDER BY t)),
+o AS (SELECT attribute, s, k, told, n, next_told, v, t AS vf, CASE WHEN np IS NULL OR np = v THEN nt END AS vt, nt IS NULL AS is_open FROM y
+ UNION SELECT attribute, s, k, told, n, next_told, p, NULL, t, FALSE FROM y WHERE p IS NOT NULL AND p IS DISTINCT FROM f),
+g AS (SELECT *, n - row_number() OVER (PARTITION BY attribute, s, k, v, vf, vt, is_open ORDER BY n) AS island FROM o)
+SELECT s AS common_stock_id, attribute, v AS attribute_value, coalesce(strftime(vf, '%Y-%m-%d %H:%M:%S'), '') AS valid_from, coalesce(strftime(vt, '%Y-%m-%d %H:%M:%S'), '') AS valid_to, is_open,
+ strftime(min(told), '%Y-%m-%d %H:%M:%S') AS recorded_from, coalesce(strftime(arg_max(next_told, n), '%Y-%m-%d %H:%M:%S'), '') AS recorded_to
+FROM g GROUP BY attribute, s, k, v, vf, vt, is_open, island
+"""
 P3_SQL = r"""
 WITH m AS (SELECT common_stock_id, raised_at, max(regexp_replace(upper(cusip), '[^A-Z0-9]', '', 'g')) AS v,
                   max(regexp_replace(upper(previous_cusip), '[^A-Z0-9]', '', 'g')) AS p
            FROM stock_cusip_changed WHERE cusip IS NOT NULL AND raised_at IS NOT NULL AND common_stock_id IS NOT NULL GROUP BY 1, 2),
-c AS (SELECT * FROM (SELECT *, lag(v) OVER (PARTITION BY common_stock_id ORDER BY raised_at) AS f FROM m) WHERE f IS NULL OR f <> v),
+c AS (SELECT * FROM (SELECT *, lag(v) OVER (PARTITION BY common_stock_id ORDER BY raised_at) AS f FROM m) WHERE f IS NULL OR f <> v OR p <> f),
 n AS (SELECT *, lead(raised_at) OVER w AS nxt, lead(p) OVER w AS np FROM c WINDOW w AS (PARTITION BY common_stock_id ORDER BY raised_at))
 SELECT common_stock_id, 'cusip' AS attribute, v AS attribute_value, strftime(raised_at, '%Y-%m-%d %H:%M:%S') AS valid_from,
        CASE WHEN nxt IS NULL THEN 'open' WHEN np IS NULL OR np = v THEN strftime(nxt, '%Y-%m-%d %H:%M:%S') ELSE '' END AS valid_to FROM n
@@ -242,4 +255,4 @@ QUERIES = {
     "p4_found": p4_found, "p4_solutions": p4_solutions, "p6_found": p6_found, "p6_share_of_class": p6_share_of_class,
     "p7_found": p7_found, "p7_table": p7_table,
 }
-ORACLES = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL, "p4_solutions": P4B_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL, "p6_share_of_class": P6B_SQL}
+ORACLES = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL, "p4_solutions": P4B_SQL, "p3_found": P3_SQL, "p3_ledger": P3B_SQL, "p6_found": P6_SQL, "p6_share_of_class": P6B_SQL}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from finstrata.core.scans import chunked_scan
 from finstrata.core.streams import complete_groups, group_starts
 
-OUT = {"a": ("max_before", "v"), "b": ("max_upto", "v"), "c": ("min_from", "v"), "d": ("count_before", "v"), "e": ("previous", "v")}
+OUT = {"a": ("max_before", "v"), "b": ("max_upto", "v"), "c": ("min_from", "v"), "d": ("count_before", "v"), "e": ("previous", "v"), "f": ("sum_upto", "v")}
 
 
 @pytest.mark.parametrize("width", [1, 7, 1000, None])
@@ -20,6 +20,7 @@ def test_as_a_plain_window(spark, width):
     want = df.select(
         "k", "t", "v", F.max("v").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("a"), F.max("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("b"),
         F.min("v").over(w.rowsBetween(0, Window.unboundedFollowing)).alias("c"), (F.row_number().over(w) - 1).cast("bigint").alias("d"), F.lag("v").over(w).alias("e"),
+        F.coalesce(F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("f"),
     )
     key = lambda x: (x.k, x.t)
     assert [tuple(x) for x in sorted(got.collect(), key=key)] == [tuple(x) for x in sorted(want.collect(), key=key)]
