@@ -97,13 +97,12 @@ def rate_periods(rates: DataFrame, currency: str, date: str, value: str, home: s
     )
 
 
-def to_whole_usd(rows: DataFrame, value: str, date: str, rates: DataFrame, until=None) -> DataFrame:
-    """Rows with ``currency`` and ``scale`` that can be converted, with ``amount_usd`` added.
+def at_rates(rows: DataFrame, date: str, rates: DataFrame, until=None) -> DataFrame:
+    """Rows with ``currency`` that have a rate, with it as ``fx_rate``: the last on or before ``date``.
 
-    The rate is the last on or before ``date``; foreign rows before the first rate or without date,
-    and rows without currency, are left out; a null value gives a null amount. ``until`` is the last
-    date of the rows, if the caller knows it. Rates are joined on (currency, month): each holds for
-    the months it spans, so the join is an equi-join that keeps few candidates.
+    Foreign rows before the first rate or without date, and rows without currency, are left out.
+    ``until`` is the last date of the rows, if the caller knows it. Rates are joined on (currency,
+    month): each holds for the months it spans, so the join is an equi-join that keeps few candidates.
     """
     last = F.coalesce(F.date_sub("to_date", 1), F.col("until"))
     until = until or rows.agg(F.max(date)).first()[0]
@@ -112,16 +111,21 @@ def to_whole_usd(rows: DataFrame, value: str, date: str, rates: DataFrame, until
         .withColumn("_fx_month", F.explode(F.sequence(F.trunc("from_date", "month"), F.trunc(last, "month"), F.expr("interval 1 month"))))
         .select(F.col("currency").alias("_fx_cur"), F.col("_fx_month"), F.col("from_date").alias("_fx_from"), F.col("to_date").alias("_fx_to"), F.col("rate").cast("decimal(12,6)").alias("_fx_rate"))
     )
-    joined = rows.filter(F.col("currency").isNotNull()).join(
+    joined = rows.drop("fx_rate").filter(F.col("currency").isNotNull()).join(
         spans,
         (F.col("currency") == F.col("_fx_cur")) & (F.trunc(date, "month") == F.col("_fx_month"))
         & (F.col(date) >= F.col("_fx_from")) & (F.col("_fx_to").isNull() | (F.col(date) < F.col("_fx_to"))),
         "left",
     )
+    converted = joined.filter((F.col("currency") == "USD") | F.col("_fx_rate").isNotNull())
     rate = F.when(F.col("currency") == "USD", F.lit(1).cast("decimal(12,6)")).otherwise(F.col("_fx_rate"))
+    return converted.withColumn("fx_rate", rate).drop("_fx_cur", "_fx_month", "_fx_from", "_fx_to", "_fx_rate")
+
+
+def to_whole_usd(rows: DataFrame, value: str, date: str, rates: DataFrame, until=None) -> DataFrame:
+    """Rows of ``at_rates`` that also have a ``scale``, with ``amount_usd`` added; a null value gives a null amount."""
     scaled = (F.col(value).cast("decimal(24,4)") * F.col("scale").cast("decimal(10,0)")).cast("decimal(26,4)")
-    converted = joined.filter((F.col("currency") == "USD") | F.col("_fx_rate").isNotNull())
-    return converted.withColumn("amount_usd", F.round(scaled * rate, 0).cast("bigint")).drop("_fx_cur", "_fx_month", "_fx_from", "_fx_to", "_fx_rate")
+    return at_rates(rows, date, rates, until).withColumn("amount_usd", F.round(scaled * F.col("fx_rate"), 0).cast("bigint")).drop("fx_rate")
 
 
 def solve_units(

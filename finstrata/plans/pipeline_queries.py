@@ -9,6 +9,7 @@ from finstrata.core.tables import table
 from finstrata.operators import drift, known_at, ledger, shards, spikes, units
 
 GEOGRAPHY = "srt:StatementGeographicalAxis"
+SCALE_TOLERANCE, SCALE_MARGIN = 1.5, 0.2
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +115,7 @@ o AS (SELECT attribute, s, k, told, n, next_told, v, t AS vf, CASE WHEN np IS NU
  UNION SELECT attribute, s, k, told, n, next_told, p, NULL, t, FALSE FROM y WHERE p IS NOT NULL AND p IS DISTINCT FROM f),
 g AS (SELECT *, n - row_number() OVER (PARTITION BY attribute, s, k, v, vf, vt, is_open ORDER BY n) AS island FROM o)
 SELECT s AS common_stock_id, attribute, v AS attribute_value, coalesce(strftime(vf, '%Y-%m-%d %H:%M:%S'), '') AS valid_from, coalesce(strftime(vt, '%Y-%m-%d %H:%M:%S'), '') AS valid_to, is_open,
- strftime(min(told), '%Y-%m-%d %H:%M:%S') AS recorded_from, coalesce(strftime(arg_max(next_told, n), '%Y-%m-%d %H:%M:%S'), '') AS recorded_to
+ strftime(min(told), '%Y-%m-%d %H:%M:%S') AS recorded_from, arg_max(coalesce(strftime(next_told, '%Y-%m-%d %H:%M:%S'), ''), n) AS recorded_to
 FROM g GROUP BY attribute, s, k, v, vf, vt, is_open, island
 """
 P3_SQL = r"""
@@ -133,20 +134,44 @@ WHERE cik IS NOT NULL AND common_stock_id IS NOT NULL AND raised_at IS NOT NULL
 
 
 def p4_solutions(spark: SparkSession, d: str) -> DataFrame:
-    """Filed values with the scale that the identity filed_value * scale = derived_value gives."""
+    """Filed values with the scale that the identity filed_value * scale = derived_value gives.
+
+    A filed value may besides be off by a split ratio or a stale mark, so the residual may be up to half
+    the step between scales; where a second scale is nearly as good, neither is taken.
+    """
     rows = table(spark, d, "value_basis_disagreement").select("disagreement_id", "filed_value", "derived_value")
-    solved = units.solve_units(rows, "filed_value", F.col("derived_value"), [1, 1_000, 1_000_000, 1_000_000_000])
+    solved = units.solve_units(rows, "filed_value", F.col("derived_value"), [1, 1_000, 1_000_000, 1_000_000_000], SCALE_TOLERANCE, SCALE_MARGIN)
     return solved.select("disagreement_id", F.col("filed_value").cast("double").alias("filed_value"), F.round("residual", 6).alias("residual"), "solutions", "factor")
 
 
 P4B_SQL = """
 WITH r AS (SELECT disagreement_id, filed_value, f, CASE WHEN filed_value > 0 AND derived_value > 0 THEN abs(log10(CAST(filed_value AS DOUBLE) * f / CAST(derived_value AS DOUBLE))) END AS res FROM value_basis_disagreement, (VALUES (1), (1000), (1000000), (1000000000)) AS z(f)),
 b AS (SELECT disagreement_id, filed_value, min(res) AS best, arg_min(f, res) AS f FROM r GROUP BY 1, 2),
-n AS (SELECT r.disagreement_id, count(*) FILTER (WHERE res < best + 0.12) AS n FROM r JOIN b USING (disagreement_id) GROUP BY 1)
-SELECT disagreement_id, CAST(b.filed_value AS DOUBLE) AS filed_value, round(best, 6) AS residual, CAST(CASE WHEN best < 0.12 THEN n ELSE 0 END AS INT) AS solutions, CAST(CASE WHEN best < 0.12 AND n = 1 THEN f END AS BIGINT) AS factor FROM b JOIN n USING (disagreement_id)
+n AS (SELECT r.disagreement_id, count(*) FILTER (WHERE res < best + 0.2) AS n FROM r JOIN b USING (disagreement_id) GROUP BY 1)
+SELECT disagreement_id, CAST(b.filed_value AS DOUBLE) AS filed_value, round(best, 6) AS residual, CAST(CASE WHEN best < 1.5 THEN n ELSE 0 END AS INT) AS solutions, CAST(CASE WHEN best < 1.5 AND n = 1 THEN f END AS BIGINT) AS factor FROM b JOIN n USING (disagreement_id)
 """
 
 
+def p4_scale_by_series(spark: SparkSession, d: str) -> DataFrame:
+    """Revenue rows against their member's other years: the scale the text names, and the one that ties them.
+
+    amount = value * rate * scale should be the member's usual amount, the median of all its rows as
+    the text reads them. Rows whose own text disagrees, and those that more than one scale fits, are told.
+    """
+    rates = units.rate_periods(table(spark, d, "fred_observation"), "currency", "obs_date", "value")
+    rows = table(spark, d, "dimensional_revenue_row").select(
+        "revenue_row_id", "common_stock_id", "axis", "member", "period_end", "value", "unit", "caption"
+    ).dropDuplicates(["revenue_row_id"])
+    named = units.named_units(rows, F.col("unit"), F.col("caption")).filter(F.col("currency").isNotNull() & (F.col("value") != 0))
+    until = rows.agg(F.max("period_end")).first()[0]
+    money = units.at_rates(named.withColumnRenamed("scale", "said"), "period_end", rates, until).withColumn("unscaled", F.abs("value").cast("double") * F.col("fx_rate").cast("double"))
+    keys = ["common_stock_id", "axis", "member"]
+    usual = money.groupBy(*keys).agg(F.median(F.log10(F.col("unscaled") * F.col("said"))).alias("usual"), F.count("*").alias("rows"))
+    tied = money.join(usual, keys).filter(F.col("rows") >= 3).withColumn("level", F.pow(F.lit(10.0), F.col("usual")))
+    solved = units.solve_units(tied, "unscaled", F.col("level"), [1, 1_000, 1_000_000, 1_000_000_000], SCALE_TOLERANCE, SCALE_MARGIN)
+    return solved.select("revenue_row_id", "said", F.round("residual", 4).alias("residual"), "solutions", "factor", (F.col("factor") == F.col("said")).alias("agrees"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     rates = units.rate_periods(table(spark, d, "fred_observation"), "currency", "obs_date", "value")
     rows = table(spark, d, "dimensional_revenue_row").select("revenue_row_id", "period_end", "value", "unit", "caption")
@@ -165,6 +190,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return revenue.filter(F.col("amount_usd").isNotNull()).unionByName(holding).distinct()
 
 
+# Currency and scale as P4_SQL reads them; each row's scale is then judged by its member's median amount.
+P4C_SQL = """
+amounts AS (SELECT DISTINCT revenue_row_id, f, CAST(abs(value) AS DOUBLE) * CAST(rate AS DOUBLE) AS u FROM (SELECT j.*, CASE WHEN code = 'USD' THEN 1 ELSE o.value END AS rate
+  FROM j ASOF LEFT JOIN (SELECT currency, obs_date, value FROM fred_observation WHERE value IS NOT NULL) o ON o.currency = j.code AND j.period_end >= o.obs_date) WHERE code IS NOT NULL AND value <> 0 AND rate IS NOT NULL),
+t AS (SELECT a.*, median(log10(u * f)) OVER w AS usual, count(*) OVER w AS n FROM amounts a JOIN (SELECT DISTINCT revenue_row_id, common_stock_id, axis, member FROM dimensional_revenue_row) d USING (revenue_row_id)
+  WHERE common_stock_id IS NOT NULL AND axis IS NOT NULL AND member IS NOT NULL WINDOW w AS (PARTITION BY common_stock_id, axis, member)),
+e AS (SELECT revenue_row_id, f AS said, z.g, abs(log10(u * z.g) - usual) AS res FROM t, (VALUES (1), (1000), (1000000), (1000000000)) AS z(g) WHERE n >= 3),
+b AS (SELECT revenue_row_id, said, min(res) AS best, arg_min(g, res) AS g FROM e GROUP BY 1, 2),
+q AS (SELECT b.*, (SELECT count(*) FROM e WHERE e.revenue_row_id = b.revenue_row_id AND e.res < b.best + 0.2) AS n FROM b)
+SELECT revenue_row_id, CAST(said AS BIGINT) AS said, round(best, 4) AS residual, CAST(CASE WHEN best < 1.5 THEN n ELSE 0 END AS INT) AS solutions, CAST(CASE WHEN best < 1.5 AND n = 1 THEN g END AS BIGINT) AS factor,
+ CASE WHEN best < 1.5 AND n = 1 THEN g = said END AS agrees FROM q
+"""
 _CUR = """(VALUES ('usd','USD'),('us$','USD'),('$','USD'),('us dollars','USD'),('eur','EUR'),('€','EUR'),('euros','EUR'),('gbp','GBP'),('£','GBP'),('pounds sterling','GBP'),('jpy','JPY'),('¥','JPY'),('japanese yen','JPY'),
 ('cad','CAD'),('c$','CAD'),('canadian dollars','CAD'),('chf','CHF'),('sfr.','CHF'),('swiss francs','CHF'),('sek','SEK'),('swedish kronor','SEK'),('brl','BRL'),('r$','BRL'),('brazilian reais','BRL')) AS cur(t, code)"""
 _SIZE = """(VALUES ('thousands',1000),('thds.',1000),('000s',1000),(chr(39) || '000',1000),(chr(39) || '000s',1000),('k',1000),('million',1000000),('millions',1000000),('mn',1000000),('mil.',1000000),('mio.',1000000),('m',1000000),
@@ -182,9 +219,11 @@ k AS (SELECT * FROM j WHERE code IS NOT NULL AND value IS NOT NULL AND NOT (code
 x AS (SELECT k.*, CASE WHEN code = 'USD' THEN 1 ELSE o.value END AS rate FROM k ASOF LEFT JOIN (SELECT currency, obs_date, value FROM fred_observation WHERE value IS NOT NULL) o ON o.currency = k.code AND k.period_end >= o.obs_date)
 SELECT 'revenue' AS record_kind, revenue_row_id AS record_id, CAST(round(CAST(value * f AS DECIMAL(26,4)) * CAST(rate AS DECIMAL(12,6)), 0) AS BIGINT) AS amount_usd FROM x WHERE rate IS NOT NULL
 UNION SELECT 'holding', disagreement_id, CAST(round(filed_value * CASE WHEN lr < 4.5 THEN 1000 ELSE 1000000 END, 0) AS BIGINT) FROM (SELECT disagreement_id, filed_value, log10(CAST(derived_value AS DOUBLE) / CAST(filed_value AS DOUBLE)) AS lr FROM value_basis_disagreement WHERE filed_value > 0 AND derived_value > 0)
-WHERE abs(lr - 3) < 0.12 OR abs(lr - 6) < 0.12
+WHERE abs(lr - 3) < 1.4 OR abs(lr - 6) < 1.4
 """
 
+P4C_SQL = P4_SQL[: P4_SQL.index("k AS (SELECT")] + P4C_SQL.lstrip()
+
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The three largest holdings of each stock and report date."""
@@ -252,7 +291,7 @@ def p7_table(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p2_found": p2_found, "p2_flags": p2_flags, "p3_found": p3_found, "p3_ledger": p3_ledger,
-    "p4_found": p4_found, "p4_solutions": p4_solutions, "p6_found": p6_found, "p6_share_of_class": p6_share_of_class,
+    "p4_found": p4_found, "p4_solutions": p4_solutions, "p4_scale_by_series": p4_scale_by_series, "p6_found": p6_found, "p6_share_of_class": p6_share_of_class,
     "p7_found": p7_found, "p7_table": p7_table,
 }
-ORACLES = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL, "p4_solutions": P4B_SQL, "p3_found": P3_SQL, "p3_ledger": P3B_SQL, "p6_found": P6_SQL, "p6_share_of_class": P6B_SQL}
+ORACLES = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL, "p4_solutions": P4B_SQL, "p4_scale_by_series": P4C_SQL, "p3_found": P3_SQL, "p3_ledger": P3B_SQL, "p6_found": P6_SQL, "p6_share_of_class": P6B_SQL}
