@@ -55,6 +55,13 @@ def sessions(spark: SparkSession, first: int, last: int) -> DataFrame:
     return open_days.withColumn("ordinal", F.row_number().over(Window.orderBy("session")))
 
 
+def sessions_of(rows: DataFrame, day: str) -> DataFrame:
+    """``sessions`` of all years in which ``day`` falls and one more on either side; one pass for the two ends."""
+    ends = rows.agg(F.year(F.min(day)), F.year(F.max(day))).first()
+    first, last = (ends[0], ends[1]) if ends[0] is not None else (2000, 2000)
+    return sessions(rows.sparkSession, first - 1, last + 1)
+
+
 def shift_sessions(rows: DataFrame, day: str, calendar: DataFrame, n: int, name: str) -> DataFrame:
     """Adds the session n after the last one on or before ``day`` (n may be negative)."""
     w = Window.orderBy("session")

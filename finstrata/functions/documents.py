@@ -199,16 +199,23 @@ def classify(c: Column, kinds: list[tuple[str, str]], other: str | None = None)
     return out
 
 
-def person_key(c: Column) -> Column:
-    """A person's name for comparing: "Last, First M." turned round, titles, suffixes and initials dropped."""
-    turned = F.regexp_replace(F.trim(c), r"^([^,]+),\s*(?!(?:jr|sr|ii+|iv)\b)(.+)$", "$2 $1")
-    words = F.split(F.lower(F.regexp_replace(turned, r"[^\p{L}\s'-]", " ")), r"\s+")
-    drop = ["hon", "honorable", "mr", "mrs", "ms", "dr", "sen", "senator", "rep", "representative", "jr", "sr", "ii", "iii", "iv", "the"]
-    return F.array_join(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(drop)), " ")
+# Titles that stand anywhere in a name and say nothing about who it is.
+TITLES = ["mr", "mrs", "ms", "dr", "hon", "honorable"]
 
 
-def excerpts(chunks: DataFrame, doc_id: str, start: str, content: str, rank: str, most_chars: int = 4000) -> DataFrame:
-    """(doc_id, best_rank, context): each document's excerpts in reading order, cut to ``most_chars``."""
+def person_name(c: Column) -> Column:
+    """A person's name with single blanks, without titles and without words said twice in a row.
+
+    Initials, suffixes and the order of words stay, also an initial said twice: two people may
+    differ in just those.
+    """
+    bare = lambda w: F.rtrim(w, F.lit("."))
+    words = F.filter(F.split(F.trim(c), r"\s+"), lambda w: (w != "") & ~F.lower(bare(w)).isin(TITLES))
+    again = lambda w, i: (i > 0) & (F.lower(w) == F.lower(F.get(words, i - 1))) & ~bare(w).rlike(r"^\p{L}$")
+    return F.array_join(F.filter(words, lambda w, i: ~F.coalesce(again(w, i), F.lit(False))), " ")
+
+
+def excerpts(chunks: DataFrame, doc_id: str, start: str, content: str, rank: str) -> DataFrame:
+    """(doc_id, best_rank, context): each document's excerpts, all of them, in reading order."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct(start, content))), lambda x: x[content])
-    g = chunks.groupBy(doc_id).agg(F.min(rank).alias("best_rank"), F.array_join(parts, "\n...\n").alias("context"))
-    return g.withColumn("context", F.substring("context", 1, most_chars))
+    return chunks.groupBy(doc_id).agg(F.min(rank).alias("best_rank"), F.array_join(parts, "\n...\n").alias("context"))

@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 # Typographic characters and the plain ones they are read as; one for one, so offsets stay.
 TYPOGRAPHY = (
-    "\u2018\u2019\u201a\u201b\u201c\u201d\u201e\u201f\u2010\u2011\u2012\u2013\u2014\u2015\u00a0\u2007\u202f",
-    "''''\"\"\"\"------   ",
+    "\u2018\u2019\u201a\u201b\u2032`\u00b4\u201c\u201d\u201e\u201f\u2033\u2010\u2011\u2012\u2013\u2014\u2015\u2212\u00a0",
+    "'''''''\"\"\"\"\"------- ",
 )
+# The brackets in which amounts are disclosed; a lower bound tells its upper one.
+BRACKETS = {
+    1_001: 15_000, 15_001: 50_000, 50_001: 100_000, 100_001: 250_000, 250_001: 500_000, 500_001: 1_000_000,
+    1_000_001: 5_000_000, 5_000_001: 25_000_000, 25_000_001: 50_000_000,
+}
 
 
 def tokens(c: Column) -> Column:
@@ -45,15 +50,31 @@ def cik_spellings(c: Column) -> Column:
 
 
 def ticker_in(c: Column) -> Column:
-    """A ticker in brackets, as in "Name Inc. (TICK)"; the empty string if there is none."""
-    return F.upper(F.regexp_extract(c, r"[(\[]\s*([A-Za-z]{1,5}(?:\.[A-Za-z]{1,2})?)\s*[)\]]", 1))
+    """A ticker in brackets, as in "Name Inc. (TICK)"; the empty string if there is none.
+
+    One to five letters, a point and a class of one or two letters if there is one; round or square
+    brackets, blanks inside them don't count.
+    """
+    round_ = F.translate(c, "[]", "()")
+    return F.upper(F.regexp_extract(round_, r"\((?:\p{Z}|\t)*(\p{Alpha}{1,5}+(?:[.]\p{Alpha}\p{Alpha}?)?)(?:\p{Z}|\t)*\)", 1))
 
 
 def amount_range(c: Column) -> Column:
-    """(low, high) of "$1,001 - $15,000"; thousands broken by a blank are joined, an open end is null."""
-    joined = F.regexp_replace(c, r"(\d),\s+(\d{3})", "$1,$2")
-    found = F.transform(F.regexp_extract_all(joined, F.lit(r"\$\s*([\d,]+)"), 1), lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("bigint"))
-    return F.struct(F.get(found, 0).alias("low"), F.get(found, 1).alias("high"))
+    """(low, high) of "$1,001 - $15,000"; thousands broken by a blank are joined.
+
+    A single amount is the upper bound, unless it says "over" or ends in "+" (both bounds) or its other
+    end was lost ("$1,001 -"), which the bracket it begins tells; so it does for a high below its low.
+    No amount at all gives (0, 0).
+    """
+    text = F.trim(F.coalesce(c, F.lit("")))
+    joined = F.regexp_replace(text, r"(\d),\s+(\d{3})", "$1,$2")
+    found = F.transform(F.regexp_extract_all(joined, F.lit(r"\$\s*([\d,]+)"), 1), lambda x: F.coalesce(F.replace(x, F.lit(","), F.lit("")).try_cast("bigint"), F.lit(0)))
+    one, two = F.get(found, 0), F.get(found, 1)
+    ceiling = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x).cast("bigint") for pair in BRACKETS.items() for x in pair]), one), one)
+    single = F.when(text.endswith("+") | F.lower(text).contains("over"), one).when(text.endswith("-"), ceiling)
+    low = F.when(one.isNull(), 0).when(two.isNotNull() | single.isNotNull(), one).otherwise(0)
+    high = F.when(one.isNull(), 0).when(two.isNull(), F.coalesce(single, one)).when(two < one, ceiling).otherwise(two)
+    return F.struct(low.cast("bigint").alias("low"), high.cast("bigint").alias("high"))
 
 
 def any_date(c: Column) -> Column:
@@ -75,10 +96,25 @@ def compact_usd(c: Column) -> Column:
     return F.concat(sign, F.coalesce(text, F.concat(F.lit("$"), F.format_string("%.0f", F.round(x)))))
 
 
-def humanise(c: Column) -> Column:
-    """"us-gaap:ProductSalesMember" as "Product Sales"."""
-    bare = F.regexp_replace(F.regexp_replace(c, "^.*:", ""), "(Member|Domain|Axis)$", "")
-    return F.trim(F.regexp_replace(bare, "([a-z0-9])([A-Z])", "$1 $2"))
+def country_names(spark) -> dict[str, str]:
+    """English names of the countries by their two letters, as the Java runtime has them."""
+    locale = spark.sparkContext._jvm.java.util.Locale
+    return {code: locale("", code).getDisplayCountry(locale.ENGLISH) for code in locale.getISOCountries()}
+
+
+def humanise(c: Column, countries: dict[str, str] | None = None) -> Column:
+    """"us-gaap:ProductSalesMember" as "Product Sales", "country:DE" as "Germany".
+
+    Words begin at a capital after a small letter or digit, and at the last capital of several
+    before a small one, if it isn't the second letter ("IPhone" is one word).
+    """
+    bare = F.regexp_replace(F.regexp_replace(c, "^.*:", ""), "(?<=.)(Member|Domain|Axis)$", "")
+    words = F.regexp_replace(F.regexp_replace(bare, "([a-z0-9])([A-Z])", "$1 $2"), "([^ ][A-Z])([A-Z][a-z])", "$1 $2")
+    words = F.trim(F.regexp_replace(words, "( [A-Z])([A-Z][a-z])", "$1 $2"))
+    if not countries:
+        return words
+    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in countries.items() for x in pair]), F.upper(bare))
+    return F.when(c.startswith("country:"), F.coalesce(named, bare)).otherwise(words)
 
 
 def member_key(members: Column) -> Column:

@@ -1,10 +1,7 @@
 """Selection and reconciliation of reported facts."""
 
-import re
 from collections.abc import Iterator
-from decimal import Decimal
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,11 +59,15 @@ def reconcile(members: DataFrame, totals: DataFrame, keys: list[str], value: str
     return whole.unionByName(rest).drop("_chosen")
 
 
-def subset_with_sum(values: list[int], target: int, most_nodes: int = 200_000) -> list[int] | None:
-    """Places of values that add up to the target, by depth-first search with bounds; None if there are none.
+class Unfinished(Exception):
+    """A search that stopped before it could tell."""
 
-    Larger values come first; a branch ends when what is left can't reach the target. The search
-    stops after ``most_nodes`` steps and then tells none.
+
+def subset_with_sum(values: list[int], target: int, least: int = 1, most_nodes: int = 200_000) -> list[int] | None:
+    """Places of at least so many values that add up to the target, by depth-first search; None if there are none.
+
+    Larger values come first; a branch ends when what is left can't reach the target. A search of more
+    than ``most_nodes`` steps raises ``Unfinished``.
     """
     order = sorted(range(len(values)), key=lambda i: (-abs(values[i]), i))
     up, down = [0] * (len(order) + 1), [0] * (len(order) + 1)
@@ -78,52 +79,113 @@ def subset_with_sum(values: list[int], target: int, most_nodes: int = 200_000) -
     while stack:
         k, left, taken = stack.pop()
         nodes += 1
-        if left == 0 and taken:
+        if left == 0 and len(taken) >= least:
             return sorted(taken)
-        if nodes > most_nodes or k == len(order) or not down[k] <= left <= up[k]:
-            if nodes > most_nodes:
-                return None
+        if nodes > most_nodes:
+            raise Unfinished
+        if k == len(order) or not down[k] <= left <= up[k]:
             continue
         stack.append((k + 1, left, taken))
         stack.append((k + 1, left - values[order[k]], (*taken, order[k])))
     return None
 
 
+def rollup_members(cells: dict[str, dict[str, int]], least_periods: int, most_members: int) -> tuple[set[str], bool]:
+    """(members that are sums of two or more others in enough periods, whether the search was finished)."""
+    if len({m for c in cells.values() for m in c}) > most_members:
+        return set(), False
+    seen: dict[str, int] = {}
+    try:
+        for period in cells.values():
+            for m, v in period.items():
+                others = [w for n, w in period.items() if n != m and w]
+                if v and subset_with_sum(others, v, 2):
+                    seen[m] = seen.get(m, 0) + 1
+    except Unfinished:
+        return set(), False
+    return {m for m, n in seen.items() if n >= least_periods}, True
+
+
 def without_rollups(rows: DataFrame, keys: list[str], period: str, member: str, value: str, least_periods: int = 2, most_members: int = 12) -> DataFrame:
-    """Members without those that are sums of others in at least ``least_periods`` periods.
+    """Members without those that are sums of others in at least ``least_periods`` periods; adds ``searched``.
 
-    Groups of more than ``most_members`` members are left as they are, so the work of a group is
-    bounded; such groups are small by that bound and many go to one task.
+    The search is exponential in a group's members, so it is done for up to ``most_members`` of them;
+    larger groups, and those whose search doesn't end, are left whole and told by ``searched`` false.
+    Rows of one group, period and member must be one.
     """
     kinds = dict(rows.dtypes)
-    wide = rows.groupBy(*keys).agg(
-        F.collect_set(member).alias("_m"), F.array_sort(F.collect_list(F.struct(F.col(period).cast("string").alias("p"), F.col(member).alias("m"), F.round(value, 0).cast("bigint").alias("v")))).alias("_rows")
-    )
-    bounded = wide.filter(F.size("_m").between(3, most_members)).select(*keys, "_rows")
+    cells = F.collect_list(F.struct(F.col(period).cast("string").alias("p"), F.col(member).alias("m"), F.round(value, 0).cast("bigint").alias("v")))
+    wide = rows.groupBy(*keys).agg(cells.alias("_rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, gone = [], []
+            at, gone, done = [], [], []
             for i, items in enumerate(b.column(len(keys)).to_pylist()):
-                seen: dict[str, int] = {}
                 by: dict[str, dict[str, int]] = {}
                 for x in items:
                     if x["v"] is not None and x["m"] is not None:
                         by.setdefault(x["p"], {})[x["m"]] = x["v"]
-                for cells in by.values():
-                    for m, v in cells.items():
-                        others = [w for n, w in cells.items() if n != m and w]
-                        found = subset_with_sum(others, v) if v and len(others) >= 2 else None
-                        if found and len(found) >= 2:
-                            seen[m] = seen.get(m, 0) + 1
-                for m, n in seen.items():
-                    if n >= least_periods:
-                        at.append(i)
-                        gone.append(m)
-            yield pa.record_batch({k: b.column(j).take(pa.array(at, pa.int64())) for j, k in enumerate(keys)} | {member: pa.array(gone, pa.string())})
-
-    sums = bounded.mapInArrow(run, ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"{member} string"]))
-    return rows.join(sums, [*keys, member], "left_anti")
+                sums, searched = rollup_members(by, least_periods, most_members)
+                at.append(i)
+                gone.append(sorted(sums))
+                done.append(searched)
+            yield pa.record_batch({k: b.column(j).take(pa.array(at, pa.int64())) for j, k in enumerate(keys)} | {"_gone": pa.array(gone, pa.list_(pa.string())), "searched": pa.array(done, pa.bool_())})
+
+    judged = wide.mapInArrow(run, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "_gone array<string>", "searched boolean"]))
+    return rows.join(judged, keys).filter(~F.coalesce(F.array_contains("_gone", F.col(member)), F.lit(False))).drop("_gone")
+
+
+def collapse_schemes(rows: DataFrame, keys: list[str], member: str, value: str, total: str, most_members: int = 20) -> DataFrame:
+    """One scheme of members where several of them each add up to the total; adds ``collapsed`` and ``searched``.
+
+    The members of a key (with the same ``total``) are left as they are unless they fall, all of them, into
+    two or more disjoint sets with that sum; then the set with the most members stays, of equals the one
+    that comes first by its members' names. Sums are exact in whole units. Keys with more than
+    ``most_members`` members aren't searched, which ``searched`` tells.
+    """
+    kinds = dict(rows.dtypes)
+    cells = F.array_sort(F.collect_list(F.struct(F.col(member).alias("m"), F.round(value, 0).cast("bigint").alias("v"))))
+    wide = rows.groupBy(*keys).agg(cells.alias("_rows"), F.max(F.round(total, 0).cast("bigint")).alias("_total"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept, done = [], []
+            for items, t in zip(b.column(len(keys)).to_pylist(), b.column(len(keys) + 1).to_pylist()):
+                names, values = [x["m"] for x in items], [x["v"] or 0 for x in items]
+                done.append(len(names) <= most_members)
+                best = partition_by_sum(values, t) if done[-1] and t else None
+                kept.append(None if best is None else [names[i] for i in min(best, key=lambda s: (-len(s), [names[i] or "" for i in s]))])
+            yield pa.record_batch({k: b.column(j) for j, k in enumerate(keys)} | {"_kept": pa.array(kept, pa.list_(pa.string())), "searched": pa.array(done, pa.bool_())})
+
+    judged = wide.mapInArrow(run, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "_kept array<string>", "searched boolean"]))
+    stays = F.col("_kept").isNull() | F.coalesce(F.array_contains("_kept", F.col(member)), F.lit(False))
+    return rows.join(judged, keys).filter(stays).withColumn("collapsed", F.col("_kept").isNotNull()).drop("_kept")
+
+
+def partition_by_sum(values: list[int], total: int) -> list[list[int]] | None:
+    """Places of all values in two or more disjoint sets, each with this sum; None if there are none."""
+    if sum(values) == total or total == 0 or sum(values) % total:
+        return None
+
+    def rest(left: tuple[int, ...]) -> list[list[int]] | None:
+        if not left:
+            return []
+        # the first place left belongs to some set: try all sets with it
+        first, others = left[0], left[1:]
+        stack: list[tuple[int, int, tuple[int, ...]]] = [(0, total - values[first], (first,))]
+        while stack:
+            k, need, taken = stack.pop()
+            if need == 0:
+                more = rest(tuple(i for i in others if i not in taken))
+                if more is not None:
+                    return [list(taken), *more]
+            if k < len(others):
+                stack.append((k + 1, need, taken))
+                stack.append((k + 1, need - values[others[k]], (*taken, others[k])))
+        return None
+
+    found = rest(tuple(range(len(values))))
+    return found if found and len(found) >= 2 else None
 
 
 def scale_errors(facts: DataFrame, keys: list[str], period: str, value: str) -> DataFrame:
@@ -159,24 +221,21 @@ def margins(revenue: DataFrame, income: DataFrame, keys: list[str]) -> DataFrame
     return j.filter(F.col("revenue") > 0).withColumn("margin", F.round(F.col("income") / F.col("revenue") * 100, 4))
 
 
-def ratio_of(text: str) -> Decimal | None:
-    """Ordinary shares a depositary share stands for, from phrases like "each ADS represents two ordinary shares"."""
-    words = {w: i + 1 for i, w in enumerate("one two three four five six seven eight nine ten eleven twelve".split())} | {"twenty": 20, "thirty": 30, "fifty": 50, "hundred": 100, "one-half": Decimal("0.5"), "half": Decimal("0.5")}
-    number = r"(\d[\d,]*(?:\.\d+)?|" + "|".join(sorted(words, key=len, reverse=True)) + r")"
-    m = re.search(rf"(?:each|one|1)\s+(?:ads|adr|american\s+depositary\s+(?:share|receipt))\s+represent(?:s|ing)\s+(?:the\s+right\s+to\s+receive\s+)?{number}\s*(?:\(\d+\)\s*)?(?:class\s+\w+\s+)?(?:ordinary|common)", text.lower())
-    if not m:
-        return None
-    t = m.group(1)
-    return Decimal(words[t]) if t in words else Decimal(t.replace(",", ""))
+# Numbers as words.
+NUMBER_WORDS = {
+    "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10", "eleven": "11", "twelve": "12",
+    "fifteen": "15", "twenty": "20", "twenty-five": "25", "thirty": "30", "forty": "40", "fifty": "50", "hundred": "100", "one-half": "0.5", "half": "0.5", "one-third": "0.333333", "one-fourth": "0.25", "one-tenth": "0.1",
+}
 
 
 def depositary_ratio(c: Column) -> Column:
-    """``ratio_of`` for a column, in Arrow batches; free text has no built-in for it."""
-    @F.pandas_udf("decimal(18,6)")
-    def ratio(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else ratio_of(x))
-
-    return ratio(c)
+    """Ordinary shares a depositary share stands for, from phrases like "each ADS represents two ordinary shares"."""
+    number = r"(\d[\d,]*(?:\.\d+)?|" + "|".join(sorted(NUMBER_WORDS, key=len, reverse=True)) + ")"
+    share = r"(?:ads|adr|american\s+depositary\s+(?:share|receipt))"
+    pattern = rf"(?:each|one|1)\s+{share}\s+represent(?:s|ing)\s+(?:the\s+right\s+to\s+receive\s+)?{number}\s*(?:\(\d+\)\s*)?(?:of\s+(?:an?|one)\s+)?(?:class\s+\w+\s+)?(?:ordinary|common)"
+    said = F.regexp_extract(F.lower(c), pattern, 1)
+    words = F.try_element_at(F.create_map(*[F.lit(x) for pair in NUMBER_WORDS.items() for x in pair]), said)
+    return F.coalesce(words, F.replace(said, F.lit(","), F.lit(""))).try_cast("decimal(18,6)")
 
 
 def orient_axes(legs: DataFrame, axis: str, member: str, other_axis: str, other_member: str, wanted: list[str]) -> DataFrame:

@@ -72,9 +72,9 @@ def dyadic_nodes(first: Column, end: Column, levels: int) -> Column:
 
 def join_as_known(
     events: DataFrame, time: str, key: list[str], intervals: DataFrame, carry: list[str],
-    span: tuple[int | None, int | None] | None = None,
+    span: tuple[int | None, int | None] | None = None, how: str = "inner",
 ) -> DataFrame:
-    """Every event with the facts in force at its time: inner join of ``events`` with ``carry``.
+    """Every event with the facts in force at its time: ``events`` joined (``how``) with ``carry``.
 
     ``intervals`` has ``key``, from_day, to_day and ``carry``; several entities (members, say)
     may share a key, each then gives its own row. Events without a time or key give none.
@@ -110,4 +110,4 @@ def join_as_known(
         .filter((F.col("_first") <= F.col("_day")) & (F.col("_day") < F.col("_end")))
         .select(*key, time, *carry)
     )
-    return events.filter(F.col(time).isNotNull()).join(hits, [*key, time])
+    return (events.filter(F.col(time).isNotNull()) if how == "inner" else events).join(hits, [*key, time], how)

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from finstrata.core.scans import chunked_scan
+
 MOST_ROWS, MOST_OFFSET = 500, 100_000
 
 
@@ -159,13 +161,18 @@ def overlap_pairs(rows: DataFrame, who: str, item: str) -> DataFrame:
     )
 
 
-def tie_averaged_percentile(value: Column, partition: list[str] | None = None) -> Column:
-    """Mean rank of equal values over n - 1, in percent; 50 for a single row; null stays null."""
-    w = Window.partitionBy(*(partition or []), value.isNull())
-    ties = F.count("*").over(Window.partitionBy(*(partition or []), value))
-    n, rank = F.count("*").over(w), F.rank().over(w.orderBy(value))
-    pct = (rank - 1 + (ties - 1) / 2) / (n - 1) * 100
-    return F.when(value.isNull(), None).when(n == 1, F.lit(50.0)).otherwise(pct)
+def with_percentile(df: DataFrame, value: str, name: str, chunks: int = 256) -> DataFrame:
+    """Adds the mean rank of equal values over n - 1, in percent; 50 for a single row; null stays null.
+
+    Rows are counted by value first; the counts, cut into chunks at quantiles of the values, are summed
+    along, so no task sees all rows or all values.
+    """
+    v = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    edges = v.agg(F.percentile_approx("_v", [i / chunks for i in range(1, chunks)], 10 * chunks).alias("_e"), F.sum("_c").alias("_n"))
+    placed = v.crossJoin(F.broadcast(edges)).withColumns({"_all": F.lit(0), "_chunk_no": F.size(F.filter("_e", lambda e: e < F.col("_v")))}).drop("_e")
+    upto = chunked_scan(placed, ["_all"], F.col("_chunk_no"), ["_v"], {"_upto": ("sum_upto", "_c")})
+    pct = F.when(F.col("_n") == 1, F.lit(50.0)).otherwise((F.col("_upto") - F.col("_c") + (F.col("_c") - 1) / 2) / (F.col("_n") - 1) * 100)
+    return df.drop(name).join(upto.select("_v", pct.alias(name)), F.col(value) == F.col("_v"), "left").drop("_v")
 
 
 def weighted_composite(factors: dict[str, float]) -> Column:

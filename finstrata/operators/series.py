@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finstrata.core.streams import stream_groups
+from finstrata.operators.known_at import day_number, join_as_known
 
 UNIT = 10_000
 
@@ -233,17 +234,15 @@ def smoothers(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def as_of_join(events: DataFrame, prices: DataFrame, keys: list[str], at: str, date: str, value: str) -> DataFrame:
-    """Each event with the last value on or before its time: one union and one running window.
+    """Each event with the last value on or before its day, by ``known_at``'s dyadic nodes.
 
-    No range join; the window's partitions are the keys. An event without an earlier value keeps
-    a null. ``value`` must not be a column of ``events``.
+    A value holds until the key's next one; of several on a day the greatest counts. A hot key's events
+    spread over their days, so none is sorted in one task. An event without an earlier value, key or
+    time keeps a null. ``value`` must not be a column of ``events``.
     """
-    left = events.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_kind"), F.struct(*[c for c in events.columns]).alias("_row"), F.lit(None).cast(dict(prices.dtypes)[value]).alias(value))
-    null_row = F.lit(None).cast(left.schema["_row"].dataType)
-    right = prices.filter(F.col(value).isNotNull()).select(*keys, F.col(date).alias("_t"), F.lit(0).alias("_kind"), null_row.alias("_row"), value)
-    w = Window.partitionBy(*keys).orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    filled = left.unionByName(right).withColumn(value, F.last(value, True).over(w))
-    return filled.filter(F.col("_kind") == 1).select("_row.*", value)
+    one = prices.filter(F.col(value).isNotNull() & F.col(date).isNotNull()).groupBy(*keys, day_number(F.col(date)).alias("from_day")).agg(F.max(value).alias(value))
+    held = one.withColumn("to_day", F.lead("from_day").over(Window.partitionBy(*keys).orderBy("from_day")))
+    return join_as_known(events, at, keys, held, [value], how="left")
 
 
 def split_factor(rows: DataFrame, splits: DataFrame, key: str, as_of: str, row_id: str) -> DataFrame:

@@ -68,13 +68,16 @@ def _robust_ar(y: np.ndarray, gid: np.ndarray, groups: int) -> tuple[np.ndarray,
 
 
 def find_spikes(
-    y: np.ndarray, gid: np.ndarray, groups: int, times: float = 10.0, max_bars: int = 3, rounds: int = 5
+    y: np.ndarray, gid: np.ndarray, groups: int, times: float = 10.0, max_bars: int = 3
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Additive outliers among log closes; returns flags, usual move by group, cleaned values."""
+    """Additive outliers among log closes; returns flags, usual move by group, cleaned values.
+
+    Flags only grow from fit to fit, so the loop ends, when a fit finds nothing new.
+    """
     y, n = y.copy(), len(y)
     flags = np.zeros(n, dtype=bool)
     scale = np.full(groups, np.nan)
-    for _ in range(rounds):
+    while True:
         e, scale = _robust_ar(y, gid, groups)
         s = scale[gid]
         with np.errstate(invalid="ignore"):

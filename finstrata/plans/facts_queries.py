@@ -12,7 +12,7 @@ from finstrata.operators import facts as X
 from finstrata.operators import relational as R
 from finstrata.operators import series as S
 from finstrata.plans.series_queries import _SPLITS, _splits
-from finstrata.plans.text_queries import _SESS
+from finstrata.plans.text_queries import _SESS, _SESS_WIDE
 from finstrata.plans.views import BARS, CURRENT, HOLDINGS, PREVIOUS, bars, day, half_even_sql, holdings
 
 QUERIES, ORACLES = {}, {}
@@ -70,11 +70,16 @@ def fn_reconcile_to_total(spark, d):
     return X.reconcile(m, t, ["common_stock_id", "fiscal_year"], "v", "t", "filed_date").select("common_stock_id", "fiscal_year", "member", "v", "reconciled")
 
 
-@query()
+# Subsets of the other members by recursion over their order; a member that is such a sum in two years goes.
+@query(f"""WITH RECURSIVE g AS (SELECT common_stock_id AS s, fiscal_year AS y, member AS m, max(v) AS v FROM {_REV} WHERE axis = 'srt:StatementGeographicalAxis' GROUP BY 1, 2, 3),
+o AS (SELECT *, row_number() OVER (PARTITION BY s, y ORDER BY m) AS k, count(*) OVER (PARTITION BY s, y) AS n FROM g WHERE y IS NOT NULL AND m IS NOT NULL AND v <> 0),
+r(s, y, t, tv, k, total, taken) AS (SELECT s, y, m, v, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0 FROM o UNION ALL SELECT r.s, r.y, r.t, r.tv, o.k, r.total + o.v * z.x, r.taken + z.x FROM r JOIN o ON o.s = r.s AND o.y = r.y AND o.k = r.k + 1 JOIN (VALUES (0), (1)) AS z(x) ON z.x = 0 OR o.m <> r.t),
+e AS (SELECT s, t FROM (SELECT DISTINCT r.s, r.t, r.y FROM r JOIN o ON o.s = r.s AND o.y = r.y AND o.k = r.k AND o.n = r.k WHERE taken >= 2 AND total = tv) GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT s AS common_stock_id, y AS fiscal_year, m AS member, v, TRUE AS searched FROM g WHERE s IS NOT NULL AND NOT EXISTS (SELECT 1 FROM e WHERE e.s = g.s AND e.t = g.m)""")
 def fn_without_rollups(spark, d):
-    """Members without those that are sums of others; a bounded search, checked by tests."""
+    """Members without those that are sums of others; groups too large to search would be told."""
     m = _revenue(spark, d).filter(F.col("axis") == "srt:StatementGeographicalAxis").groupBy("common_stock_id", "fiscal_year", "member").agg(F.max("v").alias("v"))
-    return X.without_rollups(m, ["common_stock_id"], "fiscal_year", "member", "v").select("common_stock_id", "fiscal_year", "member", "v")
+    return X.without_rollups(m, ["common_stock_id"], "fiscal_year", "member", "v").select("common_stock_id", "fiscal_year", "member", "v", "searched")
 
 
 @query(f"""WITH y AS (SELECT common_stock_id, member, fiscal_year, max(v) AS v FROM {_REV} WHERE axis = 'srt:StatementGeographicalAxis' GROUP BY 1, 2, 3),
@@ -86,12 +91,12 @@ def fn_scale_errors(spark, d):
     return X.scale_errors(y, ["common_stock_id", "member"], "fiscal_year", "v").select("common_stock_id", "member", "fiscal_year", "scale_error")
 
 
-@query(f"""WITH s AS {_SESS}, b AS (SELECT b.*, s.ordinal AS o FROM {BARS} b JOIN s ON s.session = b.bar_date), p AS (SELECT *, lag(close) OVER {W} AS pc, lag(o) OVER {W} AS po, lag(bar_date) OVER {W} AS pd FROM b)
+@query(f"""WITH s AS {_SESS_WIDE}, b AS (SELECT b.*, s.ordinal AS o FROM {BARS} b JOIN s ON s.session = b.bar_date), p AS (SELECT *, lag(close) OVER {W} AS pc, lag(o) OVER {W} AS po, lag(bar_date) OVER {W} AS pd FROM b)
 SELECT common_stock_id, strftime(bar_date, '%Y-%m-%d') AS bar_date, CASE WHEN po = o - 1 AND NOT EXISTS (SELECT 1 FROM {_SPLITS} x WHERE x.common_stock_id = p.common_stock_id AND x.effective_date > p.pd AND x.effective_date <= p.bar_date) THEN round((close - pc) * 100.0 / pc, 4) + 0.0 END AS day_change FROM p""")
 def win_day_change(spark, d):
     """Change against the session before, if the bar before is of that session and no split lies between."""
-    cal = C.sessions(spark, 2018, 2025)
     w = Window.partitionBy("common_stock_id").orderBy("bar_date")
+    cal = C.sessions_of(table(spark, d, "daily_stock_price"), "bar_date")
     b = bars(spark, d).join(F.broadcast(cal), F.col("bar_date") == F.col("session")).select("common_stock_id", "bar_date", "close", "ordinal")
     p = b.withColumns({"pc": F.lag("close").over(w), "po": F.lag("ordinal").over(w), "pd": F.lag("bar_date").over(w)})
     s = _splits(spark, d).select(F.col("common_stock_id").alias("k"), "effective_date")

@@ -76,13 +76,6 @@ def _ciks(spark, d):
     return rows.groupBy("common_stock_id").agg(F.array_sort(F.collect_set("cik")).alias("ciks"))
 
 
-@query(f"WITH c AS ({_CIKS}) SELECT a.common_stock_id, array_to_string(a.ciks, ',') AS ciks FROM c a WHERE list_has_any(a.ciks, (SELECT list(cik) FROM (SELECT unnest(ciks) AS cik FROM c WHERE common_stock_id <= 40)))")
-def pred_array_overlap(spark, d):
-    rows = _ciks(spark, d)
-    wanted = rows.filter(F.col("common_stock_id") <= 40).select(F.explode("ciks").alias("cik")).agg(F.collect_set("cik").alias("wanted"))
-    return rows.join(F.broadcast(wanted), F.arrays_overlap("ciks", "wanted")).select("common_stock_id", F.array_join("ciks", ",").alias("ciks"))
-
-
 @query(f"WITH c AS ({_CIKS}) SELECT q.common_stock_id AS searched_id, a.common_stock_id, array_to_string(a.ciks, ',') AS ciks FROM c q JOIN c a ON list_has_any(a.ciks, q.ciks)")
 def pred_array_overlap_all(spark, d):
     """For every stock the stocks whose CIKs overlap with its own (itself too): single CIKs are joined by equality."""
@@ -221,12 +214,15 @@ def agg_holder_snapshots(spark, d):
 @query(f"""SELECT strftime(report_date, '%Y-%m-%d') AS report_date, CAST(sum(value) AS BIGINT) AS value, count(DISTINCT institutional_holder_id) AS filers, count(DISTINCT common_stock_id) AS stocks,
 count(DISTINCT accession_number) AS filings, count(DISTINCT cusip) AS cusips FROM {H} GROUP BY 1""")
 def agg_quarter_totals(spark, d):
-    """Four distinct counts a quarter: each is reduced to distinct pairs map-side by Catalyst's rewrite."""
+    """Four distinct counts a quarter without multiplying rows: filings with their filer and stocks with their
+    CUSIPs are reduced first, by two aggregations over one shuffle, and the few that are left are counted."""
     rows = holdings(spark, d, "report_date", "value", "institutional_holder_id", "common_stock_id", "accession_number", "cusip")
-    return rows.groupBy(day("report_date").alias("report_date")).agg(
-        F.sum("value").alias("value"), F.count_distinct("institutional_holder_id").alias("filers"), F.count_distinct("common_stock_id").alias("stocks"),
-        F.count_distinct("accession_number").alias("filings"), F.count_distinct("cusip").alias("cusips"),
-    )
+    filed = rows.groupBy("report_date", "institutional_holder_id", "accession_number").agg(F.sum("value").alias("value"))
+    held = rows.groupBy("report_date", "common_stock_id", "cusip").agg(F.lit(1).alias("one"))
+    a = filed.groupBy("report_date").agg(F.sum("value").alias("value"), F.count_distinct("institutional_holder_id").alias("filers"), F.count_distinct("accession_number").alias("filings"))
+    b = held.groupBy("report_date").agg(F.count_distinct("common_stock_id").alias("stocks"), F.count_distinct("cusip").alias("cusips"))
+    both = a.join(b, a["report_date"].eqNullSafe(b["report_date"])).select(day(a["report_date"]).alias("report_date"), "value", "filers", "stocks", "filings", "cusips")
+    return both
 
 
 @query(f"SELECT institutional_holder_id, common_stock_id, strftime(min(report_date), '%Y-%m-%d') AS first_owned FROM {H} GROUP BY 1, 2")
@@ -259,13 +255,6 @@ def join_doubled_down(spark, d):
     )
 
 
-@query(f"SELECT h.holding_id, h.institutional_holder_id, strftime(h.report_date, '%Y-%m-%d') AS report_date FROM {H} h JOIN (SELECT common_stock_id, institutional_holder_id, max(report_date) AS report_date FROM {H} GROUP BY 1, 2) m USING (common_stock_id, institutional_holder_id, report_date) WHERE common_stock_id = 1")
-def join_latest_per_holder(spark, d):
-    """A stock's rows of each holder's latest report, ties kept."""
-    rows = R.where_all(holdings(spark, d, "common_stock_id", "institutional_holder_id", "report_date"), common_stock_id=1)
-    return R.latest_with_ties(rows, ["common_stock_id", "institutional_holder_id"], "report_date").select("holding_id", "institutional_holder_id", day("report_date").alias("report_date"))
-
-
 @query(f"SELECT h.holding_id, common_stock_id, institutional_holder_id, strftime(report_date, '%Y-%m-%d') AS report_date FROM {H} h JOIN (SELECT common_stock_id, institutional_holder_id, max(report_date) AS report_date FROM {H} GROUP BY 1, 2) m USING (common_stock_id, institutional_holder_id, report_date)")
 def join_latest_per_position(spark, d):
     """Every stock's rows of each holder's latest report, ties kept."""
@@ -311,16 +300,6 @@ def join_no_later_row(spark, d):
     return R.nth_latest(table(spark, d, "shares_fact"), ["common_stock_id"], order).select("common_stock_id", "fact_id", "shares")
 
 
-@query(f"""SELECT coalesce(c.common_stock_id, p.common_stock_id) AS common_stock_id, coalesce(c.v, 0) AS current_value, coalesce(p.v, 0) AS previous_value FROM
-(SELECT common_stock_id, CAST(sum(value) AS BIGINT) AS v FROM {H} WHERE report_date = {CUR} AND institutional_holder_id = 5 GROUP BY 1) c FULL JOIN
-(SELECT common_stock_id, CAST(sum(value) AS BIGINT) AS v FROM {H} WHERE report_date = {PRE} AND institutional_holder_id = 5 GROUP BY 1) p ON c.common_stock_id = p.common_stock_id""")
-def join_full_outer(spark, d):
-    rows = R.where_all(holdings(spark, d, "common_stock_id", "institutional_holder_id", "report_date", "value"), institutional_holder_id=5)
-    side = lambda q, name: rows.filter(F.col("report_date") == F.lit(q).cast("date")).groupBy("common_stock_id").agg(F.sum("value").alias(name))
-    both = side(CURRENT, "current_value").join(side(PREVIOUS, "previous_value"), "common_stock_id", "full")
-    return both.select("common_stock_id", F.coalesce("current_value", F.lit(0)).alias("current_value"), F.coalesce("previous_value", F.lit(0)).alias("previous_value"))
-
-
 @query(f"""SELECT institutional_holder_id, common_stock_id, coalesce(c.v, 0) AS current_value, coalesce(p.v, 0) AS previous_value FROM
 (SELECT institutional_holder_id, common_stock_id, CAST(sum(value) AS BIGINT) AS v FROM {H} WHERE report_date = {CUR} GROUP BY 1, 2) c FULL JOIN
 (SELECT institutional_holder_id, common_stock_id, CAST(sum(value) AS BIGINT) AS v FROM {H} WHERE report_date = {PRE} GROUP BY 1, 2) p USING (institutional_holder_id, common_stock_id)""")

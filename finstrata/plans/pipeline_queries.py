@@ -72,6 +72,10 @@ SELECT price_id FROM x WHERE bad UNION SELECT price_id FROM k WHERE n >= 6 AND i
 UNION SELECT price_id FROM v WHERE (m1 AND b1 IS NOT NULL AND f1 IS NOT NULL) OR (m2 AND b1 IS NOT NULL AND f2 IS NOT NULL) OR (n2 AND b2 IS NOT NULL AND f1 IS NOT NULL)
  OR (m3 AND b1 IS NOT NULL AND f3 IS NOT NULL) OR (n3 AND b2 IS NOT NULL AND f2 IS NOT NULL) OR (o3 AND b3 IS NOT NULL AND f1 IS NOT NULL) OR hi
 """
+_P2_HIT = P2_SQL[P2_SQL.index("FROM v WHERE") + 12 : P2_SQL.rindex("OR hi")]
+P2B_SQL = P2_SQL[: P2_SQL.index("SELECT price_id FROM x WHERE bad")] + f"""
+SELECT price_id, CAST(sum(f) AS INT) AS flags FROM (SELECT DISTINCT price_id, 1 AS f FROM x WHERE bad UNION SELECT price_id, 2 FROM k WHERE n >= 6 AND i > 1 UNION SELECT price_id, 4 FROM v WHERE {_P2_HIT} UNION SELECT price_id, 8 FROM v WHERE hi) GROUP BY 1
+"""
 
 
 def p3_ledger(spark: SparkSession, d: str) -> DataFrame:
@@ -294,4 +298,4 @@ QUERIES = {
     "p4_found": p4_found, "p4_solutions": p4_solutions, "p4_scale_by_series": p4_scale_by_series, "p6_found": p6_found, "p6_share_of_class": p6_share_of_class,
     "p7_found": p7_found, "p7_table": p7_table,
 }
-ORACLES = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL, "p4_solutions": P4B_SQL, "p4_scale_by_series": P4C_SQL, "p3_found": P3_SQL, "p3_ledger": P3B_SQL, "p6_found": P6_SQL, "p6_share_of_class": P6B_SQL}
+ORACLES = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_flags": P2B_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL, "p4_solutions": P4B_SQL, "p4_scale_by_series": P4C_SQL, "p3_found": P3_SQL, "p3_ledger": P3B_SQL, "p6_found": P6_SQL, "p6_share_of_class": P6B_SQL}

@@ -196,7 +196,7 @@ def win_percentile(spark, d):
     w = Window.partitionBy(*K).orderBy(D)
     r = bars(spark, d).withColumn("r", F.col("close").cast("double") / F.lag("close").over(w) - 1).filter(F.col("r").isNotNull())
     p = r.groupBy(*K).agg(F.round(F.stddev_samp("r"), 8).alias("vol"))
-    return p.withColumn("percentile", F.round(R.tie_averaged_percentile(F.col("vol")), 6))
+    return R.with_percentile(p, "vol", "percentile").withColumn("percentile", F.round("percentile", 6))
 
 
 @query(f"""WITH f AS (SELECT s.common_stock_id, CAST(v.v AS DOUBLE) AS v, CAST(t.n AS DOUBLE) AS n FROM common_stock s LEFT JOIN (SELECT common_stock_id, sum(volume) AS v FROM {B} GROUP BY 1) v USING (common_stock_id)
@@ -209,22 +209,10 @@ def win_composite_score(spark, d):
     vol = bars(spark, d).groupBy(*K).agg(F.sum("volume").cast("double").alias("v"))
     buys = table(spark, d, "insider_transaction").filter(F.col("transaction_code") == "Purchase").groupBy(*K).agg(F.count_distinct("transaction_id").cast("double").alias("n"))
     f = table(spark, d, "common_stock").select(*K).join(vol, K, "left").join(buys, K, "left")
-    p = f.withColumns({"pv": R.tie_averaged_percentile(F.col("v")), "pn": R.tie_averaged_percentile(F.col("n"))})
+    p = R.with_percentile(R.with_percentile(f, "v", "pv"), "n", "pn")
     return p.withColumn("score", F.round(R.weighted_composite({"pv": 0.7, "pn": 0.3}), 4)).filter(F.col("score").isNotNull()).select(*K, "score")
 
 
-@query("""WITH m AS (SELECT DISTINCT revenue_row_id, common_stock_id, member, fiscal_year, CAST(value AS DOUBLE) AS value, filed_date FROM dimensional_revenue_row WHERE axis = 'srt:StatementGeographicalAxis' AND unit = 'USD' AND caption IS NULL AND common_stock_id = 1),
-p AS (SELECT member, fiscal_year, value FROM m QUALIFY row_number() OVER (PARTITION BY member, fiscal_year ORDER BY filed_date DESC NULLS LAST, revenue_row_id) = 1)
-SELECT member, max(CASE WHEN fiscal_year = 2021 THEN value END) AS y2021, max(CASE WHEN fiscal_year = 2022 THEN value END) AS y2022, max(CASE WHEN fiscal_year = 2023 THEN value END) AS y2023 FROM p GROUP BY 1""")
-def win_pivot_periods(spark, d):
-    """Members by fiscal year, the latest filed in each cell, in one pinned unit."""
-    rows = table(spark, d, "dimensional_revenue_row").filter((F.col("axis") == "srt:StatementGeographicalAxis") & (F.col("unit") == "USD") & F.col("caption").isNull() & (F.col("common_stock_id") == 1))
-    one = rows.select("revenue_row_id", "member", "fiscal_year", F.col("value").cast("double").alias("value"), "filed_date").distinct()
-    best = R.nth_latest(one, ["member", "fiscal_year"], [F.desc_nulls_last("filed_date"), F.col("revenue_row_id")])
-    wide = best.groupBy("member").pivot("fiscal_year", [2021, 2022, 2023]).agg(F.max("value"))
-    return wide.select("member", F.col("2021").alias("y2021"), F.col("2022").alias("y2022"), F.col("2023").alias("y2023"))
-
-
 @query("""WITH m AS (SELECT DISTINCT revenue_row_id, common_stock_id, member, fiscal_year, CAST(value AS DOUBLE) AS value, filed_date FROM dimensional_revenue_row WHERE axis = 'srt:StatementGeographicalAxis' AND unit = 'USD' AND caption IS NULL AND fiscal_year IS NOT NULL),
 p AS (SELECT *, dense_rank() OVER (PARTITION BY common_stock_id ORDER BY fiscal_year DESC) AS k FROM m QUALIFY row_number() OVER (PARTITION BY common_stock_id, member, fiscal_year ORDER BY filed_date DESC NULLS LAST, revenue_row_id) = 1),
 y AS (SELECT common_stock_id, max(CASE WHEN k = 1 THEN fiscal_year END) AS year1, max(CASE WHEN k = 2 THEN fiscal_year END) AS year2, max(CASE WHEN k = 3 THEN fiscal_year END) AS year3 FROM p GROUP BY 1),
@@ -265,23 +253,6 @@ def _clones(spark, d, q):
     return S.grow(ratio, "value", "ratio", ["institutional_holder_id", "report_date"])
 
 
-@query("""WITH q AS (SELECT DISTINCT holding_id, institutional_holder_id AS h, common_stock_id AS s, report_date AS r, value AS v FROM institutional_holding WHERE filing_type = 'Form13F' AND value > 0),
-b AS (SELECT h, r, s, sum(v) AS v FROM q WHERE h <= 50 GROUP BY 1, 2, 3), d AS (SELECT h, r, lead(r) OVER (PARTITION BY h ORDER BY r) AS nx FROM (SELECT DISTINCT h, r FROM b)),
-px AS """ + B + """,
-x AS (SELECT b.h, b.r, d.nx, b.s, b.v FROM b JOIN d ON d.h = b.h AND d.r = b.r WHERE d.nx IS NOT NULL),
-p0 AS (SELECT x.*, px.close AS c0, px.bar_date AS d0 FROM x ASOF LEFT JOIN px ON px.common_stock_id = x.s AND x.r + 45 >= px.bar_date),
-p1 AS (SELECT p0.*, px.close AS c1 FROM p0 ASOF LEFT JOIN px ON px.common_stock_id = p0.s AND p0.nx + 45 >= px.bar_date)
-SELECT h AS institutional_holder_id, strftime(r, '%Y-%m-%d') AS report_date, round(CAST(sum(CAST(v AS DOUBLE) * c1 / c0) AS DOUBLE) / CAST(sum(CAST(v AS DOUBLE)) AS DOUBLE), 6) AS growth, count(*) AS positions FROM p1 WHERE c0 IS NOT NULL AND c1 IS NOT NULL GROUP BY 1, 2""")
-def win_clone_growth(spark, d):
-    """Clone of each fund: growth from 45 days after one report to 45 days after the next, by value.
-
-    Of the first fifty holders and one factor a period, as its SQL has it; ``win_clone_chain`` has all holders and the product.
-    """
-    q = table(spark, d, "institutional_holding").filter((F.col("filing_type") == "Form13F") & (F.col("value") > 0) & (F.col("institutional_holder_id") <= 50))
-    g = _clones(spark, d, q)
-    return g.select("institutional_holder_id", day("report_date").alias("report_date"), F.round("growth", 6).alias("growth"), "positions")
-
-
 @query("""WITH q AS (SELECT DISTINCT holding_id, institutional_holder_id AS h, common_stock_id AS s, report_date AS r, value AS v FROM institutional_holding WHERE filing_type = 'Form13F' AND value > 0),
 b AS (SELECT h, r, s, sum(v) AS v FROM q GROUP BY 1, 2, 3), d AS (SELECT h, r, lead(r) OVER (PARTITION BY h ORDER BY r) AS nx FROM (SELECT DISTINCT h, r FROM b)),
 px AS """ + B + """,

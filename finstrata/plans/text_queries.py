@@ -83,7 +83,7 @@ def set_rank_fusion(spark, d):
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL),
-h AS (SELECT *, contains(lower(translate(line, chr(160) || chr(8199) || chr(8239), '   ')), 'cold storage') AS is_hit FROM l)
+h AS (SELECT *, contains(lower(translate(line, chr(160), ' ')), 'cold storage') AS is_hit FROM l)
 SELECT doc_id, CAST(line_no AS INT) AS line_no, length(line) AS n_chars, is_hit FROM (SELECT *, max(CAST(is_hit AS INT)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM h) WHERE near = 1""")
 def fn_keyword_lines(spark, d):
     found = T.keyword_lines(table(spark, d, "documents"), "doc_id", "text", "cold storage")
@@ -115,9 +115,15 @@ def fn_slug_and_cik(spark, d):
     return table(spark, d, "common_stock").select("common_stock_id", T.slug(F.col("name")).alias("slug"), c["bare"].alias("bare_cik"), c["padded"].alias("padded_cik"))
 
 
-@query("""SELECT revenue_row_id, trim(regexp_replace(regexp_replace(regexp_replace(axis, '^.*:', ''), '(Member|Domain|Axis)$', ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')) AS axis_label FROM dimensional_revenue_row GROUP BY ALL""")
+@query("""WITH v(name, label) AS (VALUES ('country:DE', 'Germany'), ('country:ZZZ', 'ZZZ'), ('x:IPhoneMember', 'IPhone'), ('x:USSegmentMember', 'US Segment'), ('Member', 'Member')),
+r AS (SELECT DISTINCT revenue_row_id, axis, member FROM dimensional_revenue_row), s AS (SELECT revenue_row_id, regexp_replace(regexp_replace(axis, '^.*:', ''), '(Member|Domain|Axis)$', '') AS a, regexp_replace(regexp_replace(member, '^.*:', ''), '(Member|Domain|Axis)$', '') AS m FROM r)
+SELECT revenue_row_id, trim(regexp_replace(a, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')) AS axis_label, trim(regexp_replace(m, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')) AS member_label FROM s
+UNION ALL SELECT -row_number() OVER (ORDER BY name), name, label FROM v""")
 def fn_humanise(spark, d):
-    return table(spark, d, "dimensional_revenue_row").select("revenue_row_id", T.humanise(F.col("axis")).alias("axis_label")).distinct()
+    """Labels of all axes and members; country codes and runs of capitals in rows of their own."""
+    rows = table(spark, d, "dimensional_revenue_row").select("revenue_row_id", T.humanise(F.col("axis")).alias("axis_label"), T.humanise(F.col("member")).alias("member_label")).distinct()
+    named = spark.createDataFrame([(-1, "Member"), (-2, "country:DE"), (-3, "country:ZZZ"), (-4, "x:IPhoneMember"), (-5, "x:USSegmentMember")], "revenue_row_id bigint, axis_label string")
+    return rows.unionByName(named.withColumn("member_label", T.humanise(F.col("axis_label"), T.country_names(spark))))
 
 
 @query("""SELECT t.revenue_row_id, CAST(year(period_end) + CASE WHEN month(period_end) > m THEN 1 ELSE 0 END AS INT) AS fiscal_year, CAST(((month(period_end) - m - 1) % 12 + 12) % 12 // 3 + 1 AS INT) AS fiscal_quarter,
@@ -132,8 +138,13 @@ def fn_fiscal_period(spark, d):
     )
 
 
-_CLOSED = ", ".join(f"DATE '{x}'" for y in range(2018, 2026) for x in sorted(C.holidays(y)))
-_SESS = f"(SELECT session, row_number() OVER (ORDER BY session) AS ordinal FROM (SELECT unnest(generate_series(DATE '2018-01-01', DATE '2025-12-31', INTERVAL 1 DAY))::DATE AS session) WHERE dayofweek(session) BETWEEN 1 AND 5 AND session NOT IN ({_CLOSED}))"
+def _sessions_sql(first: int, last: int) -> str:
+    closed = ", ".join(f"DATE '{x}'" for y in range(first, last + 1) for x in sorted(C.holidays(y)))
+    return f"(SELECT session, row_number() OVER (ORDER BY session) AS ordinal FROM (SELECT unnest(generate_series(DATE '{first}-01-01', DATE '{last}-12-31', INTERVAL 1 DAY))::DATE AS session) WHERE dayofweek(session) BETWEEN 1 AND 5 AND session NOT IN ({closed}))"
+
+
+_SESS = _sessions_sql(2018, 2025)
+_SESS_WIDE = _sessions_sql(1990, 2050)
 
 
 @query(f"SELECT strftime(session, '%Y-%m-%d') AS session, ordinal FROM {_SESS}")
@@ -141,12 +152,12 @@ def fn_sessions(spark, d):
     return C.sessions(spark, 2018, 2025).select(day("session").alias("session"), F.col("ordinal").cast("bigint").alias("ordinal"))
 
 
-@query(f"""WITH s AS {_SESS}, t AS (SELECT DISTINCT transaction_id, transaction_date FROM insider_transaction WHERE transaction_date IS NOT NULL)
+@query(f"""WITH s AS {_SESS_WIDE}, t AS (SELECT DISTINCT transaction_id, transaction_date FROM insider_transaction WHERE transaction_date IS NOT NULL)
 SELECT t.transaction_id, strftime(n.session, '%Y-%m-%d') AS settles FROM t ASOF LEFT JOIN s ON t.transaction_date >= s.session LEFT JOIN s n ON n.ordinal = s.ordinal + 2""")
 def fn_add_sessions(spark, d):
     """Two trading days after each transaction."""
     rows = table(spark, d, "insider_transaction").select("transaction_id", "transaction_date").distinct().filter(F.col("transaction_date").isNotNull())
-    return C.shift_sessions(rows, "transaction_date", C.sessions(spark, 2018, 2025), 2, "s").select("transaction_id", day("s").alias("settles"))
+    return C.shift_sessions(rows, "transaction_date", C.sessions_of(rows, "transaction_date"), 2, "s").select("transaction_id", day("s").alias("settles"))
 
 
 @query("""SELECT holding_id, CASE WHEN x >= 1e12 THEN '$' || printf('%.1f', round(x / 1e12, 1)) || 'T' WHEN x >= 1e9 THEN '$' || printf('%.1f', round(x / 1e9, 1)) || 'B' WHEN x >= 1e6 THEN '$' || printf('%.1f', round(x / 1e6, 1)) || 'M'

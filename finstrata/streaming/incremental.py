@@ -56,7 +56,7 @@ def dirty_partitions(changed: DataFrame, part: str, then: str | None = None) ->
 
 def refresh(base: DataFrame, dirty: DataFrame, part: str, build, path: str) -> None:
     """Rebuilds the snapshot's dirty partitions only: semi-join, aggregate, overwrite them."""
-    replace_partitions(build(base.join(F.broadcast(dirty), part, "left_semi")), path, [part])
+    replace_partitions(build(base.join(dirty, part, "left_semi")), path, [part])
 
 
 def versioned_or_live(spark: SparkSession, tables: list[str], live):

@@ -40,8 +40,10 @@ def test_markdown(spark):
 
 def test_columns(spark):
     df = spark.createDataFrame([("Sale (Partial) of purchase", "Doe, Jane Q."), ("bought", "Hon. John A. Smith, Jr."), (None, None)], "a string, n string")
-    got = df.select(D.classify(F.col("a"), [("sale", "sale"), ("purchase", "purchase|bought")], "other").alias("k"), D.person_key(F.col("n")).alias("p")).collect()
-    assert [tuple(r) for r in got] == [("sale", "jane doe"), ("purchase", "john smith"), ("other", None)]
+    got = df.select(D.classify(F.col("a"), [("sale", "sale"), ("purchase", "purchase|bought")], "other").alias("k"), D.person_name(F.col("n")).alias("p")).collect()
+    assert [tuple(r) for r in got] == [("sale", "Doe, Jane Q."), ("purchase", "John A. Smith, Jr."), ("other", None)]
+    names = spark.createDataFrame([("Scott Mr Franklin",), ("Scott  scott Franklin",), ("C. C. Franklin",), ("Mark Dr. Green",), ("Mraz",), ("",)], "n string")
+    assert [r.n for r in names.select(D.person_name(F.col("n")).alias("n")).collect()] == ["Scott Franklin", "Scott Franklin", "C. C. Franklin", "Mark Green", "Mraz", ""]
     ch = spark.createDataFrame([(1, 20, "b", 2), (1, 10, "a", 5), (2, 1, "z", 1)], "d int, s int, c string, r int")
     assert {r.d: (r.best_rank, r.context) for r in D.excerpts(ch, "d", "s", "c", "r").collect()} == {1: (2, "a\n...\nb"), 2: (1, "z")}
 

@@ -2,6 +2,7 @@ import random
 from datetime import date
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from finstrata.operators import facts as X
@@ -42,17 +43,31 @@ def test_subsets_as_brute_force():
         assert (got is not None) == (want and not (t == 0 and got is None)) or (t == 0 and got is None and want)
         if got:
             assert sum(vs[i] for i in got) == t
-    assert X.subset_with_sum(list(range(1, 40)), -1) is None and X.subset_with_sum([2] * 40, 41, 5000) is None
+    assert X.subset_with_sum(list(range(1, 40)), -1) is None and X.subset_with_sum([5, 2, 3], 5, 2) == [1, 2]
+    with pytest.raises(X.Unfinished):
+        X.subset_with_sum([2] * 40, 41, most_nodes=5000)
 
 
 def test_rollups(spark):
     rows = [(1, y, m, v) for y in (1, 2) for m, v in (("a", 10.0 * y), ("b", 5.0), ("c", 7.0), ("sum", 10.0 * y + 12))] + [(2, 1, "a", 1.0), (2, 1, "b", 2.0), (2, 1, "ab", 3.0), (3, 1, None, None)]
     df = spark.createDataFrame(rows, "k int, p int, m string, v double")
     got = X.without_rollups(df, ["k"], "p", "m", "v")
-    assert {(r.k, r.m) for r in got.collect()} == {(1, "a"), (1, "b"), (1, "c"), (2, "a"), (2, "b"), (2, "ab"), (3, None)}
+    assert {(r.k, r.m) for r in got.collect()} == {(1, "a"), (1, "b"), (1, "c"), (2, "a"), (2, "b"), (2, "ab"), (3, None)} and got.filter("not searched").count() == 0
+    wide = spark.createDataFrame([(1, 1, f"m{i}", float(i)) for i in range(13)], "k int, p int, m string, v double")
+    assert [r.searched for r in X.without_rollups(wide, ["k"], "p", "m", "v").collect()] == [False] * 13  # left whole and told
     assert X.without_rollups(df.limit(0), ["k"], "p", "m", "v").count() == 0
 
 
+def test_schemes(spark):
+    rows = [(1, m, v, 60.0) for m, v in (("a", 10.0), ("b", 20.0), ("c", 30.0), ("x", 25.0), ("y", 35.0))]  # two schemes of one total
+    rows += [(2, m, v, 60.0) for m, v in (("a", 10.0), ("b", 50.0))] + [(3, m, v, 60.0) for m, v in (("a", 10.0), ("b", 50.0), ("c", 7.0))] + [(4, None, None, None)]
+    df = spark.createDataFrame(rows, "k int, m string, v double, t double").withColumn("collapsed", F.lit("clash"))
+    got = X.collapse_schemes(df, ["k"], "m", "v", "t").collect()
+    assert {(r.k, r.m) for r in got} == {(1, "a"), (1, "b"), (1, "c"), (2, "a"), (2, "b"), (3, "a"), (3, "b"), (3, "c"), (4, None)}
+    assert {r.k for r in got if r.collapsed} == {1} and all(r.searched for r in got)
+    assert X.collapse_schemes(df.limit(0), ["k"], "m", "v", "t").count() == 0
+
+
 def test_scale_errors_statement_margin_ratio(spark):
     df = spark.createDataFrame([(1, i, v) for i, v in enumerate([100.0, 120_000.0, 110.0, 0.0001, 130.0, None])], "k int, p int, v double")
     assert [r.scale_error for r in X.scale_errors(df, ["k"], "p", "v").orderBy("p").collect()] == [None, 1000, None, 1_000_000, None, None]

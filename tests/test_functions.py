@@ -17,11 +17,16 @@ def test_text(spark):
     assert _one(spark, "  Foo & Bar, Inc. ", T.slug) == "foo-bar-inc"
     assert _one(spark, "Apple Inc (aapl) [ST]", T.ticker_in) == "AAPL" and _one(spark, "none", T.ticker_in) == ""
     rng = lambda s: tuple(_one(spark, s, T.amount_range))
-    assert rng("$1,001 - $15,000") == (1001, 15000) and rng("Over $50,000,000") == (50_000_000, None) and rng("$1,001 -") == (1001, None) and rng("$1, 001 - $2,000") == (1001, 2000) and rng("x") == (None, None)
+    assert rng("$1,001 - $15,000") == (1001, 15000) and rng("Over $50,000,000") == (50_000_000, 50_000_000) and rng("$1,001 -") == (1001, 15000) and rng("$1, 001 - $2,000") == (1001, 2000) and rng("x") == (0, 0)
+    assert rng("$50,001 - $200") == (50_001, 100_000) and rng("$7 - $3") == (7, 7) and rng("$500") == (0, 500) and rng("$500 +") == (500, 500) and rng(None) == (0, 0)
     assert [_one(spark, s, T.any_date) for s in ("2024-03-01", "01-MAR-2024", "03/01/2024", "20240301", "soon")] == [date(2024, 3, 1), None, date(2024, 3, 1), date(2024, 3, 1), None] or _one(spark, "01-Mar-2024", T.any_date) == date(2024, 3, 1)
     assert _one(spark, "=1+1", T.export_cell) == "'=1+1" and _one(spark, "a=1", T.export_cell) == "a=1"
     assert [_one(spark, v, T.compact_usd, "long") for v in (0, 78, 5600, -3_400_000, 1_250_000_000)] == ["$0", "$78", "$5.6K", "-$3.4M", "$1.3B"]
-    assert _one(spark, "us-gaap:ProductSalesMember", T.humanise) == "Product Sales"
+    label = lambda s: _one(spark, s, lambda c: T.humanise(c, {"DE": "Germany"}))
+    assert [label(s) for s in ("us-gaap:ProductSalesMember", "country:DE", "country:ZZ", "x:IPhoneMember", "x:USSegmentMember", "Member")] == ["Product Sales", "Germany", "ZZ", "IPhone", "US Segment", "Member"]
+    assert T.country_names(spark)["FR"] == "France"
+    assert _one(spark, "5′ 6″ −7`", T.fold_typography) == "5' 6\" -7'"
+    assert [_one(spark, s, T.ticker_in) for s in ("X [ brk.b ]", "X (TOOLONG)", "X (A1)", None)] == ["BRK.B", "", "", None]
     assert _one(spark, {}, T.member_key, "map<string,string>") == "" and len(_one(spark, {"b": "1", "a": "2"}, T.member_key, "map<string,string>")) == 64
 
 

@@ -42,10 +42,14 @@ def test_carry_forward_and_gone(spark):
 
 
 def test_percentiles_and_composite(spark):
-    df = spark.createDataFrame([(1, 10.0), (2, 20.0), (3, 20.0), (4, None), (5, 40.0)], "i int, v double").withColumn("p", R.tie_averaged_percentile(F.col("v")))
-    assert {r.i: r.p for r in df.collect()} == {1: 0.0, 2: 50.0, 3: 50.0, 4: None, 5: 100.0}
-    one = spark.createDataFrame([(1.0,)], "v double").select(R.tie_averaged_percentile(F.col("v")).alias("p"))
-    assert one.first().p == 50.0
+    df = spark.createDataFrame([(1, 10.0), (2, 20.0), (3, 20.0), (4, None), (5, 40.0)], "i int, v double")
+    assert {r.i: r.p for r in R.with_percentile(df, "v", "p").collect()} == {1: 0.0, 2: 50.0, 3: 50.0, 4: None, 5: 100.0}
+    many = spark.range(3000).withColumn("v", (F.col("id") * 7919 % 1500).cast("double")).withColumn("p", F.lit("clash"))
+    for chunks in (2, 256):
+        got = {r.v: r.p for r in R.with_percentile(many, "v", "p", chunks).collect()}
+        assert len(got) == 1500 and all(got[float(k)] == pytest.approx((2 * k + 0.5) / 2999 * 100) for k in range(1500))
+    assert R.with_percentile(df.filter("i = 1"), "v", "p").first().p == 50.0 and R.with_percentile(df.limit(0), "v", "p").count() == 0
+    assert R.with_percentile(df.filter("i = 4"), "v", "p").first().p is None
     c = spark.createDataFrame([(100.0, None), (50.0, 0.0), (None, None)], "a double, b double").select(R.weighted_composite({"a": 0.7, "b": 0.3}).alias("c"))
     assert [r.c for r in c.collect()] == [pytest.approx(100.0), pytest.approx(35.0), None]
 
