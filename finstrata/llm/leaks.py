@@ -146,9 +146,8 @@ def block_keys(prints: np.ndarray, radius: int) -> np.ndarray:
 
 def _places(keys: np.ndarray, tab: int, bits: int, which: int) -> np.ndarray:
     """The bit of a filter of 2 ** bits bits that a key of a table sets, by one of HASHES hashes."""
-    h = (keys.astype(np.uint64) ^ np.uint64((tab * HASHES + which + 1) * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h >> np.uint64(64 - bits)
+    odd = np.uint64((2 * (tab * HASHES + which) + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    return ((keys.view(np.uint64) + np.uint64(tab + 1)) * odd) >> np.uint64(64 - bits)
 
 
 def _passing(prints: np.ndarray, radius: int, bits: int, words_of_filter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
