@@ -161,18 +161,27 @@ def overlap_pairs(rows: DataFrame, who: str, item: str) -> DataFrame:
     )
 
 
-def with_percentile(df: DataFrame, value: str, name: str, chunks: int = 256) -> DataFrame:
-    """Adds the mean rank of equal values over n - 1, in percent; 50 for a single row; null stays null.
+def _counts_along(df: DataFrame, value: str, chunks: int) -> DataFrame:
+    """(_v, _c, _upto, _n): each value's rows, the rows up to it, all rows; no task sees all rows or all values.
 
-    Rows are counted by value first; the counts, cut into chunks at quantiles of the values, are summed
-    along, so no task sees all rows or all values.
+    Rows are counted by value; the counts, cut into chunks at quantiles of the values, are summed along.
     """
     v = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
     edges = v.agg(F.percentile_approx("_v", [i / chunks for i in range(1, chunks)], 10 * chunks).alias("_e"), F.sum("_c").alias("_n"))
     placed = v.crossJoin(F.broadcast(edges)).withColumns({"_all": F.lit(0), "_chunk_no": F.size(F.filter("_e", lambda e: e < F.col("_v")))}).drop("_e")
-    upto = chunked_scan(placed, ["_all"], F.col("_chunk_no"), ["_v"], {"_upto": ("sum_upto", "_c")})
+    return chunked_scan(placed, ["_all"], F.col("_chunk_no"), ["_v"], {"_upto": ("sum_upto", "_c")})
+
+
+def with_percentile(df: DataFrame, value: str, name: str, chunks: int = 256) -> DataFrame:
+    """Adds the mean rank of equal values over n - 1, in percent; 50 for a single row; null stays null."""
     pct = F.when(F.col("_n") == 1, F.lit(50.0)).otherwise((F.col("_upto") - F.col("_c") + (F.col("_c") - 1) / 2) / (F.col("_n") - 1) * 100)
-    return df.drop(name).join(upto.select("_v", pct.alias(name)), F.col(value) == F.col("_v"), "left").drop("_v")
+    return df.drop(name).join(_counts_along(df, value, chunks).select("_v", pct.alias(name)), F.col(value) == F.col("_v"), "left").drop("_v")
+
+
+def with_place(df: DataFrame, value: str, name: str, chunks: int = 256) -> DataFrame:
+    """Adds the place of each row by a number, from 1 for the least; equal ones share the first place; null stays null."""
+    place = (F.col("_upto") - F.col("_c") + 1).cast("bigint")
+    return df.drop(name).join(_counts_along(df, value, chunks).select("_v", place.alias(name)), F.col(value) == F.col("_v"), "left").drop("_v")
 
 
 def weighted_composite(factors: dict[str, float]) -> Column:

@@ -268,6 +268,45 @@ def grow(rows: DataFrame, weight: str, ratio: str, by: list[str]) -> DataFrame:
     return g
 
 
+def listing_splits(splits: DataFrame, rows: DataFrame, stock: str, series: str, ticker: str, name: str) -> DataFrame:
+    """Splits of each listing of ``rows``, keyed by ``name`` ("stock:ticker"): those that name it or, being null, none."""
+    listings = rows.select(stock, ticker).distinct()
+    j = splits.join(listings, stock).filter(F.col(series).isNull() | (F.col(series) == F.col(ticker)))
+    return j.withColumn(name, F.concat_ws(":", stock, ticker))
+
+
+def clone_daily(rows: DataFrame, prices: DataFrame, wait: int = 45, last: int = 150) -> DataFrame:
+    """(institutional_holder_id, day, mark): each holder's clone marked to market by session, from 100.
+
+    Bought by value ``wait`` days after a report at the last close, held to ``wait`` days after the next, or
+    ``last`` days. Closes are carried forward over sessions once a stock (bounded by stocks x sessions), so
+    positions meet them by equality on (stock, session), not by range.
+    """
+    who, stock = "institutional_holder_id", "common_stock_id"
+    px = prices.groupBy(stock, "bar_date").agg(F.max("close").alias("close"))
+    cal = px.select(F.col("bar_date").alias("_s")).distinct().withColumn("_o", F.row_number().over(Window.orderBy("_s")))  # one row a session
+    upto = cal.withColumn("_to", F.coalesce(F.lead("_s").over(Window.orderBy("_s")), F.date_add("_s", wait + last + 400)))
+    by_day = upto.select(F.explode(F.sequence("_s", F.date_sub("_to", 1))).alias("_d"), "_o")
+    at = lambda df, c, name: df.join(F.broadcast(by_day.select(F.col("_d").alias(c), F.col("_o").alias(name))), c, "left")
+    w = Window.partitionBy(stock).orderBy("_o")
+    held = px.join(F.broadcast(cal), px["bar_date"] == cal["_s"]).select(stock, "close", "_o")
+    end = F.coalesce(F.lead("_o").over(w) - 1, F.lit(cal.count()))
+    dense = held.withColumn("_end", end).select(stock, "close", F.explode(F.sequence("_o", "_end")).alias("_o"))
+
+    sums = rows.select("holding_id", who, stock, "report_date", "value").distinct().filter(F.col(who).isNotNull() & F.col(stock).isNotNull() & F.col("report_date").isNotNull())
+    b = sums.groupBy(who, "report_date", stock).agg(F.sum("value").cast("double").alias("v"))
+    dates = b.select(who, "report_date").distinct()
+    then = F.lead("report_date").over(Window.partitionBy(who).orderBy("report_date"))
+    dates = dates.withColumns({"_buy": F.date_add("report_date", wait), "_sell": F.coalesce(F.date_add(then, wait), F.date_add("report_date", wait + last))})
+    dates = at(at(dates, "_buy", "_b"), "_sell", "_e").filter(F.col("_b") < F.col("_e")).select(who, "report_date", "_b", "_e")
+    bought = b.join(dates, [who, "report_date"]).join(dense.select(stock, F.col("close").alias("_c0"), F.col("_o").alias("_b")), [stock, "_b"])
+    marks = bought.select(who, "report_date", stock, "v", "_c0", F.explode(F.sequence(F.col("_b") + 1, F.col("_e"))).alias("_o")).join(dense, [stock, "_o"])
+    g = marks.groupBy(who, "report_date", "_o").agg((F.sum(F.col("v") * F.col("close") / F.col("_c0")) / F.sum("v")).alias("g"))
+    path = Window.partitionBy(who).orderBy("report_date").rowsBetween(Window.unboundedPreceding, -1)
+    ends = g.groupBy(who, "report_date").agg(F.max_by("g", "_o").alias("_last")).withColumn("_before", F.coalesce(F.product("_last").over(path), F.lit(1.0))).drop("_last")
+    return g.join(ends, [who, "report_date"]).join(F.broadcast(cal), "_o").select(who, F.col("_s").alias("day"), (100 * F.col("_before") * F.col("g")).alias("mark"))
+
+
 def restate_history(bars: DataFrame, splits: DataFrame, key: str, date: str, price: str) -> DataFrame:
     """Adds ``restated``: the price over all later splits, newest first, rounded half to even at each step.
 

@@ -1,8 +1,8 @@
 """All queries of the core, by name."""
 
-from finstrata.plans import facts_queries, holdings_queries, incremental_queries, pipeline_queries, series_queries, text_queries
+from finstrata.plans import facts_queries, holdings_queries, incremental_queries, landed_queries, pipeline_queries, reported_queries, series_queries, text_queries
 
-MODULES = [pipeline_queries, holdings_queries, series_queries, text_queries, incremental_queries, facts_queries]
+MODULES = [pipeline_queries, holdings_queries, series_queries, text_queries, incremental_queries, facts_queries, landed_queries, reported_queries]
 
 
 def queries():

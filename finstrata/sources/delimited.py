@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finstrata.functions.text import any_date
+
 
 def plain_columns(df: DataFrame) -> DataFrame:
     """Column names in lower case without blanks around; of equal names the first stays.
@@ -110,3 +112,24 @@ def tolerant_number(c: Column) -> Column:
     bare = F.regexp_replace(F.trim(c), r"[,$%\s]", "")
     signed = F.when(bare.rlike(r"^\(.*\)$"), F.concat(F.lit("-"), F.regexp_replace(bare, r"[()]", ""))).otherwise(bare)
     return signed.try_cast("decimal(28,8)")
+
+
+def typed_records(df: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """Named columns of CSV records by heading and type; a heading that is missing, or a cell that doesn't fit, is null.
+
+    Headings are compared without case, blanks and punctuation. Whole numbers may have commas, "Y" and "N" are booleans.
+    """
+    plain = lambda h: "".join(ch for ch in h.lower() if ch.isalnum())
+    have = {plain(c): c for c in reversed(df.columns)}
+    out = []
+    for name, (heading, kind) in columns.items():
+        at = have.get(plain(heading))
+        c = F.trim(F.col(f"`{at}`")) if at else F.lit(None).cast("string")
+        if kind == "boolean":
+            c = F.when(F.upper(c).isin("Y", "YES", "TRUE"), True).when(F.upper(c).isin("N", "NO", "FALSE"), False)
+        elif kind == "date":
+            c = any_date(c)
+        elif kind != "string":
+            c = tolerant_number(c).try_cast(kind)
+        out.append(F.when(c.cast("string") != "", c).alias(name))
+    return df.select(*out)

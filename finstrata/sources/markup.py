@@ -75,6 +75,85 @@ def ownership_transactions(docs: DataFrame, doc_id: str, xml: str) -> DataFrame:
     return out
 
 
+_HOLD = f"array<struct<securityTitle:{_V},postTransactionAmounts:struct<sharesOwnedFollowingTransaction:{_V}>,ownershipNature:struct<directOrIndirectOwnership:{_V}>>>"
+
+
+def ownership_holdings(docs: DataFrame, doc_id: str, xml: str) -> DataFrame:
+    """Holdings without a transaction of ownership forms, of both tables, for every reporting owner."""
+    schema = "reportingOwner array<struct<reportingOwnerId:struct<rptOwnerCik:string>>>, " + ", ".join(f"{k}Table struct<{k}Holding:{_HOLD}>" for k in ("nonDerivative", "derivative"))
+    p = docs.select(doc_id, F.from_xml(plain_xml(F.col(xml)), schema).alias("x"))
+    owners = F.array_join(F.transform("x.reportingOwner", lambda o: o["reportingOwnerId"]["rptOwnerCik"]), ",")
+    rows = [
+        p.select(doc_id, F.lit(kind).alias("kind"), owners.alias("owner_ciks"), F.posexplode(f"x.{at}Table.{at}Holding").alias("line", "h"))
+        for kind, at in (("NonDerivative", "nonDerivative"), ("Derivative", "derivative"))
+    ]
+    return rows[0].unionByName(rows[1]).select(
+        doc_id, "kind", "line", "owner_ciks", F.col("h.securityTitle.value").alias("security_title"),
+        F.col("h.postTransactionAmounts.sharesOwnedFollowingTransaction.value").try_cast("decimal(20,4)").alias("owned"), F.col("h.ownershipNature.directOrIndirectOwnership.value").alias("nature"),
+    )
+
+
+_COVER = (
+    "formData struct<coverPage:struct<reportCalendarOrQuarter:string,isAmendment:string,amendmentInfo:struct<amendmentType:string>,"
+    "filingManager:struct<name:string>,form13FFileNumber:string,otherManagersInfo:struct<otherManager:array<struct<cik:string,form13FFileNumber:string,name:string>>>>,"
+    "summaryPage:struct<otherIncludedManagersCount:string,tableEntryTotal:string,tableValueTotal:string>>"
+)
+
+
+def cover_pages(docs: DataFrame, doc_id: str, xml: str) -> DataFrame:
+    """A row for each 13F cover page: period, amendment, manager, totals, other managers by name."""
+    p = docs.select(doc_id, F.from_xml(plain_xml(F.col(xml)), _COVER).alias("x"))
+    c, s = "x.formData.coverPage", "x.formData.summaryPage"
+    whole = lambda t: F.regexp_replace(F.col(t), r"[,\s]", "").try_cast("bigint")
+    return p.select(
+        doc_id, F.coalesce(F.try_to_date(f"{c}.reportCalendarOrQuarter", "MM-dd-yyyy"), F.try_to_date(f"{c}.reportCalendarOrQuarter", "yyyy-MM-dd")).alias("report_date"),
+        F.lower(F.coalesce(f"{c}.isAmendment", F.lit("false"))).isin("true", "1", "y").alias("is_amendment"), F.col(f"{c}.amendmentInfo.amendmentType").alias("amendment_type"),
+        F.trim(f"{c}.filingManager.name").alias("manager"), F.col(f"{c}.form13FFileNumber").alias("file_number"), whole(f"{s}.tableEntryTotal").alias("entries"), whole(f"{s}.tableValueTotal").alias("value"),
+        F.coalesce(F.array_join(F.transform(f"{c}.otherManagersInfo.otherManager", lambda m: F.trim(m["name"])), ";"), F.lit("")).alias("other_managers"),
+    )
+
+
+_STAKES = (
+    "formData struct<coverPageHeader:struct<dateOfEvent:string,eventDateRequiresFilingThisStatement:string,issuerInfo:struct<issuerCik:string,issuerName:string,issuerCusip:string>>,"
+    "coverPageHeaderReportingPersonDetails:array<struct<reportingPersonName:string,"
+    "reportingPersonBeneficiallyOwnedNumberOfShares:struct<soleVotingPower:string,sharedVotingPower:string>,"
+    "reportingPersonBeneficiallyOwnedAggregateNumberOfShares:string,classPercent:string>>>"
+)
+
+
+def ownership_stakes(docs: DataFrame, doc_id: str, xml: str) -> DataFrame:
+    """A row for each reporting person of a beneficial-ownership schedule; a cut end tag is put back first."""
+    p = docs.select(doc_id, F.from_xml(plain_xml(close_tags(F.col(xml), "edgarSubmission")), _STAKES)["formData"].alias("x"))
+    t = p.select(doc_id, "x.coverPageHeader", F.posexplode("x.coverPageHeaderReportingPersonDetails").alias("line", "r"))
+    number = lambda c, kind: F.regexp_replace(F.col(c), r"[,\s%]", "").try_cast(kind)
+    own = "r.reportingPersonBeneficiallyOwnedNumberOfShares"
+    return t.select(
+        doc_id, "line", F.col("coverPageHeader.issuerInfo.issuerCik").alias("issuer_cik"), F.upper(F.trim("coverPageHeader.issuerInfo.issuerCusip")).alias("cusip"),
+        F.trim("r.reportingPersonName").alias("person"), number(f"{own}.soleVotingPower", "decimal(20,4)").alias("sole_voting"), number(f"{own}.sharedVotingPower", "decimal(20,4)").alias("shared_voting"),
+        number("r.reportingPersonBeneficiallyOwnedAggregateNumberOfShares", "decimal(20,4)").alias("shares"), number("r.classPercent", "decimal(9,4)").alias("percent"),
+    )
+
+
+def statement_pages(docs: DataFrame, doc_id: str, html: str) -> DataFrame:
+    """(doc_id, row_no, label, column_no, period, value, scale) of rendered statement pages.
+
+    The page's first row names statement and unit ("$ in Millions"); the headings that are dates, in it or
+    the row below, are the columns; rows with a label and numbers are the lines. A note's mark is no value.
+    """
+    cells = html_tables(docs, doc_id, html).filter(F.col("table_no") == 0)
+    date = r"(?i)^(?:[a-z]{3,4}\.? \d{1,2}, \d{4})$"
+    dates = F.filter("cells", lambda c: c.rlike(date))
+    heads = cells.filter((F.col("row_no") < 2) & (F.size(dates) > 0)).groupBy(doc_id).agg(F.min_by(dates, "row_no").alias("_dates"), F.min("row_no").alias("_head"))
+    first = cells.filter(F.col("row_no") == 0).select(doc_id, F.get("cells", 0).alias("_title"))
+    size = F.when(F.col("_title").rlike("(?i)in billions"), 1_000_000_000).when(F.col("_title").rlike("(?i)in millions"), 1_000_000).when(F.col("_title").rlike("(?i)in thousands"), 1_000).otherwise(1)
+    lines = cells.join(heads, doc_id).join(first, doc_id).filter(F.col("row_no") > F.col("_head"))
+    values = F.filter(F.slice("cells", 2, 1000), lambda c: (c != "") & ~c.rlike(r"^\[.*\]$"))
+    each = lines.filter(F.size(values) > 0).select(doc_id, "row_no", F.get("cells", 0).alias("label"), "_dates", size.alias("scale"), F.posexplode(values).alias("column_no", "_v"))
+    number = F.regexp_replace(F.regexp_replace("_v", r"[$,\s]", ""), r"^\((.*)\)$", "-$1").try_cast("decimal(28,4)")
+    day = F.try_to_date(F.regexp_replace(F.get("_dates", F.col("column_no")), r"^([A-Za-z]{3})[a-z]?\.? ", "$1 "), "MMM d, yyyy")
+    return each.select(doc_id, "row_no", "label", "column_no", day.alias("period"), number.alias("value"), "scale").filter(F.col("value").isNotNull())
+
+
 def envelope_documents(submissions: DataFrame, sub_id: str, text: str) -> DataFrame:
     """(sub_id, seq, type, filename, body): the documents of an SGML submission."""
     parts = submissions.select(sub_id, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(r"(?s)<DOCUMENT>(.*?)(?:</DOCUMENT>|$)"), 1)).alias("seq", "d"))

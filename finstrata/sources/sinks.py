@@ -38,7 +38,7 @@ def append(df: DataFrame, path: str, by: list[str] | None = None) -> None:
 def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
     """CSV with RFC quoting; text that a spreadsheet would run is disarmed. Files stay parallel."""
     guarded = df.select(*[(export_cell(F.col(c)) if t == "string" else F.col(c)).alias(c) for c, t in df.dtypes])
-    guarded.write.mode("overwrite").csv(path, header=header, quote='"', escape='"')
+    guarded.write.mode("overwrite").csv(path, header=header, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def escape_cell(x) -> str:
@@ -61,5 +61,19 @@ def compact_table(df: DataFrame, rows: int = 100) -> str:
     return marked if ragged or len(plain) >= len(marked) else plain
 
 
+def merge_stream(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str, amount: str) -> None:
+    """Runs a stream to its end into a Parquet folder, one batch at a time: rows of a key that come in one
+    batch are merged (amounts added up, the newest ``order`` kept) and appended under the batch's number.
+
+    A batch that is run again overwrites its own folder, so nothing is there twice.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        merged = rows.groupBy(*keys).agg(F.sum(amount).alias(amount), F.max(order).alias(order), F.count("*").alias("legs"))
+        merged.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

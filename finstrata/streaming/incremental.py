@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from finstrata.sources.sinks import replace_partitions
+from finstrata.sources.sinks import append, replace_partitions
 
 
 def stream_table(spark: SparkSession, path: str, files_a_batch: int = 100) -> DataFrame:
@@ -59,6 +59,18 @@ def refresh(base: DataFrame, dirty: DataFrame, part: str, build, path: str) -> N
     replace_partitions(build(base.join(dirty, part, "left_semi")), path, [part])
 
 
+def restate_periods(stored: DataFrame, restated: DataFrame, keys: list[str], part: str, path: str) -> None:
+    """Stores rows by ``part`` and replaces those whose ``keys`` are restated: deleted, then inserted again.
+
+    Only the partitions that have a restated key are written anew; ``part`` must be one of the keys.
+    """
+    append(stored, path, [part])
+    old = stored.sparkSession.read.schema(stored.schema).parquet(path)
+    touched = old.join(restated.select(part).distinct(), part, "left_semi")
+    kept = touched.join(restated.select(*keys).distinct(), keys, "left_anti")
+    replace_partitions(kept.unionByName(restated.select(*stored.columns)), path, [part])
+
+
 def versioned_or_live(spark: SparkSession, tables: list[str], live):
     """The snapshots if all were computed together, else the live relation."""
     try:
