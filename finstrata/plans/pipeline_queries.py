@@ -273,7 +273,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return changes.select("file_id", "field_name", "change_kind").distinct()
 
 
-_FIELD = "CASE " + " ".join(f"WHEN h IN ({', '.join(repr(x) for x in names)}) THEN '{f}'" for f, (names, _) in drift.FIELDS.items()) + " END"
+# The headings of each field, written out here again so that the SQL is a witness of its own.
+_FIELD = """CASE WHEN h IN ('accessionnumber', 'accn', 'filingaccession', 'submissionref') THEN 'accession_number' WHEN h IN ('sequencenumber', 'seqno', 'mgrordinal', 'othermanagersk') THEN 'sequence_number'
+ WHEN h IN ('name', 'firm', 'managername', 'othermanager') THEN 'name' WHEN h IN ('cik', 'filercik', 'centralindexkey', 'registrantkey') THEN 'cik'
+ WHEN h IN ('form13ffilenumber', 'form13ffileno', 'fileno028', 'thirteenfnr') THEN 'form13f_file_number' WHEN h IN ('crdnumber', 'crd', 'iardcrd', 'advisercrdno') THEN 'crd_number'
+ WHEN h IN ('secfilenumber', 'secno801', 'advfileno', 'adviserfile') THEN 'sec_file_number' WHEN h IN ('stateorcountry', 'statectry', 'domicile') THEN 'state_or_country'
+ WHEN h IN ('filingdate', 'datefiled', 'filedon') THEN 'filing_date' END"""
 P7_SQL = f"""
 WITH h AS (SELECT file_id, unnest(string_split(header_line, chr(9))) AS raw, generate_subscripts(string_split(header_line, chr(9)), 1) AS pos FROM othermanager_archive_file),
 n AS (SELECT file_id, pos, regexp_replace(lower(raw), '[^a-z0-9]', '', 'g') AS h FROM h), f AS (SELECT file_id, pos, h, {_FIELD} AS field FROM n),
@@ -293,9 +298,14 @@ def p7_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.unified_table(table(spark, d, "othermanager_archive_file"), table(spark, d, "othermanager_archive_line"))
 
 
+P7B_SQL = P7_SQL[: P7_SQL.index("t AS (SELECT")].replace("c AS (SELECT file_id, trim", "c AS (SELECT file_id, line_no, trim") + "SELECT file_id, line_no, " + ", ".join(
+    f"max(CASE WHEN field = '{f}' THEN cell END) AS {f}" for f in drift.NAMES
+) + " FROM c JOIN f USING (file_id, pos) WHERE cell <> '' AND field IS NOT NULL GROUP BY 1, 2"
+
+
 QUERIES = {
     "p1_found": p1_found, "p2_found": p2_found, "p2_flags": p2_flags, "p3_found": p3_found, "p3_ledger": p3_ledger,
     "p4_found": p4_found, "p4_solutions": p4_solutions, "p4_scale_by_series": p4_scale_by_series, "p6_found": p6_found, "p6_share_of_class": p6_share_of_class,
     "p7_found": p7_found, "p7_table": p7_table,
 }
-ORACLES = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_flags": P2B_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL, "p4_solutions": P4B_SQL, "p4_scale_by_series": P4C_SQL, "p3_found": P3_SQL, "p3_ledger": P3B_SQL, "p6_found": P6_SQL, "p6_share_of_class": P6B_SQL}
+ORACLES = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_flags": P2B_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL, "p7_table": P7B_SQL, "p4_solutions": P4B_SQL, "p4_scale_by_series": P4C_SQL, "p3_found": P3_SQL, "p3_ledger": P3B_SQL, "p6_found": P6_SQL, "p6_share_of_class": P6B_SQL}

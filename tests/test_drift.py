@@ -1,5 +1,6 @@
 from datetime import date
 
+from finstrata.operators.drift import FIELDS as FIELD_TABLE
 from finstrata.operators.drift import layout_changes, unified_table, union_types, placed_columns
 
 FILES = [
@@ -39,6 +40,27 @@ def test_one_table(spark):
     assert rows[3, 1].sec_file_number == "801-12345678" and rows[3, 1].sequence_number == "M001"
 
 
+def test_unknown_headings_are_placed_by_the_profile_of_known_ones(spark):
+    import random
+
+    r = random.Random(2)
+    number = lambda n: str(r.randrange(10 ** (n - 1), 10**n))
+    files, lines = [], []
+    for k in range(30):
+        cik, crd = ("CIK", "CRD") if k < 5 else ("KEY_A", "KEY_B") if k % 2 else ("X1", "X2")
+        swap = k % 3 == 0
+        files.append((k, 1, date(2020, 1, 1 + k), "\t".join((crd, cik) if swap else (cik, crd)), "x"))
+        for n in range(8):
+            a, b = number(8).zfill(10), number(9)
+            lines.append((k, n, "\t".join((b, a) if swap else (a, b))))
+    f, x = spark.createDataFrame(files, SCHEMA), spark.createDataFrame(lines, "file_id long, line_no int, raw_line string")
+    got = {(p.file_id, p.pos): p.field for p in placed_columns(f, x).collect()}
+    assert got == {(k, at): ("cik", "crd_number")[at ^ (k % 3 == 0)] for k in range(30) for at in (0, 1)}
+    # the same by cells alone where no heading is known: what isn't told apart goes to the first pattern
+    bare = {k: ([], pattern) for k, (_, pattern) in FIELD_TABLE.items()}
+    assert {p.field for p in placed_columns(f, x, bare).collect()} == {"cik"}
+
+
 def test_empty(spark):
     files, lines = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "file_id long, line_no int, raw_line string")
     assert layout_changes(files, lines).count() == 0 and unified_table(files, lines).count() == 0
