@@ -1,23 +1,27 @@
 """Matching records of two tables that share no key.
 
-1. Graph. A record is tied to its attributes, an attribute to its tokens: words of the name,
-   and identifiers, which count wherever they stand, since filers mix up columns.
-2. Random walks. From a record's tokens a walk meets another record at a token both bear (rare
-   tokens are preferred) and goes on to that one's tokens. A step is a shuffle by meeting
-   token; the groups of frequent tokens are salted to at most ``MEET`` records.
-3. Skip-gram. Tokens on a walk predict each other, with negative samples. A token's vector is
-   the mean of its character n-grams' rows in a table of fixed size, so that a misspelt or
+1. Graph. A record is tied to its attributes (its name, its identifiers), an attribute to its
+   tokens: words, and identifiers, which count wherever they stand, since filers mix up columns.
+2. Random walks. A walk goes from a record over an attribute to one of its tokens (rare ones are
+   likelier), on to another record with that token, and so on for ``STEPS`` records. All records walk at
+   once: for each step every record draws a token, and with it a neighbour at that token; frequent
+   tokens are salted to groups of at most ``MEET`` records, in which the neighbour is the next one.
+3. Skip-gram. Tokens and attributes on a walk predict each other, with negative samples. A token's
+   vector is the mean of its character n-grams' rows in a table of fixed size, so that a misspelt or
    abbreviated word lies near the one meant and the model has a proven size. Partitions train
    from the same start on their own walks; their tables are averaged by use.
-4. Blocking. The vectors of names, and of identifiers and telling words, are cut by random hyperplanes into several tables of
-   keys; the left side also looks into the buckets across its narrowest planes. Pairs that
-   meet in two or more buckets are candidates.
+4. Blocking, both tables in one. Name vectors are cut by random hyperplanes into several tables of
+   keys; the left side also looks into the buckets across its narrowest planes; pairs whose sketches
+   (128 more planes) differ too much to be near are left out at once. Records that share an identifier
+   or a telling word (adjacent words without their blank too) meet by equality: at the token where at
+   most ``OFTEN`` right records bear it, else at pairs of such tokens, else at the whole core of the name.
+   Crowded buckets are salted.
 5. Rerank. Candidates are compared exactly: identifiers that agree, and names word by word
    (abbreviations, one slip of the pen a word, a lost or added blank, cut ends, any order). The record that most of the
    evidence supports is the match if no other has as much.
-6. Confidence. Cosines of name vectors are calibrated by a logistic fitted to candidates whose
-   identifiers settle the question (at most ``CALIBRATION`` of them), and joined with the
-   identifiers' evidence.
+6. Confidence. A logistic on the cosine of name vectors, the name level and the identifiers that agree
+   and that don't, fitted to candidates (at most ``CALIBRATION`` of them) whose first identifier, which
+   is kept from the features, settles the question; records whose identifiers contradict each other don't.
 
 Repeated left records (same name and identifiers) are matched once.
 """
@@ -35,17 +39,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from finstrata.core.tables import shuffle_partitions
+from finstrata.core.tables import checkpoint_dir, shuffle_partitions
 from finstrata.llm.lookalike import plain_form
 
 BUCKETS = 1 << 15  # rows of the n-gram table
 DIM = 32
 MEET = 128  # records that can meet at one salt of a token
-MEETINGS = 3  # tokens at which a record looks for others
+WALKS, STEPS = 3, 3  # walks from each record, and records on each
 NEGATIVES = 4
 TABLES = 24
 WALKERS = 4000  # records for which one more partition trains
 PROBES = 3  # buckets across the narrowest planes that the left side looks into
+SKETCH_APART = 40  # of the 128 bits of two sketches; at a cosine of 0.55 they differ in 40 on average
+OFTEN = 32  # right records that may meet at one token
+SALT = 256  # left records in a crowded bucket that one task's share holds
 CALIBRATION = 20_000
 #: A word is common if one record in so many bears it (and at least COMMON_LEAST do).
 COMMON_SHARE = 200
@@ -53,6 +60,8 @@ COMMON_LEAST = 30
 #: A word tells sister firms apart if one right record in so many bears it (and KIND_LEAST do).
 KIND_SHARE = 50
 KIND_LEAST = 4
+#: Words that a partition's model keeps the n-grams of at a time.
+MOST_WORDS = 500_000
 #: Least digits of an identifier; shorter ones are fillers.
 ID_DIGITS = 6
 
@@ -87,7 +96,7 @@ def name_words(key: str) -> tuple[list[str], str]:
         key = key[: m.start()]
         m = _TAIL.search(key)
     ws = [w for w in re.split(r"[^0-9a-zà-￿]+", key) if w]
-    kept = [w for w in ws if w not in LEGAL]
+    kept = [w for i, w in enumerate(ws) if w not in LEGAL and not (w in ("co", "company") and i and ws[i - 1] == "liability")]
     while len(kept) > 1 and len(kept[-1]) == 1:
         kept.pop()
     return kept, place
@@ -102,44 +111,54 @@ def _grams(token: str) -> list[int]:
 
 
 def start_table() -> np.ndarray:
-    """Where all partitions start: rows of random directions, one more row of zeros for padding."""
-    t = np.random.default_rng(11).standard_normal((BUCKETS + 1, DIM)).astype(np.float32) / math.sqrt(DIM)
-    t[BUCKETS] = 0
-    return t
+    """Where all partitions start: rows of random directions."""
+    return np.random.default_rng(11).standard_normal((BUCKETS, DIM)).astype(np.float32) / math.sqrt(DIM)
 
 
 class SkipGram:
     """Skip-gram with negative sampling over n-gram rows, trained in batches."""
 
-    WIDTH = 28
-
     def __init__(self, rate: float = 0.2):
         self.v, self.c = start_table(), np.zeros((BUCKETS, DIM), dtype=np.float32)
-        self.used = np.zeros(BUCKETS + 1, dtype=np.int64)
+        self.used = np.zeros(BUCKETS, dtype=np.int64)
         self.rate, self.rng = rate, np.random.default_rng(5)
         self.known: dict[str, int] = {}
-        self.grams = np.zeros((0, self.WIDTH), dtype=np.int64)
-        self.size = np.zeros(0, dtype=np.float32)
+        self.grams = np.zeros(1 << 16, dtype=np.int32)  # the n-grams of all words, one after the other
+        self.first = np.zeros(1 << 12, dtype=np.int64)  # where a word's begin
+        self.size = np.zeros(1 << 12, dtype=np.int64)
+        self.end = 0
 
     def ids(self, tokens: list[str]) -> np.ndarray:
-        fresh = [t for t in dict.fromkeys(tokens) if t not in self.known]
-        if fresh:
-            rows = np.full((len(fresh), self.WIDTH), BUCKETS, dtype=np.int64)
-            size = np.ones(len(fresh), dtype=np.float32)
-            for i, t in enumerate(fresh):
-                g = _grams(t)[: self.WIDTH]
-                rows[i, : len(g)], size[i] = g, len(g)
-                self.known[t] = len(self.known)
-            self.grams, self.size = np.concatenate([self.grams, rows]), np.concatenate([self.size, size])
+        if len(self.known) > MOST_WORDS:  # bounded memory: numbers only have to agree within one call
+            self.known.clear()
+            self.end = 0
+        for t in tokens:
+            if t in self.known:
+                continue
+            g, k = _grams(t), len(self.known)
+            if self.end + len(g) > len(self.grams):
+                self.grams = np.concatenate([self.grams, np.zeros(max(len(self.grams), len(g)), dtype=np.int32)])
+            if k == len(self.first):
+                self.first, self.size = np.concatenate([self.first, self.first]), np.concatenate([self.size, self.size])
+            self.grams[self.end : self.end + len(g)] = g
+            self.first[k], self.size[k] = self.end, len(g)
+            self.known[t] = k
+            self.end += len(g)
         return np.array([self.known[t] for t in tokens], dtype=np.int64)
 
+    def vector(self, token: str) -> np.ndarray:
+        return self.v[_grams(token)].mean(0)
+
     def train(self, center: np.ndarray, context: np.ndarray, batch: int = 8192) -> None:
         """Batches of pairs; gradients are summed by word before they are spread over its n-grams."""
         for a in range(0, len(center), batch):
             x, y = center[a : a + batch], context[a : a + batch] % BUCKETS
             ws, at = np.unique(x, return_inverse=True)
-            g = self.grams[ws]
-            h = (self.v[g].sum(1) / self.size[ws][:, None])[at]
+            n = self.size[ws]
+            start = np.cumsum(n) - n
+            g = self.grams[np.repeat(self.first[ws] - start, n) + np.arange(n.sum())]
+            share = (1.0 / n).astype(np.float32)[:, None]
+            h = (np.add.reduceat(self.v[g], start, axis=0) * share)[at]
             out = np.concatenate([y[:, None], self.rng.choice(y, (len(x), NEGATIVES))], axis=1)
             c = self.c[out]
             score = 1 / (1 + np.exp(-np.matmul(c, h[:, :, None])[:, :, 0]))
@@ -149,10 +168,8 @@ class SkipGram:
             _add_means(self.c, out.reshape(-1), (step[:, :, None] * h[:, None, :]).reshape(-1, DIM))
             by_word = np.zeros((len(ws), DIM), dtype=np.float32)
             _add_means(by_word, at, dh)
-            width = g.shape[1]
-            _add_means(self.v, g.reshape(-1), np.repeat(by_word / self.size[ws][:, None], width, axis=0))
-            self.used += np.bincount(g.reshape(-1), np.repeat(np.bincount(at, minlength=len(ws)), width), BUCKETS + 1).astype(np.int64)
-            self.v[BUCKETS] = 0
+            _add_means(self.v, g, np.repeat(by_word * share, n, axis=0))
+            self.used += np.bincount(g, np.repeat(np.bincount(at, minlength=len(ws)), n), BUCKETS).astype(np.int64)
 
 
 def _add_means(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
@@ -227,54 +244,82 @@ def _frequent_words(records: DataFrame, least: float) -> dict[str, int]:
     return {r["w"]: r["count"] for r in counts.filter(F.col("count") >= least).collect()}
 
 
+def random_walks(records: DataFrame) -> DataFrame:
+    """(rec, walk, bags, attrs, meets): the tokens of the records on each walk, and between them the
+    attribute and the token at which it went on. A record without tokens walks nowhere."""
+
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: dict[str, list] = {"rec": [], "attr": [], "tok": [], "bag": []}
+            for k, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words_, ids_ = dict.fromkeys(name_words(k)[0]), dict.fromkeys(i or [])
+                bag = " ".join([*words_, *ids_])
+                rec = xxhash.xxh64_intdigest(f"{k}|{bag}") - (1 << 63)
+                for attr, ts in (("@name", words_), ("@identifier", ids_)):
+                    for t in ts:
+                        for c, v in zip(out, (rec, attr, t, bag)):
+                            out[c].append(v)
+            yield pa.record_batch({c: pa.array(v, pa.int64() if c == "rec" else pa.string()) for c, v in out.items()})
+
+    tied = records.select("name", "ids").mapInArrow(nodes, "rec bigint, attr string, tok string, bag string").dropDuplicates(["rec", "attr", "tok"])
+    sizes = tied.groupBy("tok").agg(F.count("*").alias("n"))
+    salted = tied.join(sizes, "tok").withColumn("salt", F.pmod(F.xxhash64("rec", "tok"), F.ceil(F.col("n") / MEET)).cast("int"))
+    group = Window.partitionBy("tok", "salt")
+    turn = F.xxhash64("rec", F.lit(1))
+    near = salted.withColumn("next", F.coalesce(F.lead("rec").over(group.orderBy(turn, "rec")), F.first("rec").over(group.orderBy(turn, "rec"))))
+    # a draw by weight 1 / n: the least of exponential waiting times
+    wait = lambda k: F.log((F.pmod(F.xxhash64("rec", "tok", F.lit(k)), F.lit(1 << 30)) + 1) / float(1 << 30)) * -F.col("n")
+    draws = [F.min_by(F.struct("attr", "tok", "next"), F.struct(wait(k), F.col("tok"))).alias(f"d{k}") for k in range(WALKS * (STEPS - 1))]
+    drawn = near.groupBy("rec").agg(F.first("bag").alias("bag"), *draws)
+    at = lambda w, k: f"d{w * (STEPS - 1) + k}"
+    steps = drawn.select("rec", F.posexplode(F.array(*[F.struct("bag", F.array(*[F.col(at(w, k)) for k in range(STEPS - 1)]).alias("go")) for w in range(WALKS)])).alias("walk", "s")).select("rec", "walk", "s.bag", "s.go")
+    # the walk stands at ``stand``; each further record brings its own draw for its place on the walk
+    out = steps.select("rec", "walk", F.array("bag").alias("bags"), F.array(F.col("go")[0]["attr"]).alias("attrs"), F.array(F.col("go")[0]["tok"]).alias("meets"), F.col("go")[0]["next"].alias("stand"))
+    for k in range(1, STEPS):
+        there = steps.select(F.col("rec").alias("stand"), "walk", F.col("bag").alias("_bag"), F.col("go").alias("_go"))
+        out = out.join(there, ["stand", "walk"])
+        more = lambda c, x: F.array_append(c, x)
+        last = k == STEPS - 1
+        go = F.col("_go")[min(k, STEPS - 2)]
+        out = out.select(
+            "rec", "walk", more("bags", F.col("_bag")).alias("bags"), (F.col("attrs") if last else more("attrs", go["attr"])).alias("attrs"),
+            (F.col("meets") if last else more("meets", go["tok"])).alias("meets"), go["next"].alias("stand"),
+        )
+    return out.drop("stand")
+
+
 def train_model(records: DataFrame, total: int, kinds: frozenset[str] = frozenset()) -> Model:
     """``records``: (name, ids) of both sides, each as often as it is distinct."""
     counts = _frequent_words(records, max(total / COMMON_SHARE, COMMON_LEAST))
     common = {w: max(0.05, math.log(total / n) / math.log(2 * COMMON_SHARE)) for w, n in counts.items()}
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names, ids = b.column(0).to_pylist(), b.column(1).to_pylist()
-            meet, bag = [], []
-            for k, i in zip(names, ids):
-                ts = [*name_words(k)[0], *(i or [])]
-                rare = sorted((t for t in ts if t not in common), key=lambda t: xxhash.xxh32_intdigest(t + k))
-                for t in (rare or ts)[:MEETINGS]:
-                    meet.append(t)
-                    bag.append(" ".join(ts))
-            yield pa.record_batch({"meet": pa.array(meet, pa.string()), "bag": pa.array(bag, pa.string())})
-
-    steps = records.select("name", "ids").mapInArrow(tokens, "meet string, bag string")
-    sizes = steps.groupBy("meet").agg(F.ceil(F.count("*") / MEET).alias("salts"))
-    crowded = sizes.filter(F.col("salts") > 1)
-    salted = steps.join(crowded, "meet", "left").withColumn(
-        "salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("bag"), "salts")).cast("int")
-    ).select("meet", "salt", "bag")
+    walks = random_walks(records)
     parts = max(1, min(shuffle_partitions(records.sparkSession), math.ceil(total / WALKERS)))
-    shuffled = salted.repartition(parts, "meet", "salt").sortWithinPartitions("meet", "salt", F.xxhash64("bag"))
+    shuffled = walks.repartition(parts, "rec").sortWithinPartitions("rec", "walk")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, rng = SkipGram(), np.random.default_rng(3)
-        last: tuple | None = None
         for b in batches:
-            meet, salt, bag = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
             centers: list[str] = []
             contexts: list[str] = []
-            for m, s, text in zip(meet, salt, bag):
-                mine = text.split(" ")
-                there = last[1] if last is not None and last[0] == (m, s) else mine
-                last = ((m, s), mine)
-                for w in mine:
-                    other = there[int(rng.integers(len(there)))]
-                    centers += [w, w, other]
-                    contexts += [m, other, w]
+            for bags, attrs, meets in zip(*(b.column(c).to_pylist() for c in ("bags", "attrs", "meets"))):
+                here = [t for t in bags[0].split(" ") if t]
+                for k, (attr, meet) in enumerate(zip(attrs, meets)):
+                    there = [t for t in bags[k + 1].split(" ") if t]
+                    draw = rng.integers(len(there), size=len(here)).tolist()
+                    for w, at in zip(here, draw):
+                        centers += [w, w, there[at]]
+                        contexts += [meet, there[at], w]
+                    centers += [meet, attr]
+                    contexts += [attr, meet]
+                    here = there
             if centers:
                 net.train(net.ids(centers), net.ids(contexts))
-        hit = np.flatnonzero(net.used[:BUCKETS])
+        hit = np.flatnonzero(net.used)
         for a in range(0, len(hit), 5000):
             h = hit[a : a + 5000]
             yield pa.record_batch({
-                "bucket": pa.array(h % BUCKETS, pa.int32()), "n": pa.array(net.used[h], pa.int64()),
+                "bucket": pa.array(h, pa.int32()), "n": pa.array(net.used[h], pa.int64()),
                 "v": pa.FixedSizeListArray.from_arrays(pa.array(net.v[h].reshape(-1), pa.float32()), DIM).cast(pa.list_(pa.float32())),
             })
 
@@ -292,39 +337,79 @@ def _planes(bits: int) -> np.ndarray:
     return np.random.default_rng(17).standard_normal((TABLES, bits, DIM)).astype(np.float32)
 
 
-def _keys(df: DataFrame, model, bits: int, probes: int) -> DataFrame:
-    """(rid, view, tab, key): the buckets of each record's name (view 0) and of its tokens and joined words (view 1)."""
+def _bucket_keys(df: DataFrame, model, bits: int, probes: int) -> DataFrame:
+    """(rid, tab, key, s0, s1): the buckets of each record's name vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, planes = model.value, _planes(bits)
         flat, powers = planes.reshape(-1, DIM), (1 << np.arange(bits)).astype(np.int64)
+        more = np.random.default_rng(19).standard_normal((128, DIM)).astype(np.float32)
         for b in batches:
-            rid, names, ids = b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()
-            for view in (0, 1):
-                vecs, of = [], []
-                for i, (k, ts) in enumerate(zip(names, ids)):
-                    for x in ([m.name(k)] if view == 0 else [m.word(t) for t in dict.fromkeys([*(ts or []), *m.core(k), *m.joined(k)])]):
-                        if x is not None:
-                            vecs.append(x)
-                            of.append(i)
-                if not vecs:
-                    continue
-                tabs = TABLES if view == 0 else 2
-                side = (np.stack(vecs) @ flat.T).reshape(len(vecs), TABLES, bits)[:, :tabs]
-                base = ((side > 0) * powers).sum(2)
-                found = [base]
-                if view == 0 and probes:
-                    near = np.argsort(np.abs(side), axis=2)[:, :, :probes]
-                    found += [base ^ powers[near[:, :, j]] for j in range(probes)]
-                keys = np.stack(found, axis=2)  # record, table, probe
-                n = keys.shape[2]
-                yield pa.record_batch({
-                    "rid": rid.take(pa.array(np.repeat(of, tabs * n))), "view": pa.array(np.full(keys.size, view), pa.int32()),
-                    "tab": pa.array(np.tile(np.repeat(np.arange(tabs), n), len(vecs)), pa.int32()), "key": pa.array(keys.reshape(-1), pa.int64()),
-                })
+            vecs = [(i, x) for i, x in enumerate(m.name(k) for k in b.column(1).to_pylist()) if x is not None]
+            if not vecs:
+                continue
+            x = np.stack([v for _, v in vecs])
+            side = (x @ flat.T).reshape(len(vecs), TABLES, bits)
+            base = ((side > 0) * powers).sum(2)
+            found = [base]
+            if probes:
+                near = np.argsort(np.abs(side), axis=2)[:, :, :probes]
+                found += [base ^ powers[near[:, :, j]] for j in range(probes)]
+            keys = np.stack(found, axis=2)  # record, table, probe
+            n = keys.shape[2]
+            sketch = np.packbits(x @ more.T > 0, axis=1).view("<i8").reshape(-1, 2)
+            each = TABLES * n
+            yield pa.record_batch({
+                "rid": b.column(0).take(pa.array(np.repeat([i for i, _ in vecs], each))), "tab": pa.array(np.tile(np.repeat(np.arange(TABLES), n), len(vecs)), pa.int32()),
+                "key": pa.array(keys.reshape(-1), pa.int64()), "s0": pa.array(np.repeat(sketch[:, 0], each), pa.int64()), "s1": pa.array(np.repeat(sketch[:, 1], each), pa.int64()),
+            })
+
+    kind = dict(df.dtypes)["rid"]
+    return df.select("rid", "name").mapInArrow(run, f"rid {kind}, tab int, key bigint, s0 bigint, s1 bigint")
+
+
+def _tokens(df: DataFrame, model) -> DataFrame:
+    """(rid, toks, core): the tokens of each record, identifiers and core words, as a set; and the core as one key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for b in batches:
+            names, ids = b.column(1).to_pylist(), b.column(2).to_pylist()
+            cores = [m.core(k) for k in names]
+            toks = [list(dict.fromkeys([*(i or []), *c, *m.joined(k)])) for k, i, c in zip(names, ids, cores)]
+            yield pa.record_batch({"rid": b.column(0), "toks": pa.array(toks, pa.list_(pa.string())), "core": pa.array([" ".join(sorted(c)) for c in cores])})
 
     kind = dict(df.dtypes)["rid"]
-    return df.select("rid", "name", "ids").mapInArrow(run, f"rid {kind}, view int, tab int, key bigint")
+    return df.select("rid", "name", "ids").mapInArrow(run, f"rid {kind}, toks array<string>, core string")
+
+
+def _candidates(signatures: DataFrame, rs: DataFrame, model, bits: int) -> DataFrame:
+    """(lid, rid): pairs that meet in a bucket and whose sketches are near, or that share a token."""
+    lk = _bucket_keys(signatures, model, bits, PROBES).withColumnsRenamed({"rid": "lid", "s0": "t0", "s1": "t1"})
+    rk = _bucket_keys(rs, model, bits, 0)
+    salts = lk.groupBy("tab", "key").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts")).filter(F.col("salts") > 1)
+    mine = lk.join(salts, ["tab", "key"], "left").withColumn("salt", F.pmod(F.xxhash64("lid"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    theirs = rk.join(salts, ["tab", "key"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    near = mine.join(theirs, ["tab", "key", "salt"]).filter(F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) <= SKETCH_APART).select("lid", "rid")
+
+    lt, rt = _tokens(signatures, model).withColumnRenamed("rid", "lid"), _tokens(rs, model)
+    one = lambda df, key: df.select(key, F.explode("toks").alias("tok"))
+    right = one(rt, "rid")
+    few = right.groupBy("tok").agg(F.count("*").alias("n"))
+    by_token = one(lt, "lid").join(right.join(few.filter(F.col("n") <= OFTEN), "tok"), "tok").select("lid", "rid")
+    # tokens that too many bear: pairs of them, and where a pair is borne by too many the whole core
+    often = few.filter(F.col("n") > OFTEN).select("tok")
+
+    def pairs(df, key):
+        own = one(df, key).join(often, "tok", "left_semi").groupBy(key).agg(F.array_sort(F.collect_set("tok")).alias("ts"))
+        two = own.select(key, F.explode(F.flatten(F.transform("ts", lambda x: F.transform(F.filter("ts", lambda y: y > x), lambda y: F.concat_ws(" ", x, y))))).alias("two"))
+        return two
+
+    rp = pairs(rt, "rid")
+    held = rp.groupBy("two").agg(F.count("*").alias("n"))
+    by_pair = pairs(lt, "lid").join(rp.join(held.filter(F.col("n") <= OFTEN), "two"), "two").select("lid", "rid")
+    by_core = lt.filter(F.col("core") != "").join(rt, "core").select("lid", "rid")
+    return near.unionByName(by_token).unionByName(by_pair).unionByName(by_core).distinct()
 
 
 def _one_slip(a: str, b: str) -> bool:
@@ -435,10 +520,11 @@ def _compare(pairs: DataFrame, model) -> DataFrame:
         for b in batches:
             ln, rn, li, ri = (b.column(c).to_pylist() for c in ("lname", "rname", "lids", "rids"))
             place = b.column("place").to_pylist()
-            agree, level, cos, here = [], [], [], []
+            agree, level, cos, here, first = [], [], [], [], []
             for a, c, x, y, p in zip(ln, rn, li, ri, place):
                 (lw, lp), (rw, _) = words(a), words(c)
                 agree.append(len(set(x or ()) & set(y or ())))
+                first.append(x[0] in (y or ()) if x else None)
                 level.append(name_level(lw, rw, m.kinds))
                 u, v = vec(a), vec(c)
                 cos.append(float(u @ v) if u is not None and v is not None else 0.0)
@@ -448,40 +534,71 @@ def _compare(pairs: DataFrame, model) -> DataFrame:
                 parts.clear()
             yield pa.record_batch({
                 "lid": b.column("lid"), "rid": b.column("rid"), "agree": pa.array(agree, pa.int32()), "told": pa.array([len(x or ()) for x in li], pa.int32()),
-                "level": pa.array(level, pa.float64()), "cosine": pa.array(cos, pa.float64()), "here": pa.array(here, pa.bool_()),
+                "level": pa.array(level, pa.float64()), "cosine": pa.array(cos, pa.float64()), "here": pa.array(here, pa.bool_()), "first": pa.array(first, pa.bool_()),
             })
 
     kind = dict(pairs.dtypes)["rid"]
-    return pairs.mapInArrow(run, f"lid string, rid {kind}, agree int, told int, level double, cosine double, here boolean")
+    return pairs.mapInArrow(run, f"lid string, rid {kind}, agree int, told int, level double, cosine double, here boolean, first boolean")
 
 
-def _calibrate(scored: DataFrame) -> np.ndarray:
-    """Logistic of a match on cosine and name level, from candidates that identifiers settle."""
-    best = F.max("agree").over(Window.partitionBy("lid"))
-    settled = scored.withColumn("most", best).filter(F.col("most") >= 1).select("cosine", "level", (F.col("agree") == F.col("most")).alias("y"), "lid", "rid")
-    rows = settled.orderBy(F.xxhash64("lid", "rid"), "lid", "rid").limit(CALIBRATION).collect()
-    if not rows or len({r["y"] for r in rows}) < 2:
-        return np.array([-6.0, 4.0, 6.0])
-    x = np.array([[1.0, r["cosine"], r["level"]] for r in rows])
-    y, t, shrink = np.array([float(r["y"]) for r in rows]), np.zeros(3), 1e-2 * np.eye(3)
-    for _ in range(50):  # Newton, with a little shrinkage so that separable data stay finite
+#: What the confidence starts from: weights of one, cosine, level, identifiers that agree, and that don't.
+FEATURES = ["cosine", "level", "agree", "missed"]
+PRIOR = np.array([-6.0, 4.0, 6.0, 4.0, -1.0])
+
+
+def settled_candidates(scored: DataFrame) -> DataFrame:
+    """(lid, rid, FEATURES, y): candidates of left records whose first identifier one candidate bears, if no
+    other candidate bears another of their identifiers.
+
+    ``y`` tells whether this candidate does; that identifier is left out of what agrees and what doesn't.
+    """
+    borne = scored.filter(F.col("agree") > 0).groupBy("lid").agg(F.count("*").alias("n"), F.bool_or("first").alias("first"))
+    known = borne.filter((F.col("n") == 1) & F.col("first")).select("lid")
+    agree = F.col("agree") - F.col("first").cast("int")
+    rows = scored.join(known, "lid", "left_semi").withColumn("agree", agree)
+    return rows.select("lid", "rid", "cosine", "level", "agree", (F.col("told") - 1 - F.col("agree")).alias("missed"), F.col("first").alias("y"))
+
+
+def fit_confidence(rows: list) -> np.ndarray:
+    """Logistic weights by Newton's method, drawn a little to ``PRIOR`` so that separable rows stay finite."""
+    if not rows:
+        return PRIOR
+    x = np.array([[1.0, *(float(r[c]) for c in FEATURES)] for r in rows])
+    y, t, shrink = np.array([float(r["y"]) for r in rows]), PRIOR.copy(), 0.1 * np.eye(x.shape[1])
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ t, -30, 30)))
         w = np.maximum(p * (1 - p), 1e-9)
-        t = t + np.clip(np.linalg.solve((x * w[:, None]).T @ x + shrink, x.T @ (y - p) - shrink @ t), -5, 5)
+        t = t + np.clip(np.linalg.solve((x * w[:, None]).T @ x + shrink, x.T @ (y - p) - shrink @ (t - PRIOR)), -5, 5)
     return t
 
 
-def match_records(
+def _calibrate(scored: DataFrame) -> np.ndarray:
+    sample = settled_candidates(scored).orderBy(F.xxhash64("lid", "rid"), "lid", "rid").limit(CALIBRATION)
+    return fit_confidence(sample.collect())
+
+
+def calibration_report(scored: DataFrame) -> tuple[float, list[tuple[float, float, int]]]:
+    """(Brier score, (mean confidence, share right, candidates) by tenth) of one half by the weights of the other."""
+    rows = settled_candidates(scored).withColumn("_h", F.pmod(F.xxhash64("lid"), F.lit(2)))
+    t = fit_confidence(rows.filter("_h = 0").orderBy(F.xxhash64("lid", "rid")).limit(CALIBRATION).collect())
+    tested = rows.filter("_h = 1").withColumn("p", confidence_of(t))
+    brier = tested.agg(F.avg(F.pow(F.col("p") - F.col("y").cast("int"), 2))).first()[0]
+    tenths = tested.groupBy(F.least(F.floor(F.col("p") * 10), F.lit(9)).alias("b")).agg(F.avg("p"), F.avg(F.col("y").cast("int")), F.count("*")).orderBy("b").collect()
+    return brier, [tuple(r)[1:] for r in tenths]
+
+
+def confidence_of(weights: np.ndarray) -> Column:
+    odds = F.lit(float(weights[0]))
+    for c, w in zip(FEATURES, weights[1:]):
+        odds = odds + F.col(c) * float(w)
+    return 1 / (1 + F.exp(-odds))
+
+
+def scored_candidates(
     left: DataFrame, left_id: str, left_name: str, left_ids: list[str],
     right: DataFrame, right_id: str, right_name: str, right_ids: list[str], right_place: str | None = None,
-) -> DataFrame:
-    """(left_id, right_id, confidence, agree, level, cosine): each left record's one match, if any.
-
-    A left record is matched to the right record with the most evidence: identifiers in common,
-    plus one for a name that fits whole. It needs one identifier or a whole name, and more
-    evidence than any other right record; the place that ends a name breaks ties. Null or
-    filler values are no evidence. Right records must be unique by id. Extra columns are ignored.
-    """
+) -> tuple[DataFrame, DataFrame]:
+    """(left records with their signatures, scored pairs of signature and right record)."""
     spark = left.sparkSession
     ids = lambda cols: F.array_sort(F.array_distinct(F.array_compact(F.array(*[identifier(F.col(c)) for c in cols]))))
     rs = right.select(
@@ -496,17 +613,31 @@ def match_records(
     kinds = frozenset(_frequent_words(rs, max(n_right / KIND_SHARE, KIND_LEAST)))
     model = spark.sparkContext.broadcast(train_model(both, max(n_both, 1), kinds))
     bits = max(4, min(40, (max(n_right, 2) - 1).bit_length()))
-    lk = _keys(signatures, model, bits, PROBES).withColumnRenamed("rid", "lid")
-    rk = _keys(rs, model, bits, 0)
-    pairs = lk.join(rk, ["view", "tab", "key"]).groupBy("lid", "rid").agg(F.count("*").alias("_n")).filter(F.col("_n") >= 2)
     full = (
-        pairs.drop("_n")
+        _candidates(signatures, rs, model, bits)
         .join(signatures.select(F.col("rid").alias("lid"), F.col("name").alias("lname"), F.col("ids").alias("lids")), "lid")
         .join(rs.select("rid", F.col("name").alias("rname"), F.col("ids").alias("rids"), "place"), "rid")
         .select("lid", "rid", "lname", "rname", "lids", "rids", "place")
     )
-    scored = _compare(full, model).filter((F.col("agree") > 0) | (F.col("level") > 0) | (F.col("cosine") > 0.5)).persist()
-    t0, t1, t2 = (float(x) for x in _calibrate(scored))
+    return ls, _compare(full, model).filter((F.col("agree") > 0) | (F.col("level") > 0) | (F.col("cosine") > 0.5))
+
+
+def match_records(
+    left: DataFrame, left_id: str, left_name: str, left_ids: list[str],
+    right: DataFrame, right_id: str, right_name: str, right_ids: list[str], right_place: str | None = None,
+) -> DataFrame:
+    """(left_id, right_id, confidence, agree, level, cosine): each left record's one match, if any.
+
+    A left record is matched to the right record with the most evidence: identifiers in common,
+    plus one for a name that fits whole. It needs one identifier or a whole name, and more
+    evidence than any other right record; the place that ends a name breaks ties. Null or
+    filler values are no evidence. Right records must be unique by id. Extra columns are ignored.
+    """
+    ls, scored = scored_candidates(left, left_id, left_name, left_ids, right, right_id, right_name, right_ids, right_place)
+    # the candidates are used twice, by the fit and by the choice: cut here, so that neither is worked out again
+    checkpoint_dir(left.sparkSession)
+    scored = scored.checkpoint()
+    weights = _calibrate(scored)
     evidence = F.col("agree") + F.col("level") + F.when(F.col("here"), 0.1).otherwise(0.0)
     w = Window.partitionBy("lid").orderBy(F.desc("evidence"), F.desc("cosine"), "rid")
     best = (
@@ -516,8 +647,7 @@ def match_records(
         .filter((F.col("_rank") == 1) & ((F.col("agree") >= 1) | (F.col("level") >= 0.9)))
         .filter(F.col("_next").isNull() | (F.col("evidence") > F.col("_next") + 0.05))
     )
-    odds = F.lit(t0) + F.lit(t1) * F.col("cosine") + F.lit(t2) * F.col("level") + 7.0 * F.col("agree") - 1.0 * (F.col("told") - F.col("agree"))
-    chosen = best.select("lid", "rid", (1 / (1 + F.exp(-odds))).alias("confidence"), "agree", "level", "cosine")
+    chosen = best.withColumn("missed", F.col("told") - F.col("agree")).select("lid", "rid", confidence_of(weights).alias("confidence"), "agree", "level", "cosine")
     return ls.select("_left", F.col("rid").alias("lid")).join(chosen, "lid").select(
         F.col("_left").alias(left_id), F.col("rid").alias(right_id), "confidence", "agree", "level", "cosine"
     ).dropDuplicates([left_id, right_id])

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from finstrata.llm.entity_match import SkipGram, match_records, name_level, name_words
+from finstrata.llm.entity_match import SkipGram, calibration_report, match_records, name_level, name_words, random_walks, scored_candidates
 
 KINDS = ["fund services", "private bank", "capital management", "global investors", "pension board", "securities"]
 R = random.Random(8)
@@ -57,6 +57,33 @@ def test_matches(spark, tables):
     assert sum(sure) / len(sure) > 0.9
 
 
+def test_confidence_is_calibrated(spark, tables):
+    left, right, _ = tables
+    _, scored = scored_candidates(left, "entry_id", "name", ["cik", "file_no", "crd"], right, "firm_id", "name", ["cik", "file_no", "crd"], "state")
+    brier, tenths = calibration_report(scored.cache())
+    assert brier < 0.1 and sum(n for *_, n in tenths) > 100
+    scored.unpersist()
+
+
+def test_walks_go_from_record_to_record(spark):
+    rows = [("alpha one", ["123456"]), ("alpha two", ["777777"]), ("beta three", ["123456"]), ("", None), ("lonely", None)]
+    records = spark.createDataFrame(rows, "name string, ids array<string>")
+    walks = random_walks(records).collect()
+    assert len(walks) == 12 and all(len(w.bags) == 3 and len(w.attrs) == len(w.meets) == 2 for w in walks)
+    for w in walks:
+        for k, (attr, meet) in enumerate(zip(w.attrs, w.meets)):
+            assert meet in w.bags[k].split() and meet in w.bags[k + 1].split() and attr == ("@identifier" if meet.isdigit() else "@name")
+    assert any(w.bags[0] != w.bags[1] for w in walks)
+
+
+def test_a_word_that_too_many_bear(spark):
+    """No recall is lost where one core word stands in most names: its records meet at pairs of words or the whole core."""
+    right = spark.createDataFrame([(i, f"ulmis {_word()}x{i} holdings", None) for i in range(60)], "firm_id long, name string, cik string")
+    left = right.select(F.col("firm_id").alias("entry_id"), F.upper("name").alias("name"), "cik")
+    got = match_records(left, "entry_id", "name", ["cik"], right, "firm_id", "name", ["cik"])
+    assert sorted((r.entry_id, r.firm_id) for r in got.collect()) == [(i, i) for i in range(60)]
+
+
 def test_empty(spark, tables):
     left, right, _ = tables
     ids = ["cik", "file_no", "crd"]
@@ -72,6 +99,7 @@ def test_name_levels():
     assert level("selnal yoror", "selnal yoror private bank") == 0.5
     assert level("selnal yoror private", "selnal yoror private bank") == 0.9
     assert level("selnal yoror fund services", "selnal yoror private bank") == 0
+    assert level("selnal yoror limited liability co", "selnal yoror llc") == 1 and level("selnal yoror trust co", "selnal yoror") == 0
     assert level("selnal yoror /adv", "selnal yoror") == 1 and name_words("a bc - ny")[1] == "ny"
 
 
@@ -83,7 +111,7 @@ def test_skip_gram_learns_and_stays_finite():
     at = r.integers(0, 4, 40_000)
     net.train(net.ids([pairs[k][0] for k in at]), net.ids([pairs[k][1] for k in at]))
     assert np.isfinite(net.v).all() and np.isfinite(net.c).all()
-    v = lambda w: net.v[net.grams[net.known[w]]].sum(0) / net.size[net.known[w]]
+    v = net.vector
     cos = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
     assert cos(v("private"), v("pvt")) > cos(v("private"), v("fund")) + 0.2
 
