@@ -175,6 +175,35 @@ def bm25(docs: DataFrame, doc_id: str, text: str, query: list[str], k: int, k1:
     return found.select(doc_id, F.round(score, 6).alias("score")).orderBy(F.desc("score"), doc_id).limit(k)
 
 
+def build_index(docs: DataFrame, doc_id: str, text: str, path: str, parts: int = 64) -> None:
+    """Writes an inverted index: a posting (term, document, count, document's words) a pair, by hash of the term.
+
+    Texts are read and split once, counts are combined map-side, and a search reads the parts of its words only.
+    """
+    split = docs.select(F.col(doc_id).alias("doc"), all_tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    split.select("doc", F.size("_t").alias("n")).write.mode("overwrite").parquet(f"{path}/lengths")
+    each = split.select("doc", F.size("_t").alias("n"), F.explode("_t").alias("term"))
+    postings = each.groupBy("doc", "n", "term").agg(F.count("*").cast("int").alias("tf")).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
+    postings.repartition("part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+
+
+def search_index(spark, path: str, doc_id: str, query: list[str], k: int, k1: float = 1.2, b: float = 0.75, every: bool = False, parts: int = 64) -> DataFrame:
+    """(doc_id, score): what ``bm25`` finds, from an index that ``build_index`` wrote."""
+    words = [w.lower() for w in dict.fromkeys(query)]
+    asked = spark.createDataFrame([(w,) for w in words], "term string").withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
+    where = sorted({r.part for r in asked.collect()})
+    hits = spark.read.parquet(f"{path}/postings").filter(F.col("part").isin(where) & F.col("term").isin(words))
+    stats = spark.read.parquet(f"{path}/lengths").agg(F.count("*").alias("_docs"), F.avg("n").alias("_avg"))
+    held = hits.groupBy("term").agg(F.count("*").alias("_df"))  # one row a word of the query
+    rows = hits.join(F.broadcast(held), "term").crossJoin(F.broadcast(stats))
+    f = F.col("tf").cast("double")
+    idf = F.log(1 + (F.col("_docs") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
+    part = idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("n") / F.col("_avg")))
+    scored = rows.groupBy("doc").agg(F.sum(part).alias("s"), F.count("*").alias("m"))
+    kept = scored.filter(F.col("m") == len(words)) if every else scored
+    return kept.select(F.col("doc").alias(doc_id), F.round("s", 6).alias("score")).orderBy(F.desc("score"), doc_id).limit(k)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays up to the shorter one's length; 0 if either has no length."""
     n = F.least(F.size(a), F.size(b))

@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from finstrata.core.tables import checkpoint_dir
+
 # Fields, the headings they are known to bear, and what their cells look like.
 FIELDS = {
     "accession_number": (["accessionnumber", "accn", "filingaccession", "submissionref"], r"\d{10}-\d{2}-\d{6}"),
@@ -63,12 +65,6 @@ def type_of(cell: Column) -> Column:
     return F.when(cell.rlike(r"^(0|[1-9]\d*)$"), 0).when(cell.rlike(r"^\d+\.\d+$"), 1).otherwise(2)
 
 
-def column_types() -> Column:
-    """A column's type over its cells: integer or decimal only if all its cells are."""
-    t = type_of(F.col("cell"))
-    return F.when(F.min(t) == F.max(t), F.min(t)).otherwise(F.lit(len(TYPES) - 1)).alias("type")
-
-
 def shape_of(cell: Column) -> Column:
     """What a cell looks like: digits as 9, letters as a, words as w; a number without padding and fraction.
 
@@ -92,9 +88,13 @@ def placed_columns(files: DataFrame, lines: DataFrame, fields: dict = FIELDS) ->
     filled cells has no type.
     """
     names = list(fields)
-    fits = [F.avg(F.col("cell").rlike(f"^(?:{pattern})$").cast("double")).alias(f) for f, (_, pattern) in fields.items()]
-    filled = cells(lines)
-    content = filled.groupBy("file_id", "pos").agg(column_types(), *fits)
+    fits = [F.count_if(F.col("cell").rlike(f"^(?:{pattern})$")).alias(f) for f, (_, pattern) in fields.items()]
+    kinds = [F.min(type_of(F.col("cell"))).alias("least"), F.max(type_of(F.col("cell"))).alias("most")]
+    # lines are read once: what is asked of them fits in a few rows a column, which are cut off here
+    checkpoint_dir(files.sparkSession)
+    shapes = cells(lines).groupBy("file_id", "pos", shape_of(F.col("cell")).alias("shape")).agg(F.count("*").alias("n"), *kinds, *fits).checkpoint()
+    whole = F.when(F.min("least") == F.max("most"), F.min("least")).otherwise(F.lit(len(TYPES) - 1)).alias("type")
+    content = shapes.groupBy("file_id", "pos").agg(whole, *[(F.sum(f) / F.sum("n")).alias(f) for f in fields])
     heads = headings(files).join(content, ["file_id", "pos"], "left")
     named = reduce(
         lambda acc, f: F.when(F.col("heading").isin(fields[f][0]), F.lit(f)).otherwise(acc), names, F.lit(None).cast("string")
@@ -106,7 +106,7 @@ def placed_columns(files: DataFrame, lines: DataFrame, fields: dict = FIELDS) ->
     by_heading = F.when(named.isNotNull() & (own.isNull() | (own >= 1 - FITS) | alike.isNull()), named)
     placed = heads.select("file_id", "pos", "heading", "type", by_heading.alias("named"), alike.alias("alike"))
 
-    shapes = filled.groupBy("file_id", "pos", shape_of(F.col("cell")).alias("shape")).agg(F.count("*").alias("n"))
+    shapes = shapes.select("file_id", "pos", "shape", "n")
     known = placed.filter(F.col("named").isNotNull()).select("file_id", "pos", F.col("named").alias("field"))
     seen = shapes.join(known, ["file_id", "pos"]).groupBy("field", "shape").agg(F.sum("n").alias("m"))
     total = F.sum("m").over(Window.partitionBy("field"))

@@ -32,6 +32,8 @@ SCALES = {
     1_000_000_000: ["billion", "billions", "bn"],
 }
 LETTERS = {1_000: ["k", "t"], 1_000_000: ["m"]}
+#: Parts into which the rows of one pair of texts are cut for the join with what the texts say.
+SALTS = 16
 
 
 def _any(words: list[str]) -> str:
@@ -71,9 +73,11 @@ def named_units(rows: DataFrame, unit: Column, caption: Column) -> DataFrame:
     where neither names one or the unit is of another kind.
     """
     rows = rows.drop("currency", "scale").withColumns({"_u": F.coalesce(unit, F.lit("")), "_c": F.coalesce(caption, F.lit(""))})
-    # texts repeat from row to row: each pair is read once, the rows look it up
+    # texts repeat from row to row: each pair is read once, the rows look it up; salted, as most bear the same few
+    given = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
     texts = rows.select("_u", "_c").distinct().select("*", *_read_texts(F.col("_u"), F.col("_c")))
-    return rows.join(texts, ["_u", "_c"]).drop("_u", "_c")
+    spread = texts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return given.join(spread, ["_u", "_c", "_salt"]).drop("_u", "_c", "_salt")
 
 
 def _read_texts(unit: Column, caption: Column) -> list[Column]:

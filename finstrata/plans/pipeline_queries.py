@@ -298,14 +298,28 @@ def p7_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.unified_table(table(spark, d, "othermanager_archive_file"), table(spark, d, "othermanager_archive_line"))
 
 
+def p7_table_text(spark: SparkSession, d: str) -> DataFrame:
+    """All archived lines with their cells as written."""
+    files, lines = table(spark, d, "othermanager_archive_file"), table(spark, d, "othermanager_archive_line")
+    return drift.unified_table(files, lines, {f: "text" for f in drift.NAMES})
+
+
+def p7_union_types(spark: SparkSession, d: str) -> DataFrame:
+    """Each field's type in the union schema."""
+    placed = drift.placed_columns(table(spark, d, "othermanager_archive_file"), table(spark, d, "othermanager_archive_line"))
+    return spark.createDataFrame(list(drift.union_types(placed).items()), "field_name string, type string")
+
+
 P7B_SQL = P7_SQL[: P7_SQL.index("t AS (SELECT")].replace("c AS (SELECT file_id, trim", "c AS (SELECT file_id, line_no, trim") + "SELECT file_id, line_no, " + ", ".join(
     f"max(CASE WHEN field = '{f}' THEN cell END) AS {f}" for f in drift.NAMES
 ) + " FROM c JOIN f USING (file_id, pos) WHERE cell <> '' AND field IS NOT NULL GROUP BY 1, 2"
+P7C_SQL = P7_SQL[: P7_SQL.index("p AS (SELECT")].rstrip().rstrip(",") + """
+SELECT field AS field_name, CASE WHEN bool_or(type = 'text') THEN 'text' WHEN bool_or(type = 'decimal') THEN 'decimal' WHEN bool_or(type = 'integer') THEN 'integer' ELSE 'text' END AS type FROM l GROUP BY 1"""
 
 
 QUERIES = {
     "p1_found": p1_found, "p2_found": p2_found, "p2_flags": p2_flags, "p3_found": p3_found, "p3_ledger": p3_ledger,
     "p4_found": p4_found, "p4_solutions": p4_solutions, "p4_scale_by_series": p4_scale_by_series, "p6_found": p6_found, "p6_share_of_class": p6_share_of_class,
-    "p7_found": p7_found, "p7_table": p7_table,
+    "p7_found": p7_found, "p7_table": p7_table, "p7_table_text": p7_table_text, "p7_union_types": p7_union_types,
 }
-ORACLES = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_flags": P2B_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL, "p7_table": P7B_SQL, "p4_solutions": P4B_SQL, "p4_scale_by_series": P4C_SQL, "p3_found": P3_SQL, "p3_ledger": P3B_SQL, "p6_found": P6_SQL, "p6_share_of_class": P6B_SQL}
+ORACLES = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_flags": P2B_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL, "p7_table_text": P7B_SQL, "p7_union_types": P7C_SQL, "p4_solutions": P4B_SQL, "p4_scale_by_series": P4C_SQL, "p3_found": P3_SQL, "p3_ledger": P3B_SQL, "p6_found": P6_SQL, "p6_share_of_class": P6B_SQL}
