@@ -15,7 +15,7 @@
    (128 more planes) differ too much to be near are left out at once. Records that share an identifier
    or a telling word (adjacent words without their blank too) meet by equality: at the token where at
    most ``OFTEN`` right records bear it, else at pairs of such tokens, else at the whole core of the name.
-   Crowded buckets are salted.
+   Buckets hold distinct names and are salted.
 5. Rerank. Candidates are compared exactly: identifiers that agree, and names word by word
    (abbreviations, one slip of the pen a word, a lost or added blank, cut ends, any order). The record that most of the
    evidence supports is the match if no other has as much.
@@ -45,14 +45,15 @@ from finstrata.llm.lookalike import plain_form
 BUCKETS = 1 << 15  # rows of the n-gram table
 DIM = 32
 MEET = 128  # records that can meet at one salt of a token
-WALKS, STEPS = 3, 3  # walks from each record, and records on each
+WALKS, STEPS = 2, 3  # walks from each record, and records on each
 NEGATIVES = 4
 TABLES = 24
 WALKERS = 4000  # records for which one more partition trains
 PROBES = 3  # buckets across the narrowest planes that the left side looks into
 SKETCH_APART = 40  # of the 128 bits of two sketches; at a cosine of 0.55 they differ in 40 on average
 OFTEN = 32  # right records that may meet at one token
-SALT = 256  # left records in a crowded bucket that one task's share holds
+SALTS = 4  # parts into which the left records of a bucket are cut
+NEAR = 0.6  # cosine from which names that share no token are compared
 CALIBRATION = 20_000
 #: A word is common if one record in so many bears it (and at least COMMON_LEAST do).
 COMMON_SHARE = 200
@@ -261,7 +262,8 @@ def random_walks(records: DataFrame) -> DataFrame:
                             out[c].append(v)
             yield pa.record_batch({c: pa.array(v, pa.int64() if c == "rec" else pa.string()) for c, v in out.items()})
 
-    tied = records.select("name", "ids").mapInArrow(nodes, "rec bigint, attr string, tok string, bag string").dropDuplicates(["rec", "attr", "tok"])
+    checkpoint_dir(records.sparkSession)
+    tied = records.select("name", "ids").mapInArrow(nodes, "rec bigint, attr string, tok string, bag string").dropDuplicates(["rec", "attr", "tok"]).checkpoint()
     sizes = tied.groupBy("tok").agg(F.count("*").alias("n"))
     salted = tied.join(sizes, "tok").withColumn("salt", F.pmod(F.xxhash64("rec", "tok"), F.ceil(F.col("n") / MEET)).cast("int"))
     group = Window.partitionBy("tok", "salt")
@@ -270,7 +272,7 @@ def random_walks(records: DataFrame) -> DataFrame:
     # a draw by weight 1 / n: the least of exponential waiting times
     wait = lambda k: F.log((F.pmod(F.xxhash64("rec", "tok", F.lit(k)), F.lit(1 << 30)) + 1) / float(1 << 30)) * -F.col("n")
     draws = [F.min_by(F.struct("attr", "tok", "next"), F.struct(wait(k), F.col("tok"))).alias(f"d{k}") for k in range(WALKS * (STEPS - 1))]
-    drawn = near.groupBy("rec").agg(F.first("bag").alias("bag"), *draws)
+    drawn = near.groupBy("rec").agg(F.first("bag").alias("bag"), *draws).checkpoint()  # each step joins it again
     at = lambda w, k: f"d{w * (STEPS - 1) + k}"
     steps = drawn.select("rec", F.posexplode(F.array(*[F.struct("bag", F.array(*[F.col(at(w, k)) for k in range(STEPS - 1)]).alias("go")) for w in range(WALKS)])).alias("walk", "s")).select("rec", "walk", "s.bag", "s.go")
     # the walk stands at ``stand``; each further record brings its own draw for its place on the walk
@@ -384,13 +386,15 @@ def _tokens(df: DataFrame, model) -> DataFrame:
 
 
 def _candidates(signatures: DataFrame, rs: DataFrame, model, bits: int) -> DataFrame:
-    """(lid, rid): pairs that meet in a bucket and whose sketches are near, or that share a token."""
-    lk = _bucket_keys(signatures, model, bits, PROBES).withColumnsRenamed({"rid": "lid", "s0": "t0", "s1": "t1"})
-    rk = _bucket_keys(rs, model, bits, 0)
-    salts = lk.groupBy("tab", "key").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts")).filter(F.col("salts") > 1)
-    mine = lk.join(salts, ["tab", "key"], "left").withColumn("salt", F.pmod(F.xxhash64("lid"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    theirs = rk.join(salts, ["tab", "key"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    near = mine.join(theirs, ["tab", "key", "salt"]).filter(F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) <= SKETCH_APART).select("lid", "rid")
+    """(lid, rid, shared): pairs that meet in a bucket and whose sketches are near, or that share a token."""
+    # buckets hold names, not records: a name that many records bear is looked up once
+    names = lambda df: df.select(F.xxhash64("name").alias("rid"), "name").filter(F.col("name") != "").dropDuplicates(["rid"]).repartition(shuffle_partitions(df.sparkSession))
+    lk = _bucket_keys(names(signatures), model, bits, PROBES).withColumnsRenamed({"rid": "ln", "s0": "t0", "s1": "t1"}).withColumn("salt", F.pmod("ln", F.lit(SALTS)).cast("int"))
+    rk = _bucket_keys(names(rs), model, bits, 0).withColumnRenamed("rid", "rn").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("t1")))
+    near = lk.join(rk, ["tab", "key", "salt"]).filter(apart <= SKETCH_APART).select("ln", "rn").distinct()
+    bearers = lambda df, key, name: df.select(F.col("rid").alias(key), F.xxhash64("name").alias(name))
+    near = near.join(bearers(signatures, "lid", "ln"), "ln").join(bearers(rs, "rid", "rn"), "rn").select("lid", "rid")
 
     lt, rt = _tokens(signatures, model).withColumnRenamed("rid", "lid"), _tokens(rs, model)
     one = lambda df, key: df.select(key, F.explode("toks").alias("tok"))
@@ -409,7 +413,8 @@ def _candidates(signatures: DataFrame, rs: DataFrame, model, bits: int) -> DataF
     held = rp.groupBy("two").agg(F.count("*").alias("n"))
     by_pair = pairs(lt, "lid").join(rp.join(held.filter(F.col("n") <= OFTEN), "two"), "two").select("lid", "rid")
     by_core = lt.filter(F.col("core") != "").join(rt, "core").select("lid", "rid")
-    return near.unionByName(by_token).unionByName(by_pair).unionByName(by_core).distinct()
+    told = by_token.unionByName(by_pair).unionByName(by_core).withColumn("shared", F.lit(True))
+    return near.withColumn("shared", F.lit(False)).unionByName(told).groupBy("lid", "rid").agg(F.bool_or("shared").alias("shared"))
 
 
 def _one_slip(a: str, b: str) -> bool:
@@ -500,17 +505,20 @@ def name_level(left: list[str], right: list[str], kinds) -> float:
 
 
 def _compare(pairs: DataFrame, model) -> DataFrame:
-    """Candidates with their evidence: identifiers that agree, name level, cosine."""
+    """Candidates with their evidence: identifiers that agree, name level, cosine. Names that share no token
+    and aren't near by their vectors themselves (sketches only guess) are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        vecs: dict[str, np.ndarray | None] = {}
+        vecs: dict[str, np.ndarray] = {}
         parts: dict[str, tuple[list[str], str]] = {}
 
-        def vec(k: str):
-            if k not in vecs:
-                vecs[k] = m.name(k)
-            return vecs[k]
+        def vec(k: str) -> np.ndarray:
+            got = vecs.get(k)
+            if got is None:
+                x = m.name(k)
+                got = vecs[k] = np.zeros(DIM) if x is None else x
+            return got
 
         def words(k: str):
             if k not in parts:
@@ -518,23 +526,26 @@ def _compare(pairs: DataFrame, model) -> DataFrame:
             return parts[k]
 
         for b in batches:
-            ln, rn, li, ri = (b.column(c).to_pylist() for c in ("lname", "rname", "lids", "rids"))
-            place = b.column("place").to_pylist()
-            agree, level, cos, here, first = [], [], [], [], []
-            for a, c, x, y, p in zip(ln, rn, li, ri, place):
-                (lw, lp), (rw, _) = words(a), words(c)
+            if not b.num_rows:
+                continue
+            ln, rn = b.column("lname").to_pylist(), b.column("rname").to_pylist()
+            cos = np.einsum("ij,ij->i", np.stack([vec(k) for k in ln]), np.stack([vec(k) for k in rn]))
+            at = np.flatnonzero(b.column("shared").to_numpy(zero_copy_only=False) | (cos >= NEAR))
+            b = b.take(pa.array(at))
+            li, ri, place = (b.column(c).to_pylist() for c in ("lids", "rids", "place"))
+            agree, level, here, first = [], [], [], []
+            for k, x, y, p in zip(at.tolist(), li, ri, place):
+                (lw, lp), (rw, _) = words(ln[k]), words(rn[k])
                 agree.append(len(set(x or ()) & set(y or ())))
                 first.append(x[0] in (y or ()) if x else None)
                 level.append(name_level(lw, rw, m.kinds))
-                u, v = vec(a), vec(c)
-                cos.append(float(u @ v) if u is not None and v is not None else 0.0)
                 here.append(bool(lp and p and lp == p.lower()))
             if len(vecs) > 200_000:
                 vecs.clear()
                 parts.clear()
             yield pa.record_batch({
                 "lid": b.column("lid"), "rid": b.column("rid"), "agree": pa.array(agree, pa.int32()), "told": pa.array([len(x or ()) for x in li], pa.int32()),
-                "level": pa.array(level, pa.float64()), "cosine": pa.array(cos, pa.float64()), "here": pa.array(here, pa.bool_()), "first": pa.array(first, pa.bool_()),
+                "level": pa.array(level, pa.float64()), "cosine": pa.array(cos[at], pa.float64()), "here": pa.array(here, pa.bool_()), "first": pa.array(first, pa.bool_()),
             })
 
     kind = dict(pairs.dtypes)["rid"]
@@ -607,7 +618,10 @@ def scored_candidates(
     ).filter(F.col("rid").isNotNull()).dropDuplicates(["rid"])
     ls = left.select(F.col(left_id).alias("_left"), name_key(F.col(left_name)).alias("name"), ids(left_ids).alias("ids")).filter(F.col("_left").isNotNull())
     ls = ls.withColumn("rid", F.md5(F.concat_ws("|", "name", F.array_join("ids", ","))))
-    signatures = ls.groupBy("rid").agg(F.first("name").alias("name"), F.first("ids").alias("ids"))
+    # names are folded once: both sides are used by every step that follows
+    checkpoint_dir(spark)
+    ls, rs = ls.checkpoint(), rs.checkpoint()
+    signatures = ls.groupBy("rid").agg(F.first("name").alias("name"), F.first("ids").alias("ids")).checkpoint()
     both = signatures.select("name", "ids").unionByName(rs.select("name", "ids"))
     n_right, n_both = rs.count(), both.count()
     kinds = frozenset(_frequent_words(rs, max(n_right / KIND_SHARE, KIND_LEAST)))
@@ -617,7 +631,7 @@ def scored_candidates(
         _candidates(signatures, rs, model, bits)
         .join(signatures.select(F.col("rid").alias("lid"), F.col("name").alias("lname"), F.col("ids").alias("lids")), "lid")
         .join(rs.select("rid", F.col("name").alias("rname"), F.col("ids").alias("rids"), "place"), "rid")
-        .select("lid", "rid", "lname", "rname", "lids", "rids", "place")
+        .select("lid", "rid", "shared", "lname", "rname", "lids", "rids", "place")
     )
     return ls, _compare(full, model).filter((F.col("agree") > 0) | (F.col("level") > 0) | (F.col("cosine") > 0.5))
 

@@ -27,19 +27,25 @@ MERGED = 32
 _ITEMS = "array<struct<doc_id:bigint,part:int,n_tokens:int,first_token:int>>"
 _ITEM = pa.struct([("doc_id", pa.int64()), ("part", pa.int32()), ("n_tokens", pa.int32()), ("first_token", pa.int32())])
 
-_encoders: dict[str, object] = {}
+_encoders: dict[tuple, object] = {}
 
 
-def encoder(path: str):
-    """A byte-level BPE from a rank file; loaded once in each Python worker."""
-    if path not in _encoders:
-        import public_tokenizers
+def encoder(path: str, pattern: str | None = None):
+    """A byte-level BPE from a rank file, with the pattern that cuts text before it; loaded once in each Python worker.
+
+    Without a pattern it is the one that comes with the public tokenizers' files.
+    """
+    if (path, pattern) not in _encoders:
         import tiktoken
 
+        if pattern is None:
+            from public_tokenizers import PATTERN as cut
+        else:
+            cut = pattern
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path]
+        _encoders[path, pattern] = tiktoken.Encoding("own", pat_str=cut, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[path, pattern]
 
 
 class Packer:
@@ -77,7 +83,7 @@ class Packer:
 
 def pack(
     docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, open_containers: int = OPEN,
-    doc_id: str = "doc_id", text: str = "text",
+    doc_id: str = "doc_id", text: str = "text", pattern: str | None = None,
 ) -> DataFrame:
     """(container_id, doc_id, part, n_tokens, first_token): each text's place.
 
@@ -89,7 +95,7 @@ def pack(
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, pattern)
         packer, me = Packer(capacity, open_containers), TaskContext.get().partitionId()
         group, n, out = me // MERGED, 0, []
 
@@ -153,3 +159,13 @@ def pack(
     # the leftovers with least room first: the large ones are placed while there is most choice
     merged = filled.repartition(spread).sortWithinPartitions("room")
     return merged.mapInArrow(second, "container_id bigint, doc_id bigint, part int, n_tokens int, first_token int")
+
+
+def packing_report(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: documents, containers, tokens, the fullest container, texts split without need, and share filled."""
+    boxes = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("fill"))
+    docs = placed.groupBy("doc_id").agg(F.sum("n_tokens").alias("size"), F.max("part").alias("last"), F.count("*").alias("parts"))
+    split = (F.col("parts") > 1) & (F.col("size") <= capacity)
+    whole = docs.agg(F.count("*").alias("documents"), F.sum("size").alias("tokens"), F.count_if(split).alias("split_without_need"))
+    full = boxes.agg(F.count("*").alias("containers"), F.max("fill").alias("fullest"))
+    return whole.crossJoin(full).withColumn("filled", F.col("tokens") / (F.col("containers") * capacity))

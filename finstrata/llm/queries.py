@@ -31,6 +31,20 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), TOKENIZER)
 
 
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the containers keep their promises: all texts placed, none split without need, none overfull, hardly a gap."""
+    r = packing.packing_report(p8_containers(spark, d))
+    # all but the last container of each of at most 1000 partitions' merges can be nearly full
+    least = F.ceil(F.col("tokens") / packing.CAPACITY)
+    return r.select("documents", "split_without_need", (F.col("fullest") <= packing.CAPACITY).alias("none_overfull"), (F.col("containers") <= least * 1.02 + 64).alias("nearly_least"))
+
+
+def p9_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold twelve successive words of an item to the letter (in one form of characters)."""
+    got = leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_item"), words_an_edit=1 << 30)
+    return got.select("doc_id", "item_id")
+
+
 def p9_passages(spark: SparkSession, d: str) -> DataFrame:
     """Documents with the items they give away, the words of the longest passage and its edits."""
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_item"))
@@ -51,20 +65,39 @@ def p10_one_form(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p5_found": p5_found, "p5_matches": p5_matches, "p8_containers": p8_containers, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found,
+    "p5_found": p5_found, "p5_matches": p5_matches, "p8_containers": p8_containers, "p8_report": p8_report, "p9_exact": p9_exact, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found,
     "p10_one_form": p10_one_form,
 }
 
-def _p10_sql() -> str:
-    """The same pairs by another way: characters mapped, then NFC, compared as they are."""
+def _form_sql() -> tuple[str, str]:
+    """SQL of the form of a text, characters mapped, and the characters that are dropped from it."""
     pairs = {a: b for a, b in lookalike.character_map().items() if b}
     gone = "".join(f"\\x{{{ord(a):X}}}" for a, b in lookalike.character_map().items() if not b and ord(a) < 0x10000)
     form = "text"
     for a, b in lookalike.LIGATURES.items():
         form = f"replace({form}, '{a}', '{b}')"
-    form = f"translate({form}, '{''.join(pairs)}', '{''.join(x.replace(chr(39), chr(39) * 2) for x in pairs.values())}')"
-    return f"""WITH n AS (SELECT doc_id, text, nfc_normalize(regexp_replace({form}, '[{gone}]', '', 'g')) AS look FROM documents WHERE text IS NOT NULL)
+    return f"translate({form}, '{''.join(pairs)}', '{''.join(x.replace(chr(39), chr(39) * 2) for x in pairs.values())}')", gone
+
+
+_FORM, _GONE = _form_sql()
+# The same pairs by another way: characters mapped, then NFC, compared as they are.
+_LOOKS = f"n AS (SELECT *, nfc_normalize(form) AS look FROM (SELECT doc_id, text, regexp_replace({_FORM}, '[{_GONE}]', '', 'g') AS form FROM documents WHERE text IS NOT NULL))"
+P10_SQL = f"""WITH {_LOOKS}
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM n a JOIN n b ON a.look = b.look AND a.doc_id < b.doc_id WHERE a.text <> b.text"""
+P10B_SQL = f"""WITH {_LOOKS}, c AS (SELECT look, min(doc_id) AS canonical_id, arg_min(form, doc_id) AS form FROM n GROUP BY 1 HAVING count(DISTINCT text) > 1)
+SELECT doc_id, coalesce(c.canonical_id, n.doc_id) AS canonical_id, CAST(length(coalesce(c.form, n.form)) AS INT) AS n_chars, md5(coalesce(c.form, n.form)) AS form_md5 FROM n LEFT JOIN c USING (look)
+UNION ALL SELECT doc_id, doc_id, NULL, NULL FROM documents WHERE text IS NULL"""
+P8_SQL = "SELECT count(DISTINCT doc_id) AS documents, CAST(0 AS BIGINT) AS split_without_need, true AS none_overfull, true AS nearly_least FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL"
+# Every run of twelve words of every text, compared as they are.
+_BARE = "regexp_replace(regexp_replace(lower(strip_accents(look)), '([0-9])[.,'']([0-9])', '\\1\\2', 'g'), '([0-9])[.,'']([0-9])', '\\1\\2', 'g')"
+
+
+def _runs_sql(name: str, key: str, source: str) -> str:
+    looks = _LOOKS.replace("n AS (", f"{name}_n AS (").replace("doc_id", key).replace("FROM documents", f"FROM {source}")
+    return f"""{looks}, {name}_w AS (SELECT {key}, regexp_extract_all({_BARE}, '[\\p{{L}}\\p{{N}}]+') AS w FROM {name}_n),
+{name} AS (SELECT DISTINCT {key}, array_to_string(w[i : i + 11], ' ') AS run FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM {name}_w WHERE len(w) >= 12))"""
+
 
+P9_SQL = f"WITH {_runs_sql('d', 'doc_id', 'documents')}, {_runs_sql('i', 'item_id', 'eval_item')} SELECT DISTINCT d.doc_id, i.item_id FROM d JOIN i USING (run)"
 
-ORACLES: dict[str, str] = {"p10_found": _p10_sql()}
+ORACLES: dict[str, str] = {"p10_found": P10_SQL, "p10_one_form": P10B_SQL, "p8_report": P8_SQL, "p9_exact": P9_SQL}
