@@ -213,10 +213,27 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(x, y) / norm).otherwise(F.lit(0.0))
 
 
+def _total(terms: list[Column]) -> Column:
+    """The sum of columns as a tree of even depth."""
+    while len(terms) > 1:
+        terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + terms[len(terms) & ~1 :]
+    return terms[0]
+
+
+def _cosine_to(v: Column, query: list[float], most: int = 512) -> Column:
+    """``cosine`` with a given vector: written out term by term, which compiles, unless it is very long or v is shorter."""
+    slow = cosine(v, F.array(*[F.lit(float(x)) for x in query]))
+    if not 0 < len(query) <= most:
+        return slow
+    at = [F.get(v, F.lit(i)).cast("double") for i in range(len(query))]
+    norm = F.sqrt(_total([x * x for x in at])) * float(sum(x * x for x in query)) ** 0.5
+    dot = _total([x * float(q) for x, q in zip(at, query)])
+    return F.when(F.size(v) >= len(query), F.when(norm > 0, dot / norm).otherwise(F.lit(0.0))).otherwise(slow)
+
+
 def nearest(vectors: DataFrame, vec_id: str, vector: str, query: list[float], k: int, least: float | None = None) -> DataFrame:
     """(vec_id, similarity): the k vectors nearest by cosine; exact, one pass, top-k by partition."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    scored = vectors.select(vec_id, F.round(cosine(F.col(vector), q), 6).alias("similarity"))
+    scored = vectors.select(vec_id, F.round(_cosine_to(F.col(vector), query), 6).alias("similarity"))
     if least is not None:
         scored = scored.filter(F.col("similarity") >= least)
     return scored.orderBy(F.desc("similarity"), vec_id).limit(k)

@@ -257,7 +257,19 @@ def fn_settlement_cycle(spark, d):
     return c.select(day("settlement").alias("settlement"), day("due").alias("due"), day("published").alias("published"))
 
 
-@query()
+# What Python takes for a blank, as a class of characters.
+_WS = r"\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_LAST = "CASE WHEN {0} + 1024 >= n THEN n ELSE coalesce(list_max(list_filter(ends, lambda x: x >= greatest({0} + 896, {0} + 1) AND x < {0} + 1024)) + 1, {0} + 1024) END"
+
+
+@query(rf"""WITH RECURSIVE t AS (SELECT doc_id, text, regexp_extract_all(text, '[^{_WS}]+') AS w, regexp_extract_all(text, '[{_WS}]+') AS s, regexp_matches(text, '^[{_WS}]') AS lead FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i, s, lead FROM t WHERE len(w) > 0),
+p AS (SELECT doc_id, n, i, word, coalesce(sum(length(word)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + coalesce(sum(length(gap)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS a
+ FROM (SELECT *, CASE WHEN lead THEN s[i + 1] WHEN i > 0 THEN s[i] END AS gap FROM u)),
+e AS (SELECT doc_id, any_value(n) AS n, list(i) FILTER (WHERE regexp_matches(word, '[.!?]["'')\]]*$')) AS ends FROM p GROUP BY 1),
+r AS (SELECT doc_id, 0 AS chunk, CAST(0 AS BIGINT) AS first, {_LAST.format('0')} AS last, n, ends FROM e UNION ALL SELECT doc_id, chunk + 1, f, {_LAST.format('f')}, n, ends FROM (SELECT *, greatest(last - 128, first + 1) AS f FROM r WHERE last < n))
+SELECT r.doc_id, CAST(chunk AS INT) AS chunk, CAST(x.a AS INT) AS start_char, CAST(y.a + length(y.word) AS INT) AS end_char, CAST(1 + length(left(t.text, CAST(x.a AS BIGINT))) - length(replace(left(t.text, CAST(x.a AS BIGINT)), chr(10), '')) AS INT) AS start_line,
+ CAST(last - first AS INT) AS n_tokens, CAST(y.a + length(y.word) - x.a AS INT) AS n_chars FROM r JOIN t USING (doc_id) JOIN p x ON x.doc_id = r.doc_id AND x.i = r.first JOIN p y ON y.doc_id = r.doc_id AND y.i = r.last - 1""")
 def fn_token_windows(spark, d):
     """Windows of at most 1,024 words that end with a sentence where they can, over whole texts."""
     w = D.token_windows(table(spark, d, "documents"), "doc_id", "text")

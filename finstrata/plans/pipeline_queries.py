@@ -22,7 +22,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     revenue = known_at.known_intervals(
         rows, ["common_stock_id", "member"], "filed_date", [F.col("period_end"), F.col("filed_date")], "revenue_row_id"
     ).select("common_stock_id", F.lit("revenue").alias("fact_kind"), F.col("revenue_row_id").alias("fact_id"), "from_day", "to_day")
-    events = table(spark, d, "insider_transaction").select("transaction_id", "common_stock_id", "transaction_date").distinct()
+    events = table(spark, d, "insider_transaction").select("transaction_id", "common_stock_id", "transaction_date")  # redelivered ones go at the end
     joined = known_at.join_as_known(
         events, "transaction_date", ["common_stock_id"], counts.unionByName(revenue), ["fact_kind", "fact_id"],
         known_at.day_span((facts, "filed"), (rows, "filed_date")),

@@ -26,9 +26,11 @@ def windowed(stream: DataFrame, time: str, width: str, by: list[str], value: str
     return g.select(F.col("w.start").alias("window_start"), *by, "n", "total")
 
 
-def run_to_end(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
-    """Runs a stream over all that is there now into a Parquet folder, and stops."""
-    stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink).awaitTermination()
+def run_to_end(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> int:
+    """Runs a stream over all that is there now into a Parquet folder, and stops; tells how many rows came too late."""
+    query = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink)
+    query.awaitTermination()
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
 
 
 def sessions(events: DataFrame, by: list[str], time: str, gap: str) -> DataFrame:
