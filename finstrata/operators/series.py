@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from finstrata.core.scans import chunked_scan
 from finstrata.core.streams import stream_groups
-from finstrata.operators.known_at import day_number, join_as_known
+from finstrata.operators.known_at import day_number
 
 UNIT = 10_000
 
@@ -233,16 +234,25 @@ def smoothers(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return stream_groups(bars, keys, [order], fold, f"{head}, ema12 bigint, ema26 bigint, macd bigint, signal bigint, histogram bigint, rsi14 double, atr14 double")
 
 
-def as_of_join(events: DataFrame, prices: DataFrame, keys: list[str], at: str, date: str, value: str) -> DataFrame:
-    """Each event with the last value on or before its day, by ``known_at``'s dyadic nodes.
+def as_of_join(events: DataFrame, prices: DataFrame, keys: list[str], at: str, date: str, value: str, days: int = 64) -> DataFrame:
+    """Each event with the last value on or before its day: one union, scanned in chunks of ``days`` days.
 
-    A value holds until the key's next one; of several on a day the greatest counts. A hot key's events
-    spread over their days, so none is sorted in one task. An event without an earlier value, key or
-    time keeps a null. ``value`` must not be a column of ``events``.
+    No range join, and a hot key's rows are cut into chunks of time. Of several values on a day the greatest
+    counts. An event without an earlier value, key or time keeps a null. ``value`` must not be a column of ``events``.
     """
-    one = prices.filter(F.col(value).isNotNull() & F.col(date).isNotNull()).groupBy(*keys, day_number(F.col(date)).alias("from_day")).agg(F.max(value).alias(value))
-    held = one.withColumn("to_day", F.lead("from_day").over(Window.partitionBy(*keys).orderBy("from_day")))
-    return join_as_known(events, at, keys, held, [value], how="left")
+    kind = dict(prices.dtypes)[value]
+    whole = F.col(at).isNotNull()
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    row = F.struct(*events.columns)
+    left = events.filter(whole).select(*keys, day_number(F.col(at)).alias("_t"), F.lit(1).alias("_kind"), row.alias("_row"), F.lit(None).cast(kind).alias(value))
+    known = prices.filter(F.col(value).isNotNull() & F.col(date).isNotNull())
+    right = known.select(*keys, day_number(F.col(date)).alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), value)
+    both = chunked_scan(left.unionByName(right), keys, F.floor(F.col("_t") / days), ["_t", "_kind"], {
+        "_last": ("max_upto", F.when(F.col("_kind") == 0, F.struct(F.col("_t").alias("t"), F.col(value).alias("v")))),
+    })
+    found = both.filter(F.col("_kind") == 1).select("_row.*", F.col("_last")["v"].alias(value))
+    return found.unionByName(events.filter(~F.coalesce(whole, F.lit(False))).withColumn(value, F.lit(None).cast(kind)))
 
 
 def split_factor(rows: DataFrame, splits: DataFrame, key: str, as_of: str, row_id: str) -> DataFrame:

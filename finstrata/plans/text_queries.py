@@ -45,7 +45,7 @@ def _bm25_sql(every: bool) -> str:
 SELECT doc_id, round({part}, 6) AS score FROM c, s WHERE {keep} ORDER BY score DESC, doc_id LIMIT 50"""
 
 
-def _index(spark: SparkSession, d: str) -> str:
+def text_index(spark: SparkSession, d: str) -> str:
     """The inverted index of a directory's documents, written once a session in the shared folder."""
     known = spark.sparkContext.__dict__.setdefault("_finstrata_indexes", {})
     if d not in known:
@@ -57,12 +57,12 @@ def _index(spark: SparkSession, d: str) -> str:
 
 @query(_bm25_sql(True))
 def top_bm25_all_words(spark, d):
-    return T.search_index(spark, _index(spark, d), "doc_id", WORDS, 50, every=True)
+    return T.search_index(spark, text_index(spark, d), "doc_id", WORDS, 50, every=True)
 
 
 @query(_bm25_sql(False))
 def top_bm25_any_word(spark, d):
-    return T.search_index(spark, _index(spark, d), "doc_id", WORDS, 50)
+    return T.search_index(spark, text_index(spark, d), "doc_id", WORDS, 50)
 
 
 @query(_bm25_sql(False))
