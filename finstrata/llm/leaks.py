@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from finstrata.core.tables import checkpoint_dir
 from finstrata.llm.lookalike import LETTERS, LIGATURES, character_map
 
 WINDOW = 5
@@ -453,7 +454,9 @@ def leaked_items(
         items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter(F.col("i").isNotNull() & F.col("t").isNotNull())
         .groupBy("i").agg(F.max_by("t", F.struct(F.length("t"), "t")).alias("t"))
     )
-    windows = _windows(given, window)
+    # what is known of the items' words is used by several steps: cut here, so that texts are split once
+    checkpoint_dir(spark)
+    windows = _windows(given, window).checkpoint()
     keyed = _keyed(windows, radius)
     most = max(windows.filter(F.col("print").isNotNull()).count(), 1) * len(block_pairs(radius)) * BITS_A_KEY
     bits = max(6, (min(most, filter_bits) - 1).bit_length())
