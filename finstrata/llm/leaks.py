@@ -27,7 +27,7 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import reduce
-from itertools import accumulate, combinations, groupby
+from itertools import accumulate, combinations, groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -98,18 +98,17 @@ class Vocabulary:
         if len(self.ids) > self.most:  # bounded memory: ids only have to agree within one call
             self.ids.clear()
         ids = self.ids
-        out = [ids.get(w, -1) for w in ws]
-        for i, r in enumerate(out):
-            if r < 0:
-                w = ws[i]
-                r = ids.get(w)
-                if r is None:
-                    r = ids[w] = len(ids)
-                    if r >= len(self.hashes):
-                        self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-                    self.hashes[r] = word_hash(w)
-                out[i] = r
-        return np.array(out, dtype=np.int64)
+        out = np.fromiter(map(ids.get, ws, repeat(-1)), dtype=np.int64, count=len(ws))
+        for i in np.flatnonzero(out < 0).tolist():
+            w = ws[i]
+            r = ids.get(w)
+            if r is None:
+                r = ids[w] = len(ids)
+                if r >= len(self.hashes):
+                    self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+                self.hashes[r] = word_hash(w)
+            out[i] = r
+        return out
 
     def hashes_of(self, ws: list[str]) -> np.ndarray:
         rows = self.rows(ws)
