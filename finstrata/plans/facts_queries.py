@@ -11,6 +11,7 @@ from finstrata.functions import documents as D
 from finstrata.operators import facts as X
 from finstrata.operators import relational as R
 from finstrata.operators import series as S
+from finstrata.plans.pipeline_queries import USD_REVENUE, usd_revenue
 from finstrata.plans.series_queries import _SPLITS, _splits
 from finstrata.plans.text_queries import _SESS, _SESS_WIDE
 from finstrata.plans.views import BARS, CURRENT, HOLDINGS, PREVIOUS, bars, day, half_even_sql, holdings
@@ -30,13 +31,13 @@ def query(sql: str | None = None):
     return keep
 
 
-_REV = "(SELECT DISTINCT revenue_row_id, common_stock_id, axis, member, period_start, period_end, CAST(round(value) AS BIGINT) AS v, filed_date, fiscal_year FROM dimensional_revenue_row WHERE lower(unit) IN ('usd', 'iso4217:usd') AND (caption IS NULL OR caption NOT SIMILAR TO '.*(thousand|million|billion|mio|thds|mn|000).*'))"
+_REV = USD_REVENUE
 
 
 def _revenue(spark, d):
-    r = table(spark, d, "dimensional_revenue_row").filter(F.lower("unit").isin("usd", "iso4217:usd"))
-    r = r.filter(F.col("caption").isNull() | ~F.col("caption").rlike("(thousand|million|billion|mio|thds|mn|000)"))
-    return r.select("revenue_row_id", "common_stock_id", "axis", "member", "period_start", "period_end", F.round("value", 0).cast("bigint").alias("v"), "filed_date", "fiscal_year").distinct()
+    """All revenue rows of money in whole US dollars, each once."""
+    cols = ["revenue_row_id", "common_stock_id", "axis", "member", "period_start", "period_end", "filed_date", "fiscal_year"]
+    return usd_revenue(spark, d, *cols).select(*cols, F.col("amount_usd").alias("v")).distinct()
 
 
 @query(f"""SELECT common_stock_id, member, revenue_row_id, v FROM (SELECT *, row_number() OVER (PARTITION BY common_stock_id, member ORDER BY period_end DESC, CASE axis WHEN 'srt:StatementGeographicalAxis' THEN 1 WHEN 'srt:ProductOrServiceAxis' THEN 2 ELSE 3 END, filed_date DESC NULLS LAST, revenue_row_id DESC) AS rn

@@ -176,16 +176,18 @@ def p4_scale_by_series(spark: SparkSession, d: str) -> DataFrame:
     return solved.select("revenue_row_id", "said", F.round("residual", 4).alias("residual"), "solutions", "factor", (F.col("factor") == F.col("said")).alias("agrees"))
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
+def usd_revenue(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """All revenue rows of money with ``currency``, ``scale`` and ``amount_usd``, beside the columns asked for."""
     rates = units.rate_periods(table(spark, d, "fred_observation"), "currency", "obs_date", "value")
-    rows = table(spark, d, "dimensional_revenue_row").select("revenue_row_id", "period_end", "value", "unit", "caption")
-    named = units.named_units(rows, F.col("unit"), F.col("caption")).filter(
-        F.col("currency").isNotNull() & F.col("value").isNotNull() & ~((F.col("currency") == "USD") & (F.col("scale") == 1))
-    )
+    rows = table(spark, d, "dimensional_revenue_row").select(*dict.fromkeys(["revenue_row_id", "period_end", "value", "unit", "caption", *columns]))
+    named = units.named_units(rows, F.col("unit"), F.col("caption")).filter(F.col("currency").isNotNull() & F.col("value").isNotNull())
     until = rows.agg(F.max("period_end")).first()[0]
-    revenue = units.to_whole_usd(named, "value", "period_end", rates, until).select(
-        F.lit("revenue").alias("record_kind"), F.col("revenue_row_id").alias("record_id"), "amount_usd"
-    )
+    return units.to_whole_usd(named, "value", "period_end", rates, until)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    other = usd_revenue(spark, d).filter(~((F.col("currency") == "USD") & (F.col("scale") == 1)))
+    revenue = other.select(F.lit("revenue").alias("record_kind"), F.col("revenue_row_id").alias("record_id"), "amount_usd")
     solved = p4_solutions(spark, d).filter(F.col("factor").isin(1_000, 1_000_000))
     holding = solved.select(
         F.lit("holding").alias("record_kind"), F.col("disagreement_id").alias("record_id"),
@@ -227,6 +229,10 @@ WHERE abs(lr - 3) < 1.4 OR abs(lr - 6) < 1.4
 """
 
 P4C_SQL = P4_SQL[: P4_SQL.index("k AS (SELECT")] + P4C_SQL.lstrip()
+#: All revenue rows of money in whole US dollars, as a relation.
+USD_REVENUE = "(" + P4_SQL[: P4_SQL.index("SELECT 'revenue' AS record_kind")].strip().replace(" AND NOT (code = 'USD' AND f = 1)", "") + """
+SELECT DISTINCT d.revenue_row_id, d.common_stock_id, d.axis, d.member, d.period_start, d.period_end, CAST(round(CAST(x.value * x.f AS DECIMAL(26,4)) * CAST(x.rate AS DECIMAL(12,6)), 0) AS BIGINT) AS v, d.filed_date, d.fiscal_year
+FROM x JOIN dimensional_revenue_row d USING (revenue_row_id) WHERE x.rate IS NOT NULL)"""
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
