@@ -13,7 +13,8 @@ newest when they were recorded: nothing on a cut's far side was known before it,
 needs, besides its own messages, only those between the cut that begins it and the newest
 message known then, and those from the cut that ends it up to the next newest message that
 changes the value. Messages that come late fall in the segment of their valid time and leave
-the cuts where they are. Repeats that can never matter (the message right before them in valid
+the cuts where they are. Messages far ahead of those recorded after them are no cuts; they are
+carried through the segments that they are ahead of, each of which tells of them for its time. Repeats that can never matter (the message right before them in valid
 time says the same and was known before) are dropped first. A segment holds about ``BLOCK``
 messages and the late ones that fall in its time.
 """
@@ -34,6 +35,7 @@ from finstrata.core.tables import checkpoint_dir
 BLOCK = 2048
 LONG = 100_000  # messages of an entity up to which plain windows serve
 CHUNK = 28 * 86_400 * 1_000_000  # microseconds of time that a scan handles in one task
+EVER = 1 << 61  # later than any time
 NONE = -(1 << 62)  # an unknown time
 OPEN = NONE + 1  # not ended yet
 
@@ -50,11 +52,12 @@ class _Timeline:
         """Whether a message changes anything: a repeat does if its previous value tells of a lost one."""
         return i == 0 or self.values[i] != self.values[i - 1] or self.previous[i] not in (None, self.values[i - 1])
 
-    def versions(self, lo: int, hi: int, home: set[int]) -> set[tuple[str, int, int]]:
-        """Rows (value, from, to) of the versions that start with one of the home messages lo to hi."""
+    def versions(self, lo: int, hi: int, home: dict[int, tuple[int, int]], at: int) -> set[tuple[str, int, int]]:
+        """Rows (value, from, to) of the versions that start with one of the messages lo to hi that are told of at this time."""
         out, n = set(), len(self.times)
         for k in range(lo, min(hi + 1, n)):
-            if self.times[k] not in home or not self._starts(k):
+            since, until = home.get(self.times[k], (1, 0))
+            if not since <= at < until or not self._starts(k):
                 continue
             lost = self.previous[k]
             if lost is not None and lost != (self.values[k - 1] if k else None):
@@ -68,17 +71,17 @@ class _Timeline:
             out.add((self.values[k], self.times[k], to))
         return out
 
-    def add(self, time: int, value: str, previous: str | None, home: set[int]) -> tuple[set, set]:
+    def add(self, time: int, value: str, previous: str | None, home: dict, recorded: int) -> tuple[set, set]:
         """Versions that end and begin to be believed."""
         at = bisect_left(self.times, time)
         a = max(at - 1, 0)
         while a > 0 and not self._starts(a):
             a -= 1
-        old = self.versions(a, at, home)
+        old = self.versions(a, at, home, recorded)
         self.times.insert(at, time)
         self.values.insert(at, value)
         self.previous.insert(at, previous)
-        new = self.versions(a, at + 1, home)
+        new = self.versions(a, at + 1, home, recorded)
         return old - new, new - old
 
 
@@ -86,14 +89,14 @@ def _sweep(tbl: pa.Table, starts: np.ndarray) -> pa.Table | None:
     """Kernel: belief events of segments; rows come in the order they were recorded."""
     raised, recorded = tbl.column("raised").to_numpy(), tbl.column("recorded").to_numpy()
     value, previous = tbl.column("value").to_pylist(), tbl.column("previous").to_pylist()
-    mine, entity = tbl.column("mine").to_numpy(zero_copy_only=False), tbl.column("entity")
+    lo, hi, entity = tbl.column("lo").to_numpy(), tbl.column("hi").to_numpy(), tbl.column("entity")
     ends = np.append(starts[1:], tbl.num_rows)
     rows: list[tuple] = []
     index: list[int] = []
     for a, b in zip(starts.tolist(), ends.tolist()):
-        line, home = _Timeline([], [], []), set(raised[a:b][mine[a:b]].tolist())
+        line, home = _Timeline([], [], []), dict(zip(raised[a:b].tolist(), zip(lo[a:b].tolist(), hi[a:b].tolist())))
         for i in range(a, b):
-            gone, come = line.add(int(raised[i]), value[i], previous[i], home)
+            gone, come = line.add(int(raised[i]), value[i], previous[i], home, int(recorded[i]))
             for opens, which in ((False, gone), (True, come)):
                 for v, f, t in sorted(which):
                     rows.append((v, f, t, int(recorded[i]), len(rows), opens))
@@ -141,8 +144,16 @@ def bitemporal_ledger(
     p = F.col("p")
     needless = F.coalesce((p["value"] == F.col("value")) & ~told(p["value"]) & (p["recorded"] <= F.col("recorded")), F.lit(False))
     kept = saved(chunked_scan(once, *by_valid, {"p": ("previous", F.struct("value", "recorded"))})).filter(~needless).drop("p")
-    newest = F.col("newest").isNull() | (F.col("newest") < F.col("raised"))
-    seen = chunked_scan(kept, *by_record, {"newest": ("max_before", "raised")}).withColumn("cut", newest).drop("newest")
+    # ahead: valid after half of the messages that were recorded a block later; any choice is right, this one keeps cuts
+    many = most > 2 * block
+    if many:
+        numbered = saved(chunked_scan(kept, *by_record, {"n": ("count_before", "raised")}).withColumn("n", F.floor(F.col("n") / block)))
+        middle = numbered.groupBy("entity", "n").agg(F.percentile_approx("raised", 0.5).alias("middle")).withColumn("n", F.col("n") - 2)
+        kept = numbered.join(middle, ["entity", "n"], "left").withColumn("ahead", F.coalesce(F.col("raised") > F.col("middle"), F.lit(False))).drop("n", "middle")
+    else:
+        kept = kept.withColumn("ahead", F.lit(False))
+    newest = ~F.col("ahead") & (F.col("newest").isNull() | (F.col("newest") < F.col("raised")))
+    seen = chunked_scan(saved(kept), *by_record, {"newest": ("max_before", F.when(~F.col("ahead"), F.col("raised")))}).withColumn("cut", newest).drop("newest")
     ranked = chunked_scan(saved(seen), *by_valid, {
         "rank": ("sum_upto", F.col("cut").cast("bigint")), "line": ("max_before", F.when(F.col("cut"), F.struct("raised", "value"))),
     })
@@ -155,10 +166,26 @@ def bitemporal_ledger(
     since = F.greatest(F.ceil(F.coalesce(F.col("changed"), F.lit(0)) / block), F.lit(1)) - 1
     earlier = F.when(since < own, F.sequence(since, own - 1)).otherwise(F.array().cast("array<bigint>"))
     later = F.when(F.col("rank") % block == block - 1, F.array(own + 1)).otherwise(F.array().cast("array<bigint>"))
-    blocks = placed.withColumn("block", F.explode(F.concat(F.array(own), earlier, later))).withColumn("mine", F.col("block") == own)
+    parts = F.concat(F.array(own), earlier, later)
+    lo, hi = F.lit(EVER), F.lit(-EVER)
+    if many:
+        # a message ahead goes to all segments before its own from the one of its time on
+        placed = saved(chunked_scan(saved(placed), *by_record, {"told": ("max_before", F.when(F.col("change"), F.col("rank")))}))
+        then = F.greatest(F.ceil(F.coalesce(F.col("told"), F.lit(0)) / block), F.lit(1)) - 1
+        parts = F.array_distinct(F.concat(parts, F.when(F.col("ahead") & (then < own), F.sequence(then, own - 1)).otherwise(F.array().cast("array<bigint>"))))
+    blocks = placed.withColumn("own", own).withColumn("block", F.explode(parts))
+    mine = F.col("block") == F.col("own")
+    if many:
+        cuts = placed.filter(F.col("cut") & (F.col("rank") > 0) & (F.col("rank") % block == 0)).select("entity", F.floor(F.col("rank") / block).alias("block"), F.col("recorded").alias("begins"))
+        ends = cuts.select("entity", (F.col("block") - 1).alias("block"), F.col("begins").alias("ends"))
+        blocks = blocks.join(cuts, ["entity", "block"], "left").join(ends, ["entity", "block"], "left")
+        begins = F.coalesce("begins", F.lit(-EVER))
+        carried = F.col("ahead") & (F.col("block") < F.col("own")) & (F.col("recorded") < F.col("ends"))
+        lo, hi = F.when((mine & F.col("ahead")) | carried, begins).otherwise(lo), F.when(carried, F.col("ends")).otherwise(hi)
+    lo, hi = F.when(mine & ~F.col("ahead"), -EVER).otherwise(lo), F.when(mine, EVER).otherwise(hi)
     kind = dict(blocks.dtypes)["entity"]
     events = stream_groups(
-        blocks.select("entity", "block", "value", "previous", "raised", "recorded", "mine"),
+        blocks.select("entity", "block", "value", "previous", "raised", "recorded", lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi")),
         ["entity", "block"], ["recorded", "raised"], _sweep, f"entity {kind}, {_EVENTS}",
     )
     pair = Window.partitionBy("entity", "value", "valid_from", "valid_to").orderBy("at", "seq")

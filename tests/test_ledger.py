@@ -34,7 +34,7 @@ def _believed(messages):
     return out
 
 
-@pytest.mark.parametrize("block,long", [(1, 1000), (3, 1000), (1000, 1000), (3, 2)])
+@pytest.mark.parametrize("block,long", [(1, 1000), (2, 1000), (3, 1000), (5, 1000), (1000, 1000), (3, 2), (1, 3)])
 def test_every_recorded_time_tells_what_was_known(spark, block, long):
     r = random.Random(block)
     rows = []
@@ -42,6 +42,8 @@ def test_every_recorded_time_tells_what_was_known(spark, block, long):
         for _ in range(25 if e < 3 else 3):
             raised = T0 + timedelta(days=r.randrange(60))
             late = r.choice([0, 0, 0, 1, 30])
+            if r.random() < 0.15:  # valid long after it was recorded
+                late = -r.randrange(5, 60)
             rows.append((e, r.choice("ABC"), r.choice(["A", "B", None, None]), raised, raised + timedelta(days=late, seconds=r.randrange(999))))
     # one value and one previous a raised time, as messages sent twice have
     seen = {}
@@ -93,3 +95,28 @@ def test_a_straggler_leaves_the_segments_short(spark):
     # v0 was told without a previous value known, so v6 came before it and the straggler ends at an unknown time
     assert now.count() == n + 2 and time.time() - start < 60
     assert {(r.value, r.valid_to) for r in now.orderBy(F.coalesce("valid_from", "valid_to")).limit(1).collect()} == {("w", None)}
+
+
+def test_a_message_far_ahead_leaves_the_segments_short(spark):
+    from finstrata.operators import ledger
+
+    n = 3000
+    rows = spark.range(n).select(
+        F.lit("hot").alias("entity"), F.concat(F.lit("v"), F.col("id") % 7).alias("value"), F.concat(F.lit("v"), (F.col("id") + 6) % 7).alias("previous"),
+        F.timestamp_seconds(F.col("id") * 60 + 600).alias("raised"), F.timestamp_seconds(F.col("id") * 60 + 601).alias("recorded"),
+    ).unionByName(spark.createDataFrame([("hot", "w", "v1")], "entity string, value string, previous string").select(
+        "*", F.timestamp_seconds(F.lit(n * 100)).alias("raised"), F.timestamp_seconds(F.lit(1)).alias("recorded")))
+    sizes, run = [], ledger.stream_groups
+
+    def spy(df, keys, *rest):
+        sizes.extend(r["count"] for r in df.groupBy(*keys).count().collect())
+        return run(df, keys, *rest)
+
+    ledger.stream_groups = spy
+    try:
+        whole = bitemporal_ledger(rows, "entity", "value", "previous", "raised", "recorded", block=1 << 20)
+        cut = bitemporal_ledger(rows, "entity", "value", "previous", "raised", "recorded", block=200)
+        assert sorted(map(str, whole.collect())) == sorted(map(str, cut.collect()))
+    finally:
+        ledger.stream_groups = run
+    assert sizes[0] == n + 1 and len(sizes) > 10 and max(sizes[1:]) < 3 * 200
