@@ -116,6 +116,13 @@ def start_table() -> np.ndarray:
     return np.random.default_rng(11).standard_normal((BUCKETS, DIM)).astype(np.float32) / math.sqrt(DIM)
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """To be joined by sorting and merging. Spark's guess of a size ignores that a step multiplies rows (96 buckets
+    a name, a row a token) and that files are compressed; by it tables that grow with the input were broadcast,
+    which the driver has to hold whole."""
+    return df.hint("merge")
+
+
 class SkipGram:
     """Skip-gram with negative sampling over n-gram rows, trained in batches."""
 
@@ -265,7 +272,7 @@ def random_walks(records: DataFrame) -> DataFrame:
     checkpoint_dir(records.sparkSession)
     tied = records.select("name", "ids").mapInArrow(nodes, "rec bigint, attr string, tok string, bag string").dropDuplicates(["rec", "attr", "tok"]).checkpoint()
     sizes = tied.groupBy("tok").agg(F.count("*").alias("n"))
-    salted = tied.join(sizes, "tok").withColumn("salt", F.pmod(F.xxhash64("rec", "tok"), F.ceil(F.col("n") / MEET)).cast("int"))
+    salted = tied.join(_merged(sizes), "tok").withColumn("salt", F.pmod(F.xxhash64("rec", "tok"), F.ceil(F.col("n") / MEET)).cast("int"))
     group = Window.partitionBy("tok", "salt")
     turn = F.xxhash64("rec", F.lit(1))
     near = salted.withColumn("next", F.coalesce(F.lead("rec").over(group.orderBy(turn, "rec")), F.first("rec").over(group.orderBy(turn, "rec"))))
@@ -279,7 +286,7 @@ def random_walks(records: DataFrame) -> DataFrame:
     out = steps.select("rec", "walk", F.array("bag").alias("bags"), F.array(F.col("go")[0]["attr"]).alias("attrs"), F.array(F.col("go")[0]["tok"]).alias("meets"), F.col("go")[0]["next"].alias("stand"))
     for k in range(1, STEPS):
         there = steps.select(F.col("rec").alias("stand"), "walk", F.col("bag").alias("_bag"), F.col("go").alias("_go"))
-        out = out.join(there, ["stand", "walk"])
+        out = out.join(_merged(there), ["stand", "walk"])
         more = lambda c, x: F.array_append(c, x)
         last = k == STEPS - 1
         go = F.col("_go")[min(k, STEPS - 2)]
@@ -392,27 +399,27 @@ def _candidates(signatures: DataFrame, rs: DataFrame, model, bits: int) -> DataF
     lk = _bucket_keys(names(signatures), model, bits, PROBES).withColumnsRenamed({"rid": "ln", "s0": "t0", "s1": "t1"}).withColumn("salt", F.pmod("ln", F.lit(SALTS)).cast("int"))
     rk = _bucket_keys(names(rs), model, bits, 0).withColumnRenamed("rid", "rn").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("t1")))
-    near = lk.join(rk, ["tab", "key", "salt"]).filter(apart <= SKETCH_APART).select("ln", "rn").distinct()
-    bearers = lambda df, key, name: df.select(F.col("rid").alias(key), F.xxhash64("name").alias(name))
+    near = lk.join(_merged(rk), ["tab", "key", "salt"]).filter(apart <= SKETCH_APART).select("ln", "rn").distinct()
+    bearers = lambda df, key, name: _merged(df.select(F.col("rid").alias(key), F.xxhash64("name").alias(name)))
     near = near.join(bearers(signatures, "lid", "ln"), "ln").join(bearers(rs, "rid", "rn"), "rn").select("lid", "rid")
 
     lt, rt = _tokens(signatures, model).withColumnRenamed("rid", "lid"), _tokens(rs, model)
     one = lambda df, key: df.select(key, F.explode("toks").alias("tok"))
     right = one(rt, "rid")
     few = right.groupBy("tok").agg(F.count("*").alias("n"))
-    by_token = one(lt, "lid").join(right.join(few.filter(F.col("n") <= OFTEN), "tok"), "tok").select("lid", "rid")
+    by_token = one(lt, "lid").join(_merged(right.join(_merged(few.filter(F.col("n") <= OFTEN)), "tok")), "tok").select("lid", "rid")
     # tokens that too many bear: pairs of them, and where a pair is borne by too many the whole core
     often = few.filter(F.col("n") > OFTEN).select("tok")
 
     def pairs(df, key):
-        own = one(df, key).join(often, "tok", "left_semi").groupBy(key).agg(F.array_sort(F.collect_set("tok")).alias("ts"))
+        own = one(df, key).join(_merged(often), "tok", "left_semi").groupBy(key).agg(F.array_sort(F.collect_set("tok")).alias("ts"))
         two = own.select(key, F.explode(F.flatten(F.transform("ts", lambda x: F.transform(F.filter("ts", lambda y: y > x), lambda y: F.concat_ws(" ", x, y))))).alias("two"))
         return two
 
     rp = pairs(rt, "rid")
     held = rp.groupBy("two").agg(F.count("*").alias("n"))
-    by_pair = pairs(lt, "lid").join(rp.join(held.filter(F.col("n") <= OFTEN), "two"), "two").select("lid", "rid")
-    by_core = lt.filter(F.col("core") != "").join(rt, "core").select("lid", "rid")
+    by_pair = pairs(lt, "lid").join(_merged(rp.join(_merged(held.filter(F.col("n") <= OFTEN)), "two")), "two").select("lid", "rid")
+    by_core = lt.filter(F.col("core") != "").join(_merged(rt), "core").select("lid", "rid")
     told = by_token.unionByName(by_pair).unionByName(by_core).withColumn("shared", F.lit(True))
     return near.withColumn("shared", F.lit(False)).unionByName(told).groupBy("lid", "rid").agg(F.bool_or("shared").alias("shared"))
 
@@ -566,7 +573,7 @@ def settled_candidates(scored: DataFrame) -> DataFrame:
     borne = scored.filter(F.col("agree") > 0).groupBy("lid").agg(F.count("*").alias("n"), F.bool_or("first").alias("first"))
     known = borne.filter((F.col("n") == 1) & F.col("first")).select("lid")
     agree = F.col("agree") - F.col("first").cast("int")
-    rows = scored.join(known, "lid", "left_semi").withColumn("agree", agree)
+    rows = scored.join(_merged(known), "lid", "left_semi").withColumn("agree", agree)
     return rows.select("lid", "rid", "cosine", "level", "agree", (F.col("told") - 1 - F.col("agree")).alias("missed"), F.col("first").alias("y"))
 
 
@@ -583,15 +590,20 @@ def fit_confidence(rows: list) -> np.ndarray:
     return t
 
 
+def drawn_candidates(settled: DataFrame) -> DataFrame:
+    """(FEATURES, y) of at most ``CALIBRATION`` candidates, in one partition: collected right after a limit,
+    every task would send as many to the driver."""
+    return settled.orderBy(F.xxhash64("lid", "rid"), "lid", "rid").limit(CALIBRATION).select(*FEATURES, "y").repartition(1)
+
+
 def _calibrate(scored: DataFrame) -> np.ndarray:
-    sample = settled_candidates(scored).orderBy(F.xxhash64("lid", "rid"), "lid", "rid").limit(CALIBRATION)
-    return fit_confidence(sample.collect())
+    return fit_confidence(drawn_candidates(settled_candidates(scored)).collect())
 
 
 def calibration_report(scored: DataFrame) -> tuple[float, list[tuple[float, float, int]]]:
     """(Brier score, (mean confidence, share right, candidates) by tenth) of one half by the weights of the other."""
     rows = settled_candidates(scored).withColumn("_h", F.pmod(F.xxhash64("lid"), F.lit(2)))
-    t = fit_confidence(rows.filter("_h = 0").orderBy(F.xxhash64("lid", "rid")).limit(CALIBRATION).collect())
+    t = fit_confidence(drawn_candidates(rows.filter("_h = 0")).collect())
     tested = rows.filter("_h = 1").withColumn("p", confidence_of(t))
     brier = tested.agg(F.avg(F.pow(F.col("p") - F.col("y").cast("int"), 2))).first()[0]
     tenths = tested.groupBy(F.least(F.floor(F.col("p") * 10), F.lit(9)).alias("b")).agg(F.avg("p"), F.avg(F.col("y").cast("int")), F.count("*")).orderBy("b").collect()
@@ -629,8 +641,8 @@ def scored_candidates(
     bits = max(4, min(40, (max(n_right, 2) - 1).bit_length()))
     full = (
         _candidates(signatures, rs, model, bits)
-        .join(signatures.select(F.col("rid").alias("lid"), F.col("name").alias("lname"), F.col("ids").alias("lids")), "lid")
-        .join(rs.select("rid", F.col("name").alias("rname"), F.col("ids").alias("rids"), "place"), "rid")
+        .join(_merged(signatures.select(F.col("rid").alias("lid"), F.col("name").alias("lname"), F.col("ids").alias("lids"))), "lid")
+        .join(_merged(rs.select("rid", F.col("name").alias("rname"), F.col("ids").alias("rids"), "place")), "rid")
         .select("lid", "rid", "shared", "lname", "rname", "lids", "rids", "place")
     )
     return ls, _compare(full, model).filter((F.col("agree") > 0) | (F.col("level") > 0) | (F.col("cosine") > 0.5))
@@ -662,6 +674,6 @@ def match_records(
         .filter(F.col("_next").isNull() | (F.col("evidence") > F.col("_next") + 0.05))
     )
     chosen = best.withColumn("missed", F.col("told") - F.col("agree")).select("lid", "rid", confidence_of(weights).alias("confidence"), "agree", "level", "cosine")
-    return ls.select("_left", F.col("rid").alias("lid")).join(chosen, "lid").select(
+    return ls.select("_left", F.col("rid").alias("lid")).join(_merged(chosen), "lid").select(
         F.col("_left").alias(left_id), F.col("rid").alias(right_id), "confidence", "agree", "level", "cosine"
     ).dropDuplicates([left_id, right_id])

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from finstrata.llm import entity_match
 from finstrata.llm.entity_match import WALKS, SkipGram, calibration_report, match_records, name_level, name_words, random_walks, scored_candidates
 
 KINDS = ["fund services", "private bank", "capital management", "global investors", "pension board", "securities"]
@@ -134,3 +135,21 @@ def test_a_lost_or_added_blank_keeps_a_name_whole(spark):
     left = [(i, n.replace(" ", "", 1), None) for i, n in firms] + [(1000 + i, n[:3] + " " + n[3:], None) for i, n in firms]
     got = match_records(spark.createDataFrame(left, "entry_id long, name string, cik string"), "entry_id", "name", ["cik"], right, "firm_id", "name", ["cik"])
     assert {(r.entry_id, r.firm_id) for r in got.collect()} == {(k + i, i) for i, _ in firms for k in (0, 1000)}
+
+
+def test_the_driver_holds_no_table(spark, tables, monkeypatch):
+    """No join is a broadcast, however small Spark guesses its side, and tasks don't send the driver a sample each."""
+    left, right, _ = tables
+    sides = (left, "entry_id", "name", ["cik", "file_no", "crd"], right, "firm_id", "name", ["cik", "file_no", "crd"], "state")
+    _, scored = scored_candidates(*sides)
+    records = right.select("name", F.array("cik").alias("ids"))
+    for df in (scored, entity_match.settled_candidates(scored), random_walks(records), match_records(*sides)):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+    monkeypatch.setattr(entity_match, "CALIBRATION", 10)
+    drawn = entity_match.drawn_candidates(entity_match.settled_candidates(scored))
+    assert len(drawn.collect()) == 10
+    final = drawn._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    above = [x for x in final if "Exchange" in x or "TakeOrdered" in x]
+    assert "Exchange SinglePartition" in above[0] and any("TakeOrdered" in x for x in above), final
