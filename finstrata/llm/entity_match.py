@@ -8,11 +8,11 @@
    tokens are salted to groups of at most ``MEET`` records, in which the neighbour is the next one.
 3. Skip-gram. Tokens and attributes on a walk predict each other, with negative samples. A token's
    vector is the mean of its character n-grams' rows in a table of fixed size, so that a misspelt or
-   abbreviated word lies near the one meant and the model has a proven size. Partitions train
-   from the same start on their own walks; their tables are averaged by use.
+   abbreviated word lies near the one meant and the model has a proven size. Models train
+   from the same start on the walks of some ``WALKERS`` records each; their tables are averaged by use.
 4. Blocking, both tables in one. Name vectors are cut by random hyperplanes into several tables of
    keys; the left side also looks into the buckets across its narrowest planes; pairs whose sketches
-   (128 more planes) differ too much to be near are left out at once. Records that share an identifier
+   (128 more planes) differ too much to be near are left out at once, then those whose names aren't near. Records that share an identifier
    or a telling word (adjacent words without their blank too) meet by equality: at the token where at
    most ``OFTEN`` right records bear it, else at pairs of such tokens, else at the whole core of the name.
    Buckets hold distinct names and are salted.
@@ -48,7 +48,7 @@ MEET = 128  # records that can meet at one salt of a token
 WALKS, STEPS = 2, 3  # walks from each record, and records on each
 NEGATIVES = 4
 TABLES = 24
-WALKERS = 4000  # records for which one more partition trains
+WALKERS = 4000  # records for which one more model trains, in a partition of its own as long as there are any
 PROBES = 3  # buckets across the narrowest planes that the left side looks into
 SKETCH_APART = 40  # of the 128 bits of two sketches; at a cosine of 0.55 they differ in 40 on average
 OFTEN = 32  # right records that may meet at one token
@@ -267,6 +267,7 @@ def random_walks(records: DataFrame) -> DataFrame:
                     for t in ts:
                         for c, v in zip(out, (rec, attr, t, bag)):
                             out[c].append(v)
+                        bag = None  # it travels with the record's first token only
             yield pa.record_batch({c: pa.array(v, pa.int64() if c == "rec" else pa.string()) for c, v in out.items()})
 
     checkpoint_dir(records.sparkSession)
@@ -279,7 +280,7 @@ def random_walks(records: DataFrame) -> DataFrame:
     # a draw by weight 1 / n: the least of exponential waiting times
     wait = lambda k: F.log((F.pmod(F.xxhash64("rec", "tok", F.lit(k)), F.lit(1 << 30)) + 1) / float(1 << 30)) * -F.col("n")
     draws = [F.min_by(F.struct("attr", "tok", "next"), F.struct(wait(k), F.col("tok"))).alias(f"d{k}") for k in range(WALKS * (STEPS - 1))]
-    drawn = near.groupBy("rec").agg(F.first("bag").alias("bag"), *draws).checkpoint()  # each step joins it again
+    drawn = near.groupBy("rec").agg(F.max("bag").alias("bag"), *draws).checkpoint()  # each step joins it again
     at = lambda w, k: f"d{w * (STEPS - 1) + k}"
     steps = drawn.select("rec", F.posexplode(F.array(*[F.struct("bag", F.array(*[F.col(at(w, k)) for k in range(STEPS - 1)]).alias("go")) for w in range(WALKS)])).alias("walk", "s")).select("rec", "walk", "s.bag", "s.go")
     # the walk stands at ``stand``; each further record brings its own draw for its place on the walk
@@ -307,8 +308,18 @@ def train_model(records: DataFrame, total: int, kinds: frozenset[str] = frozense
     shuffled = walks.repartition(parts, "rec").sortWithinPartitions("rec", "walk")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, rng = SkipGram(), np.random.default_rng(3)
+        net, rng, walked = SkipGram(), np.random.default_rng(3), 0
+        used, moved = np.zeros(BUCKETS, dtype=np.int64), np.zeros((BUCKETS, DIM), dtype=np.float32)
+
+        def add() -> None:
+            nonlocal used, moved
+            used, moved = used + net.used, moved + net.used[:, None] * net.v
+
         for b in batches:
+            if walked >= WALKERS * WALKS:  # a model that trains on more is drawn to one direction, and all names to one bucket
+                add()
+                net, walked = SkipGram(), 0
+            walked += b.num_rows
             centers: list[str] = []
             contexts: list[str] = []
             for bags, attrs, meets in zip(*(b.column(c).to_pylist() for c in ("bags", "attrs", "meets"))):
@@ -324,12 +335,13 @@ def train_model(records: DataFrame, total: int, kinds: frozenset[str] = frozense
                     here = there
             if centers:
                 net.train(net.ids(centers), net.ids(contexts))
-        hit = np.flatnonzero(net.used)
+        add()
+        hit = np.flatnonzero(used)
         for a in range(0, len(hit), 5000):
             h = hit[a : a + 5000]
             yield pa.record_batch({
-                "bucket": pa.array(h, pa.int32()), "n": pa.array(net.used[h], pa.int64()),
-                "v": pa.FixedSizeListArray.from_arrays(pa.array(net.v[h].reshape(-1), pa.float32()), DIM).cast(pa.list_(pa.float32())),
+                "bucket": pa.array(h, pa.int32()), "n": pa.array(used[h], pa.int64()),
+                "v": pa.FixedSizeListArray.from_arrays(pa.array((moved[h] / used[h, None]).astype(np.float32).reshape(-1), pa.float32()), DIM).cast(pa.list_(pa.float32())),
             })
 
     trained = shuffled.mapInArrow(walk, "bucket int, n bigint, v array<float>")
@@ -347,7 +359,7 @@ def _planes(bits: int) -> np.ndarray:
 
 
 def _bucket_keys(df: DataFrame, model, bits: int, probes: int) -> DataFrame:
-    """(rid, tab, key, s0, s1): the buckets of each record's name vector."""
+    """(rid, key, s0, s1): the buckets of each record's name vector, in which a key tells the table too, and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, planes = model.value, _planes(bits)
@@ -369,12 +381,12 @@ def _bucket_keys(df: DataFrame, model, bits: int, probes: int) -> DataFrame:
             sketch = np.packbits(x @ more.T > 0, axis=1).view("<i8").reshape(-1, 2)
             each = TABLES * n
             yield pa.record_batch({
-                "rid": b.column(0).take(pa.array(np.repeat([i for i, _ in vecs], each))), "tab": pa.array(np.tile(np.repeat(np.arange(TABLES), n), len(vecs)), pa.int32()),
-                "key": pa.array(keys.reshape(-1), pa.int64()), "s0": pa.array(np.repeat(sketch[:, 0], each), pa.int64()), "s1": pa.array(np.repeat(sketch[:, 1], each), pa.int64()),
+                "rid": b.column(0).take(pa.array(np.repeat([i for i, _ in vecs], each))),
+                "key": pa.array((keys * TABLES + np.arange(TABLES)[:, None]).reshape(-1), pa.int64()), "s0": pa.array(np.repeat(sketch[:, 0], each), pa.int64()), "s1": pa.array(np.repeat(sketch[:, 1], each), pa.int64()),
             })
 
     kind = dict(df.dtypes)["rid"]
-    return df.select("rid", "name").mapInArrow(run, f"rid {kind}, tab int, key bigint, s0 bigint, s1 bigint")
+    return df.select("rid", "name").mapInArrow(run, f"rid {kind}, key bigint, s0 bigint, s1 bigint")
 
 
 def _tokens(df: DataFrame, model) -> DataFrame:
@@ -396,10 +408,13 @@ def _candidates(signatures: DataFrame, rs: DataFrame, model, bits: int) -> DataF
     """(lid, rid, shared): pairs that meet in a bucket and whose sketches are near, or that share a token."""
     # buckets hold names, not records: a name that many records bear is looked up once
     names = lambda df: df.select(F.xxhash64("name").alias("rid"), "name").filter(F.col("name") != "").dropDuplicates(["rid"]).repartition(shuffle_partitions(df.sparkSession))
-    lk = _bucket_keys(names(signatures), model, bits, PROBES).withColumnsRenamed({"rid": "ln", "s0": "t0", "s1": "t1"}).withColumn("salt", F.pmod("ln", F.lit(SALTS)).cast("int"))
-    rk = _bucket_keys(names(rs), model, bits, 0).withColumnRenamed("rid", "rn").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    lk = _bucket_keys(names(signatures), model, bits, PROBES).withColumnsRenamed({"rid": "ln", "s0": "t0", "s1": "t1"}).withColumn("key", F.col("key") * SALTS + F.pmod("ln", F.lit(SALTS)))
+    rk = _bucket_keys(names(rs), model, bits, 0).withColumnRenamed("rid", "rn").withColumn("key", F.explode(F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda salt: F.col("key") * SALTS + salt)))
     apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("t1")))
-    near = lk.join(_merged(rk), ["tab", "key", "salt"]).filter(apart <= SKETCH_APART).select("ln", "rn").distinct()
+    near = lk.join(_merged(rk), "key").filter(apart <= SKETCH_APART).select("ln", "rn").repartition("ln").distinct()
+    # most of what sketches let through isn't near: looked up by name, before it is multiplied by the records that bear the names
+    named = lambda df, key, name: _merged(names(df).select(F.col("rid").alias(key), F.col("name").alias(name)))
+    near = _near(near.join(named(signatures, "ln", "lname"), "ln").join(named(rs, "rn", "rname"), "rn"), model)
     bearers = lambda df, key, name: _merged(df.select(F.col("rid").alias(key), F.xxhash64("name").alias(name)))
     near = near.join(bearers(signatures, "lid", "ln"), "ln").join(bearers(rs, "rid", "rn"), "rn").select("lid", "rid")
 
@@ -511,6 +526,34 @@ def name_level(left: list[str], right: list[str], kinds) -> float:
     return 0.9 if told else 0.5
 
 
+def _cosines(m: Model, vecs: dict[str, np.ndarray], ln: list[str], rn: list[str]) -> np.ndarray:
+    """Cosines of pairs of names; ``vecs`` holds vectors from one call to the next."""
+
+    def vec(k: str) -> np.ndarray:
+        got = vecs.get(k)
+        if got is None:
+            x = m.name(k)
+            got = vecs[k] = np.zeros(DIM) if x is None else x
+        return got
+
+    if len(vecs) > 200_000:
+        vecs.clear()
+    return np.einsum("ij,ij->i", np.stack([vec(k) for k in ln]), np.stack([vec(k) for k in rn]))
+
+
+def _near(pairs: DataFrame, model) -> DataFrame:
+    """(ln, rn) of the pairs whose names' cosine is ``NEAR`` at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vecs: dict[str, np.ndarray] = {}
+        for b in batches:
+            if b.num_rows:
+                cos = _cosines(model.value, vecs, b.column("lname").to_pylist(), b.column("rname").to_pylist())
+                yield b.select(["ln", "rn"]).take(pa.array(np.flatnonzero(cos >= NEAR)))
+
+    return pairs.select("ln", "rn", "lname", "rname").mapInArrow(run, "ln bigint, rn bigint")
+
+
 def _compare(pairs: DataFrame, model) -> DataFrame:
     """Candidates with their evidence: identifiers that agree, name level, cosine. Names that share no token
     and aren't near by their vectors themselves (sketches only guess) are left out."""
@@ -520,13 +563,6 @@ def _compare(pairs: DataFrame, model) -> DataFrame:
         vecs: dict[str, np.ndarray] = {}
         parts: dict[str, tuple[list[str], str]] = {}
 
-        def vec(k: str) -> np.ndarray:
-            got = vecs.get(k)
-            if got is None:
-                x = m.name(k)
-                got = vecs[k] = np.zeros(DIM) if x is None else x
-            return got
-
         def words(k: str):
             if k not in parts:
                 parts[k] = name_words(k)
@@ -536,7 +572,7 @@ def _compare(pairs: DataFrame, model) -> DataFrame:
             if not b.num_rows:
                 continue
             ln, rn = b.column("lname").to_pylist(), b.column("rname").to_pylist()
-            cos = np.einsum("ij,ij->i", np.stack([vec(k) for k in ln]), np.stack([vec(k) for k in rn]))
+            cos = _cosines(m, vecs, ln, rn)
             at = np.flatnonzero(b.column("shared").to_numpy(zero_copy_only=False) | (cos >= NEAR))
             b = b.take(pa.array(at))
             li, ri, place = (b.column(c).to_pylist() for c in ("lids", "rids", "place"))
@@ -547,8 +583,7 @@ def _compare(pairs: DataFrame, model) -> DataFrame:
                 first.append(x[0] in (y or ()) if x else None)
                 level.append(name_level(lw, rw, m.kinds))
                 here.append(bool(lp and p and lp == p.lower()))
-            if len(vecs) > 200_000:
-                vecs.clear()
+            if len(parts) > 200_000:
                 parts.clear()
             yield pa.record_batch({
                 "lid": b.column("lid"), "rid": b.column("rid"), "agree": pa.array(agree, pa.int32()), "told": pa.array([len(x or ()) for x in li], pa.int32()),
