@@ -153,3 +153,20 @@ def test_the_driver_holds_no_table(spark, tables, monkeypatch):
     final = drawn._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
     above = [x for x in final if "Exchange" in x or "TakeOrdered" in x]
     assert "Exchange SinglePartition" in above[0] and any("TakeOrdered" in x for x in above), final
+
+
+def test_a_partition_with_many_walks_trains_no_further(spark, monkeypatch):
+    """Names drift to one direction, and to one bucket, where a model trains on all walks of a large partition."""
+    records = spark.createDataFrame([(f"{_word()} {_word()} {R.choice(KINDS)}", None) for _ in range(2000)], "name string, ids array<string>")
+    start, moved = entity_match.start_table(), []
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for k, v in zip(old, ("1", "1000")):
+            spark.conf.set(k, v)
+        for most in (500, 10**9):
+            monkeypatch.setattr(entity_match, "WALKERS", most)
+            moved.append(float(abs(entity_match.train_model(records, 2000).table - start).sum()))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert 0 < moved[0] < 0.7 * moved[1], moved
